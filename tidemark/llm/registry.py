@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack_documents
+from .simhash import near_duplicates
 from .token_counts import token_counts
 
 
@@ -15,12 +16,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op4_token_counts, op7_simhash, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
