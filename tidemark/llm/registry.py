@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack_documents
+from .quality import quality_rules
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
@@ -24,8 +25,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op7_simhash, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op4_token_counts, op7_simhash, op8_best_fit_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
