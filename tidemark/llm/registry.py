@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .langid import identify_languages
 from .packing import pack_documents
 from .quality import quality_rules
 from .simhash import near_duplicates
@@ -17,6 +18,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op7_simhash, op8_best_fit_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op4_token_counts, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
