@@ -71,3 +71,15 @@ def sampled_labels(labels: DataFrame, value: str, max_rows: int) -> DataFrame:
     one = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(value).alias(value))
     share = min(1.0, max_rows / max(1, labels.count()))
     return one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
+
+
+def parts(texts: list[bytes | None], size: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive texts with about ``size`` bytes together, one text at least."""
+    start = total = 0
+    for at, text in enumerate(texts):
+        total += len(text or b"")
+        if total >= size:
+            yield start, at + 1
+            start, total = at + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .class_lm import score_documents
 from .common import table
 from .langid import identify_languages
 from .packing import pack_documents
@@ -18,6 +19,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
