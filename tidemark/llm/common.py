@@ -73,11 +73,11 @@ def sampled_labels(labels: DataFrame, value: str, max_rows: int) -> DataFrame:
     return one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
 
 
-def parts(texts: list[bytes | None], size: int) -> Iterator[tuple[int, int]]:
-    """(from, to) of consecutive texts with about ``size`` bytes together, one text at least."""
+def parts(texts: list, size: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive texts (None counts as empty) of about ``size`` together, one at least."""
     start = total = 0
     for at, text in enumerate(texts):
-        total += len(text or b"")
+        total += len(text or "")
         if total >= size:
             yield start, at + 1
             start, total = at + 1, 0

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .class_lm import score_documents
 from .common import table
+from .decontam import find_leaks
 from .langid import identify_languages
 from .packing import pack_documents
 from .quality import quality_rules
@@ -15,6 +16,10 @@ from .simhash import near_duplicates
 from .token_counts import token_counts
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
