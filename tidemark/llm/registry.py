@@ -12,6 +12,7 @@ from .decontam import find_leaks
 from .langid import identify_languages
 from .packing import pack_documents
 from .quality import quality_rules
+from .secret_scan import scan_secrets
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
@@ -20,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
