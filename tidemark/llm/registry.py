@@ -10,6 +10,8 @@ from .class_lm import score_documents
 from .common import table
 from .decontam import find_leaks
 from .langid import identify_languages
+from .license_scan import oracle_sql as license_sql
+from .license_scan import scan_licenses
 from .packing import pack_documents
 from .quality import quality_rules
 from .secret_scan import scan_secrets
@@ -49,9 +51,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_license_scan": license_sql()}
