@@ -17,12 +17,17 @@ from .quality import quality_rules
 from .secret_scan import scan_secrets
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .toxicity import grade_toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secret_scan, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
