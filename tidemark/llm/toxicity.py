@@ -1,16 +1,17 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features.
 
 The probability of a grade above k is the logistic function of w.x - t(k): the weights w are shared by
-all thresholds, and the thresholds t are ordered. x marks which of the chosen words a text has. A document's severity
-is the expected grade, the sum over k of these probabilities.
+all thresholds, and the thresholds t are ordered. x marks which of the chosen features a text has: whole words,
+and beginnings and ends of words, as insults have many forms in some languages. A document's severity is the
+expected grade, the sum over k of these probabilities.
 
 Learning takes a sample of labelled rows (``MAX_ROWS``, a documented bound), and counts in how many toxic
-and other documents of it each word stands. Words are ranked by the z-score of the difference of their shares; the
-``FEATURES`` farthest from zero are the features. If the labels have no column of grades, they are made:
-0 if not toxic, else 1, 2 or 3 for at most 1, up to 3, or more *marked* words in the text, those with half of the
-highest z-score or more. The likelihood, with a ridge, is climbed with all rows at a time.
+and other documents of it each feature stands. They are ranked by the z-score of the difference of these
+shares; the ``FEATURES`` farthest from zero are used. If the labels have no column of grades, they are made:
+0 if not toxic, else 1, 2 or 3 for at most 1, up to 3, or more *marked* words in the text, those with a feature
+of half of the highest z-score or more. The likelihood, with a ridge, is climbed with all rows at a time.
 
-Texts are read whole, map-side; the model is a table of ``FEATURES`` words at most. Words are lower-cased
+Texts are read whole, map-side; the model is a table of ``FEATURES`` entries at most. Words are lower-cased
 and lose ASCII punctuation. A null or empty text has no features. Repeated rows are graded each. With no
 labels, or labels of one kind only, every document gets severity 0. An empty table gives no rows.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, sampled_labels
+from .common import map_batches, parts, sampled_labels
 from .decontam import plain_words
 
 MAX_ROWS = 20_000
@@ -35,21 +36,48 @@ LEAST_Z = 4.0
 #: Marked words up to which a toxic document has grade 1, 2; grade 3 beyond.
 GRADE_STEPS = (1, 3)
 TALLY = 400_000
+PART_CHARS = 4_000_000
+
+
+def features_of(word: str) -> list[str]:
+    """The word, its beginnings of 3 to 6 characters and its ends of 3 and 4."""
+    n = len(word)
+    return [word, *("^" + word[:k] for k in (3, 4, 5, 6) if k < n), *(word[-k:] + "$" for k in (3, 4) if k < n)]
+
+
+class Features(dict):
+    """The known features of each word, worked out when first asked for."""
+
+    def __init__(self, index: dict[str, int]):
+        super().__init__()
+        self.index = index
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        get = self.index.get
+        found = self[word] = tuple(k for f in features_of(word.decode()) if (k := get(f)) is not None)
+        return found
+
+    def rows(self, texts: list[str | None]) -> list[list[tuple[int, ...]]]:
+        """For each text the features of its distinct words that have any."""
+        return [[f for w in set(plain_words(text)) if (f := self[w])] for text in texts]
 
 
 class Ordinal(NamedTuple):
-    words: dict[bytes, int]
+    words: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
 
     def above(self, texts: list[str | None]) -> np.ndarray:
         """P(grade > k) for each text and threshold."""
-        get, weights = self.words.get, self.weights
-        x = np.array([sum(weights[k] for w in set(plain_words(text)) if (k := get(w)) is not None) for text in texts], float)
+        x = []
+        for a, b in parts(texts, PART_CHARS):
+            for row in Features(self.words).rows(texts[a:b]):
+                x.append(self.weights[sorted({k for own in row for k in own})].sum())
+        x = np.array(x, float)
         return 1 / (1 + np.exp(np.clip(self.thresholds - x[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, features: int, rounds: int = 300, ridge: float = 1e-3, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, features: int, rounds: int = 400, ridge: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds for rows of feature numbers, by Adam on the whole likelihood.
 
     Thresholds are the first one plus the exponentials of steps, so their order can't be lost.
@@ -85,19 +113,19 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, features: int, round
     return p[:features], p[features] + np.concatenate([[0], np.cumsum(np.exp(p[features + 1 :]))])
 
 
-def word_shares(sample: DataFrame) -> dict[bytes, tuple[float, int]]:
-    """z-score and number of texts of the words whose z-score is farthest from zero, ``FEATURES`` at most."""
+def feature_shares(sample: DataFrame) -> dict[str, tuple[float, int]]:
+    """z-score and number of texts of the features whose z-score is farthest from zero, ``FEATURES`` at most."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+        seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
         def out() -> pa.RecordBatch:
             words = list(seen[0].keys() | seen[1].keys())
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)], ["word", "other", "toxic"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)], ["word", "other", "toxic"])
 
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen[toxic > 0].update(set(plain_words(text)))
+                seen[toxic > 0].update({f for w in set(plain_words(text)) for f in features_of(w.decode())})
             if len(seen[0]) + len(seen[1]) > TALLY:
                 yield out()
                 seen[0].clear()
@@ -108,12 +136,12 @@ def word_shares(sample: DataFrame) -> dict[bytes, tuple[float, int]]:
     a, b = sizes["a"] or 0, sizes["n"] - (sizes["a"] or 0)
     if not a or not b:
         return {}
-    counts = sample.select("text", "toxic").mapInArrow(tally, "word binary, other long, toxic long").groupBy("word").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counts = sample.select("text", "toxic").mapInArrow(tally, "word string, other long, toxic long").groupBy("word").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     n = F.col("toxic") + F.col("other")
     p = n / F.lit(float(a + b))
     z = (F.col("toxic") / F.lit(float(a)) - F.col("other") / F.lit(float(b))) / F.sqrt(p * (1 - p) * F.lit(1 / a + 1 / b))
     ranked = counts.where((n >= 4) & (p < 1)).select("word", z.alias("z"), n.alias("n")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(FEATURES)
-    return {bytes(r["word"]): (r["z"], r["n"]) for r in ranked.collect()}
+    return {r["word"]: (r["z"], r["n"]) for r in ranked.collect()}
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Ordinal | None:
@@ -123,7 +151,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     if graded:
         chosen = chosen.join(labels.groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade")), "doc_id")
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    shares = word_shares(sample)
+    shares = feature_shares(sample)
     if not shares:
         return None
     index = {w: k for k, w in enumerate(shares)}
@@ -131,13 +159,15 @@ def fit_severity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     marked = {k for w, k in index.items() if shares[w][0] >= top / 2 > 0}
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [sorted(k for w in set(plain_words(text)) if (k := index.get(w)) is not None) for text in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "words"])
+        rows = Features(index).rows(batch.column("text").to_pylist())
+        hits = [sum(not marked.isdisjoint(own) for own in row) for row in rows]
+        features = [sorted({k for own in row for k in own}) for row in rows]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hits, pa.int32()), pa.array(features, pa.list_(pa.int32()))], ["doc_id", "label", "hits", "features"])
 
     label = F.col("grade" if graded else "toxic").cast("int").alias("label")
-    rows = map_batches(sample.select("doc_id", label, "text"), mark, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, words array<int>").orderBy("doc_id", "label", "words").collect()
-    features = [np.array(r["words"], np.int64) for r in rows]
-    hits = np.array([sum(k in marked for k in r["words"]) for r in rows])
+    rows = map_batches(sample.select("doc_id", label, "text"), mark, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, hits int, features array<int>").orderBy("doc_id", "label", "features").collect()
+    features = [np.array(r["features"], np.int64) for r in rows]
+    hits = np.array([r["hits"] for r in rows])
     given = np.array([r["label"] or 0 for r in rows])
     grades = given if graded else np.where(given > 0, 1 + sum((hits > s).astype(int) for s in GRADE_STEPS), 0)
     if grades.max() < 1:
@@ -145,7 +175,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     return Ordinal(index, *fit_ordinal(features, grades, len(index)))
 
 
-def grade_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
+def grade_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.35, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, severity (the expected grade), grade (the most likely), p_toxic, toxic for each document."""
     model = fit_severity(docs, labels, max_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
