@@ -1,15 +1,449 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries and the SQL that gives the same rows.
+
+Each query applies operators to the given tables as ``inputs`` shapes them. Floats are rounded to six
+places in both forms, as sums differ in their last digits with the order of rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.columns import hour_floor, number
+from tidemark.operators import assemble, forward, frames, grid, lookback, metrics, sampling, serve
+
+from . import inputs
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its name, with DuckDB SQL that follows the common inputs."""
+
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = f"WITH {inputs.SQL.strip()}\n{sql.strip()}"
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# Time grids
+
+
+@query("SELECT stay_id, patient_id, hour, round(hours_in, 6) AS hours_in FROM hourly")
+def grid_hourly(spark, sf_dir):
+    return grid.hourly_rows(inputs.stays(spark, sf_dir)).withColumn("hours_in", r6("hours_in"))
+
+
+@query("SELECT stay_id, patient_id, hour, round(hours_in, 6) AS hours_in FROM grid")
+def grid_elapsed_filter(spark, sf_dir):
+    return inputs.grid(spark, sf_dir).withColumn("hours_in", r6("hours_in"))
+
+
+_WINDOWS = """, win AS (SELECT stay_id, patient_id, admission + to_hours(k) AS window_start, least(admission + to_hours(k + 1), discharge) AS window_end
+  FROM (SELECT *, unnest(range(CAST(ceil((epoch_us(discharge) - epoch_us(admission)) / 3.6e9) AS BIGINT))) AS k FROM stay WHERE discharge > admission))"""
+
+
+@query(_WINDOWS + "SELECT * FROM win")
+def cohort_windows(spark, sf_dir):
+    return grid.cohort_windows(inputs.stays(spark, sf_dir))
+
+
+@query(_WINDOWS + "SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY stay_id ORDER BY window_start) <= 24")
+def first_n_windows(spark, sf_dir):
+    return grid.first_windows(grid.cohort_windows(inputs.stays(spark, sf_dir)), 24)
+
+
+@query("SELECT stay_id, patient_id, admission, discharge FROM stay WHERE discharge > admission")
+def stay_bounds(spark, sf_dir):
+    return grid.valid_stays(inputs.stays(spark, sf_dir))
+
+
+# Forward labels
+
+
+@query("""SELECT g.stay_id, g.hour, EXISTS (SELECT 1 FROM (SELECT patient_id, max(ts) AS ts FROM ev WHERE category = 'error' GROUP BY ALL) d
+  WHERE d.patient_id = g.patient_id AND d.ts > g.hour AND d.ts <= g.hour + INTERVAL 12 HOUR) AS death FROM grid g""")
+def label_death(spark, sf_dir):
+    patients = inputs.events(spark, sf_dir).where("category = 'error'").select("patient_id", F.col("ts").alias("death_dttm"))
+    return forward.label_hours(inputs.grid(spark, sf_dir), forward.deaths(patients), "death", key="patient_id").select("stay_id", "hour", "death")
+
+
+_ANY = "EXISTS (SELECT 1 FROM {t} e WHERE e.stay_id = g.stay_id AND e.ts > g.hour AND e.ts <= g.hour + INTERVAL 12 HOUR)"
+
+
+@query(f"SELECT g.stay_id, g.hour, {_ANY.format(t='det')} AS event FROM grid g")
+def label_any_event(spark, sf_dir):
+    return forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event").select("stay_id", "hour", "event")
+
+
+@query(f"SELECT g.stay_id, g.hour, {_ANY.format(t='det')} AS event FROM grid g")
+def label_any_event_range(spark, sf_dir):
+    return forward.label_range(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event").select("stay_id", "hour", "event")
+
+
+def _combined(spark, sf_dir) -> DataFrame:
+    e = inputs.events(spark, sf_dir)
+    catalog = {
+        "medication_admin_continuous": e.select("stay_id", F.col("ts").alias("admin_dttm"), F.when(F.col("category") == "purchase", "Vasoactives").otherwise("none").alias("med_group"), (F.col("value") - 200).alias("med_dose")),
+        "respiratory_support": e.select("stay_id", F.col("ts").alias("recorded_dttm"), F.when((F.col("category") == "view") & (F.col("value") > 300), "imv").otherwise("room air").alias("device_category")),
+        "crrt_therapy": e.where("category = 'error' AND value > 250").select("stay_id", F.col("ts").alias("recorded_dttm")),
+        "ecmo_mcs": None,
+        "patient": None,
+    }
+    return forward.labelled_grid(inputs.grid(spark, sf_dir), catalog)
+
+
+_COMBINED = """, vaso AS (SELECT stay_id, ts FROM ev WHERE category = 'purchase' AND value > 200), vent AS (SELECT stay_id, ts FROM ev WHERE category = 'view' AND value > 300),
+dial AS (SELECT stay_id, ts FROM ev WHERE category = 'error' AND value > 250),
+lab AS (SELECT g.stay_id, g.patient_id, g.hour, {v} AS vasopressor, {i} AS ventilation, {d} AS dialysis FROM grid g)
+""".format(v=_ANY.format(t="vaso"), i=_ANY.format(t="vent"), d=_ANY.format(t="dial"))
+
+
+@query(_COMBINED + "SELECT stay_id, hour, vasopressor, ventilation, dialysis, CAST(vasopressor OR ventilation OR dialysis AS INT) AS label FROM lab")
+def label_combined(spark, sf_dir):
+    return _combined(spark, sf_dir).select("stay_id", "hour", "vasopressor", "ventilation", "dialysis", "label")
+
+
+@query(f"SELECT stay_id, count(*) AS n_hours, sum(CAST(event AS INT))::BIGINT AS n_positive, round(avg(CAST(event AS INT)), 6) AS positive_rate FROM (SELECT g.stay_id, {_ANY.format(t='det')} AS event FROM grid g) GROUP BY stay_id")
+def label_positive_rate(spark, sf_dir):
+    labelled = forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event")
+    hit = F.col("event").cast("int")
+    return labelled.groupBy("stay_id").agg(F.count("*").alias("n_hours"), F.sum(hit).alias("n_positive"), r6(F.avg(hit)).alias("positive_rate"))
+
+
+@query("""SELECT stay_id, ts FROM (SELECT stay_id, ts, lag(ts) OVER (PARTITION BY stay_id ORDER BY ts) AS b FROM det) WHERE b IS NULL OR b < ts - INTERVAL 48 HOUR""")
+def therapy_starts(spark, sf_dir):
+    return forward.first_of(inputs.deteriorations(spark, sf_dir), 48)
+
+
+# Backward windows
+
+_AGG = {
+    "last": "arg_max(value, ts)",
+    "min": "min(value)",
+    "max": "max(value)",
+    "mean": "avg(value)",
+    "std": {"train": "coalesce(stddev_samp(value), 0.0)", "row": "stddev_pop(value)"},
+    "slope": {
+        "train": "CASE WHEN max(epoch_us(ts)) > min(epoch_us(ts)) THEN (arg_max(value, ts) - arg_min(value, ts)) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 3.6e9) END",
+        "row": "CASE WHEN max(epoch_us(ts)) > min(epoch_us(ts)) THEN regr_slope(value, epoch_us(ts) / 3.6e9 - 475000.0) END",
+    },
+}
+
+
+def _long(mode: str, name: str, source: str = "look") -> str:
+    sql = _AGG[name] if isinstance(_AGG[name], str) else _AGG[name][mode]
+    return f"SELECT stay_id, hour, category, round({sql}, {3 if name == 'slope' else 6}) AS value_{name} FROM {source} GROUP BY ALL"
+
+
+def _lookback(name: str, mode: str) -> Callable:
+    def run(spark, sf_dir):
+        found = lookback.long_statistics(inputs.grid(spark, sf_dir), inputs.events(spark, sf_dir), mode)
+        # Slopes between values a moment apart are large, and their last digits uncertain.
+        return found.select("stay_id", "hour", "category", F.round(name, 3 if name == "slope" else 6).alias(f"value_{name}"))
+
+    return run
+
+
+for _name, _mode, _as in [("last", "train", "last"), ("min", "train", "min"), ("max", "train", "max"), ("mean", "train", "mean"), ("std", "train", "std_samp"), ("std", "row", "std_pop"), ("slope", "train", "slope_endpoint"), ("slope", "row", "slope_ols")]:
+    _run = _lookback(_name, _mode)
+    _run.__name__ = f"lookback_{_as}"
+    query(_long(_mode, _name))(_run)
+
+
+@query("SELECT stay_id, hour, category, round(avg(value), 6) AS value_mean, round(arg_max(value, ts), 6) AS value_last, count(*) AS n FROM look GROUP BY ALL")
+def lookback_range_form(spark, sf_dir):
+    inside = lookback.windowed_range(inputs.grid(spark, sf_dir), inputs.events(spark, sf_dir))
+    return inside.groupBy("stay_id", "hour", "category").agg(r6(F.avg("value")).alias("value_mean"), r6(F.max_by("value", F.struct("ts", "value"))).alias("value_last"), F.count("*").alias("n"))
+
+
+@query("SELECT g.stay_id, g.hour, CAST(count(l.value) FILTER (l.category = 'view') = 0 AS INT) AS view_missing FROM grid g LEFT JOIN look l USING (stay_id, hour) GROUP BY ALL")
+def lookback_missing(spark, sf_dir):
+    return lookback.block(inputs.grid(spark, sf_dir), inputs.events(spark, sf_dir), ["view"]).select("stay_id", "hour", "view_missing")
+
+
+def _wide(kinds: list[str]) -> str:
+    parts = []
+    for k in kinds:
+        f = f"FILTER (category = '{k}')"
+        t = f"(max(epoch_us(ts)) {f} - min(epoch_us(ts)) {f})"
+        parts += [
+            f"round(arg_max(value, ts) {f}, 6) AS {k}_last", f"round(min(value) {f}, 6) AS {k}_min", f"round(max(value) {f}, 6) AS {k}_max", f"round(avg(value) {f}, 6) AS {k}_mean",
+            f"round(CASE WHEN count(*) {f} > 0 THEN coalesce(stddev_samp(value) {f}, 0.0) END, 6) AS {k}_std", f"round(CASE WHEN {t} > 0 THEN (arg_max(value, ts) {f} - arg_min(value, ts) {f}) / ({t} / 3.6e9) END, 3) AS {k}_slope",
+            f"CAST(count(*) {f} = 0 AS INT) AS {k}_missing",
+        ]
+    return ", ".join(parts)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 3 if c.endswith("_slope") else 6) for c, t in df.dtypes if t == "double"})
+
+
+_BLOCK = "SELECT g.stay_id, g.hour, {c} FROM grid g LEFT JOIN look l USING (stay_id, hour) GROUP BY ALL"
+
+
+@query(_BLOCK.format(c=_wide(["click", "error", "view"])))
+def vital_block(spark, sf_dir):
+    return _rounded(lookback.block(inputs.grid(spark, sf_dir), inputs.events(spark, sf_dir), ["click", "error", "view"]))
+
+
+@query(_BLOCK.format(c=_wide(["purchase", "signup"])))
+def lab_block_skip_absent(spark, sf_dir):
+    return _rounded(lookback.block(inputs.grid(spark, sf_dir), inputs.events(spark, sf_dir), ["purchase", "signup", "never recorded"], skip_absent=True))
+
+
+_MED = "round(coalesce(max(value) FILTER (category = 'purchase' AND value > 0), 0.0), 6) AS vasopressor_max_dose, CAST(count(*) FILTER (category = 'purchase' AND value > 0) > 0 AS INT) AS vasopressor_active"
+
+
+@query(_BLOCK.format(c=_MED))
+def vasopressor_features(spark, sf_dir):
+    doses = inputs.events(spark, sf_dir).where("category = 'purchase'").select("stay_id", "ts", F.col("value").alias("dose"))
+    return _rounded(lookback.medication_block(inputs.grid(spark, sf_dir), doses))
+
+
+def _settings(spark, sf_dir) -> DataFrame:
+    """Rows with two settings of which each is null in other rows."""
+    e = inputs.events(spark, sf_dir)
+    return e.select("stay_id", "ts", F.when(F.col("category") != "view", F.col("value")).alias("a"), F.when(F.col("category") != "click", number("text")).alias("b"))
+
+
+@query(_BLOCK.format(c="round(arg_max(value, ts) FILTER (category <> 'view'), 6) AS a, arg_max(CAST(text AS DOUBLE), ts) FILTER (category <> 'click') AS b"))
+def last_non_null(spark, sf_dir):
+    return _rounded(lookback.last_values(inputs.grid(spark, sf_dir), _settings(spark, sf_dir), ["a", "b"]).drop("_rows"))
+
+
+@query(_BLOCK.format(c="round(CASE WHEN arg_max(category, ts) <> 'view' THEN arg_max(value, ts) END, 6) AS a, CASE WHEN arg_max(category, ts) <> 'click' THEN arg_max(CAST(text AS DOUBLE), ts) END AS b"))
+def last_row(spark, sf_dir):
+    return _rounded(lookback.last_values(inputs.grid(spark, sf_dir), _settings(spark, sf_dir), ["a", "b"], per_column=False).drop("_rows"))
+
+
+_MODES = ", ".join(f"CAST(coalesce(arg_max(category, ts) = '{k}', false) AS INT) AS mode_{k}" for k in KINDS)
+
+
+@query(_BLOCK.format(c=_MODES))
+def mode_onehot(spark, sf_dir):
+    got = lookback.last_values(inputs.grid(spark, sf_dir), inputs.events(spark, sf_dir), ["category"]).drop("_rows")
+    return lookback.one_hot(got, "category", KINDS).drop("category")
+
+
+_FLUID = "round(sum(CASE category WHEN 'signup' THEN value WHEN 'purchase' THEN -value ELSE 0 END) FILTER (category IN ('signup', 'purchase')), 6) AS net_fluid, round(sum(CASE WHEN category = 'purchase' THEN value ELSE 0 END) FILTER (category IN ('signup', 'purchase')), 6) AS urine_output"
+
+
+def _fluids(spark, sf_dir) -> DataFrame:
+    e = inputs.events(spark, sf_dir).where("category IN ('signup', 'purchase')")
+    return e.select("stay_id", "ts", F.col("value").alias("amount"), (F.col("category") == "signup").cast("int").alias("in_out_flag"), F.when(F.col("category") == "purchase", "Urine, voided").otherwise("saline").alias("fluid_name"))
+
+
+@query(_BLOCK.format(c=_FLUID))
+def fluid_balance(spark, sf_dir):
+    return _rounded(lookback.fluid_block(inputs.grid(spark, sf_dir), _fluids(spark, sf_dir)))
+
+
+@query("SELECT stay_id, hour, CAST(NULL AS DOUBLE) AS net_fluid, CAST(NULL AS DOUBLE) AS urine_output FROM grid")
+def fluid_missing_table(spark, sf_dir):
+    return lookback.fluid_block(inputs.grid(spark, sf_dir), None)
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    g, e = inputs.grid(spark, sf_dir), inputs.events(spark, sf_dir)
+    doses = e.where("category = 'purchase'").select("stay_id", "ts", F.col("value").alias("dose"))
+    modes = lookback.one_hot(lookback.last_values(g, e, ["category"]).drop("_rows"), "category", KINDS).drop("category")
+    blocks = [lookback.block(g, e, ["click", "error", "view"]), lookback.medication_block(g, doses), modes, lookback.fluid_block(g, _fluids(spark, sf_dir))]
+    return assemble.feature_matrix(g, blocks)
+
+
+_FEATURES = f"{_wide(['click', 'error', 'view'])}, {_MED}, {_MODES}, {_FLUID}"
+
+
+@query(_BLOCK.format(c=_FEATURES))
+def feature_matrix(spark, sf_dir):
+    return _rounded(_features(spark, sf_dir))
+
+
+@query(f", feat AS ({_BLOCK.format(c=_FEATURES)}) SELECT f.*, CAST({_ANY.format(t='det').replace('g.', 'f.')} AS INT) AS label FROM feat f")
+def inner_label_join(spark, sf_dir):
+    labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
+    return _rounded(assemble.with_labels(_features(spark, sf_dir), labels))
+
+
+# Row frames
+
+_SCORES = """, sc AS (SELECT w.stay_id, w.patient_id, w.window_start, w.window_end, nullif(count(e.ts), 0)::DOUBLE AS score FROM win w
+  LEFT JOIN ev e ON e.stay_id = w.stay_id AND e.ts > w.window_start AND e.ts <= w.window_end GROUP BY ALL),
+fr AS (SELECT *, max(score) OVER (PARTITION BY stay_id ORDER BY window_start ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS baseline,
+  CASE WHEN count(*) OVER n = 12 THEN max(score) OVER n END AS future FROM sc WINDOW n AS (PARTITION BY stay_id ORDER BY window_start ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING))
+"""
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    """Events in each window as its score, null for none; an event lies in one window, found by its distance to the start."""
+    s, e = inputs.stays(spark, sf_dir), inputs.events(spark, sf_dir)
+    from_start = F.ceil((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("admission").cast("timestamp"))) / 3.6e9).cast("int")
+    counts = e.join(s.select("stay_id", "admission"), "stay_id").select("stay_id", "admission", from_start.alias("k")).where("k > 0").groupBy("stay_id", "admission", "k").agg(F.count("*").cast("double").alias("score"))
+    scores = counts.select("stay_id", (F.col("admission") + F.make_dt_interval(hours=F.col("k") - 1)).alias("window_start"), "score")
+    return grid.cohort_windows(s).join(scores, ["stay_id", "window_start"], "left")
+
+
+@query(_WINDOWS + _SCORES + "SELECT stay_id, window_start, score, baseline FROM fr")
+def rolling_max_6(spark, sf_dir):
+    return frames.delta_labels(_scores(spark, sf_dir)).select("stay_id", "window_start", "score", "baseline")
+
+
+@query(_WINDOWS + _SCORES + "SELECT stay_id, window_start, score, future FROM fr")
+def future_max_12(spark, sf_dir):
+    return frames.delta_labels(_scores(spark, sf_dir)).select("stay_id", "window_start", "score", "future")
+
+
+_DELTA = "coalesce(CAST(future - baseline >= 1 AS INT), 0)"
+
+
+@query(_WINDOWS + _SCORES + f"SELECT stay_id, window_start, future - baseline AS delta, {_DELTA} AS label FROM fr")
+def delta_label(spark, sf_dir):
+    return frames.delta_labels(_scores(spark, sf_dir), threshold=1).select("stay_id", "window_start", "delta", "label")
+
+
+@query(_WINDOWS + _SCORES + f"SELECT stay_id, patient_id, window_end AS hour, {_DELTA} AS label FROM fr JOIN stay USING (stay_id, patient_id) WHERE (epoch_us(window_end) - epoch_us(admission)) / 3.6e9 >= 6")
+def score_grid(spark, sf_dir):
+    return frames.score_grid(frames.delta_labels(_scores(spark, sf_dir), threshold=1), inputs.stays(spark, sf_dir))
+
+
+@query(_WINDOWS + ", given AS (SELECT stay_id, window_start, 1.0::DOUBLE AS score FROM win WHERE hour(window_start) % 2 = 0) SELECT win.stay_id, window_start, window_end, score FROM win LEFT JOIN given USING (stay_id, window_start)")
+def scored_windows(spark, sf_dir):
+    windows = grid.cohort_windows(inputs.stays(spark, sf_dir))
+    given = windows.where(F.hour("window_start") % 2 == 0).withColumn("score", F.lit(1.0))
+    return frames.with_scores(windows, given).select("stay_id", "window_start", "window_end", "score")
+
+
+# Joins, samples, metrics
+
+
+@query("SELECT stay_id, ts, category, value FROM ev WHERE stay_id IN (SELECT stay_id FROM det)")
+def semi_join_stays(spark, sf_dir):
+    return assemble.of_stays(inputs.events(spark, sf_dir), inputs.deteriorations(spark, sf_dir)).select("stay_id", "ts", "category", "value")
+
+
+@query("SELECT DISTINCT patient_id, category, date_trunc('hour', ts) AS hour FROM ev")
+def dedupe(spark, sf_dir):
+    return inputs.events(spark, sf_dir).select("patient_id", "category", hour_floor("ts").alias("hour")).dropDuplicates()
+
+
+@query("SELECT o_orderkey, o_custkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS revenue, l_shipdate FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
+def left_join_lines(spark, sf_dir):
+    o, li = inputs.table(spark, sf_dir, "orders"), inputs.table(spark, sf_dir, "lineitem")
+    return o.join(li, o.o_orderkey == li.l_orderkey, "left").select("o_orderkey", "o_custkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("revenue"), "l_shipdate")
+
+
+_HASH = "('0x' || substr(md5({t}), 1, 8))::BIGINT"
+
+
+def _sample_sql() -> str:
+    h = _HASH.format(t="'42:' || stay_id || ':' || strftime(hour, '%Y-%m-%d %H:%M:%S')")
+    return f""", lab AS (SELECT g.stay_id, g.patient_id, g.hour, CAST({_ANY.format(t="det")} AS INT) AS label FROM grid g),
+n AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS total FROM lab GROUP BY label),
+k AS (SELECT lab.*, c, total, row_number() OVER (PARTITION BY lab.label ORDER BY {h}, stay_id, hour) AS i FROM lab JOIN n USING (label))
+SELECT stay_id, hour, label FROM k WHERE total <= 5000 OR i <= round_even(5000.0::DOUBLE * c / total, 0)"""
+
+
+@query(_sample_sql())
+def stratified_sample(spark, sf_dir):
+    labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
+    return sampling.stratified_sample(labels.select("stay_id", "patient_id", "hour", "label"), 5000).select("stay_id", "hour", "label")
+
+
+@query(f"SELECT stay_id, patient_id, CASE WHEN {_HASH.format(t="'42:' || patient_id")} < {int(0.2 * 2**32)} THEN 'test' ELSE 'train' END AS split FROM stay")
+def group_split(spark, sf_dir):
+    return sampling.group_split(inputs.stays(spark, sf_dir)).select("stay_id", "patient_id", "split")
+
+
+@query(f"SELECT stay_id, patient_id FROM stay WHERE {_HASH.format(t="'42:' || stay_id")} < {int(0.5 * 2**32)}")
+def cap_stays(spark, sf_dir):
+    return sampling.capped_stays(inputs.stays(spark, sf_dir), 0.5).select("stay_id", "patient_id")
+
+
+@query(f"SELECT count(DISTINCT stay_id) AS n_stays, count(DISTINCT patient_id) AS n_patients, count(*) AS n_rows, round(avg(CAST({_ANY.format(t='det')} AS INT)), 6) AS positive_rate FROM grid g")
+def dataset_diagnostics(spark, sf_dir):
+    labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
+    return sampling.diagnostics(labels).withColumn("positive_rate", r6("positive_rate"))
+
+
+_RANKED = """, c AS (SELECT risk AS score, sum(label) AS pos, sum(1 - label) AS neg FROM pred GROUP BY risk),
+a AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS tp, coalesce(sum(neg) OVER w, 0) AS fp FROM c WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+"""
+
+
+@query(_RANKED + "SELECT round(sum(neg * (tp + pos * 0.5::DOUBLE)) / (sum(pos) * sum(neg)::DOUBLE), 6) AS auroc FROM a")
+def auroc(spark, sf_dir):
+    return metrics.auroc(inputs.predictions(spark, sf_dir).withColumnRenamed("risk", "score")).withColumn("auroc", r6("auroc"))
+
+
+@query(_RANKED + "SELECT round(sum((tp + pos)::DOUBLE / (tp + pos + fp + neg) * pos) / sum(pos), 6) AS average_precision FROM a")
+def average_precision(spark, sf_dir):
+    return metrics.average_precision(inputs.predictions(spark, sf_dir).withColumnRenamed("risk", "score")).withColumn("average_precision", r6("average_precision"))
+
+
+# Serving
+
+
+@query("SELECT stay_id, patient_id, hour, label, risk FROM pred QUALIFY row_number() OVER (PARTITION BY stay_id ORDER BY hour DESC) = 1")
+def latest_per_stay(spark, sf_dir):
+    return serve.latest(inputs.predictions(spark, sf_dir))
+
+
+@query("SELECT stay_id, patient_id, hour, risk FROM pred WHERE regexp_matches(stay_id, '1.$') OR regexp_matches(patient_id, '1.$')")
+def search_regex(spark, sf_dir):
+    return serve.search(inputs.predictions(spark, sf_dir), "1.$").select("stay_id", "patient_id", "hour", "risk")
+
+
+@query("SELECT stay_id, hour, risk FROM pred WHERE risk BETWEEN 0.2 AND 0.9 ORDER BY risk DESC, stay_id, hour LIMIT 50")
+def risk_band_topk(spark, sf_dir):
+    return serve.risk_band(inputs.predictions(spark, sf_dir), 0.2, 0.9).select("stay_id", "hour", "risk")
+
+
+@query("SELECT p.stay_id, p.hour, p.risk FROM pred p JOIN (SELECT stay_id, max(ts) AS ts FROM ev WHERE stay_id = (SELECT min(stay_id) FROM ev) GROUP BY ALL) m ON p.stay_id = m.stay_id AND p.hour = date_trunc('hour', m.ts)")
+def lookup_exact_or_floor(spark, sf_dir):
+    e = inputs.events(spark, sf_dir)
+    stay = e.agg(F.min("stay_id")).first()[0]
+    moment = e.where(F.col("stay_id") == stay).agg(F.max("ts").cast("string")).first()[0]
+    return serve.lookup(inputs.predictions(spark, sf_dir), stay, moment).select("stay_id", "hour", "risk")
+
+
+@query("""SELECT key, to_json(list({'ts': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'value': value} ORDER BY ts)) AS points FROM (SELECT e.category AS key, e.ts, round(e.value, 3) AS value FROM ev e
+  JOIN (SELECT stay_id, max(ts) AS m FROM ev WHERE stay_id = (SELECT min(stay_id) FROM ev) GROUP BY ALL) s USING (stay_id) WHERE e.ts > s.m - INTERVAL 120 HOUR AND e.ts <= s.m) GROUP BY key""")
+def window_timeseries(spark, sf_dir):
+    e = inputs.events(spark, sf_dir).withColumn("value", F.round("value", 3))
+    stay = e.agg(F.min("stay_id")).first()[0]
+    moment = e.where(F.col("stay_id") == stay).agg(F.max("ts").cast("string")).first()[0]
+    found = serve.series(e.withColumnRenamed("category", "key"), stay, moment, length=120)
+    return found.select("key", F.to_json(F.transform("points", lambda p: F.struct(F.date_format(p["ts"], "yyyy-MM-dd HH:mm:ss").alias("ts"), p["value"].alias("value")))).alias("points"))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS good, CAST(NULL AS DOUBLE) AS bad FROM events")
+def numeric_coercion(spark, sf_dir):
+    e = inputs.table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    return e.select("event_id", number(k).alias("good"), number(F.concat(k, F.lit("d"))).alias("bad"))
+
+
+@query(f"""SELECT stay_id, patient_id, hour AS timestamp, risk AS risk_score, label, CASE WHEN {_HASH.format(t="'42:' || patient_id")} < {int(0.2 * 2**32)} THEN 'test' ELSE 'train' END AS split,
+  hour - INTERVAL 1 HOUR AS start_dttm, hour AS end_dttm FROM pred""")
+def predictions_table(spark, sf_dir):
+    return assemble.prediction_table(sampling.group_split(inputs.predictions(spark, sf_dir)))
