@@ -1,9 +1,10 @@
 """Language identification with a linear-chain conditional random field over words.
 
-The words of a text (runs of letters, lower-cased) are a chain of states, one state for each language
-that was learned. A word's score for a language is the sum of the weights of its features: prefixes and
-suffixes of 1 to 3 characters, inner character bigrams and trigrams with the word's ends marked, and
-the word itself if it's in the lexicon of frequent words. Transitions between languages are learned
+The words of a text (what white space leaves, lower-cased; of each only its letters, and those without a
+letter left out) are a chain of states, one state for each language that was learned. A word's score for
+a language is the sum of the weights of its features: prefixes and suffixes of 1 to 3 characters,
+character trigrams with the word's ends marked, and the word itself if it's in the lexicon of frequent
+words. Transitions between languages are learned
 too, so short foreign stretches in code-switched text are labelled by their context. Forward-backward
 gives each word's probability of each language; a document's is the mean over its words.
 
@@ -13,8 +14,9 @@ chained in hash order, so that chains switch languages as mixed text does. The l
 with all tokens at a time. The model is a table of weights for features seen ``MIN_COUNT`` times in
 this sample, so its size is bounded by the sample's and it can be broadcast.
 
-Prediction reads whole texts; a batch is worked off in parts of about ``PART_CHARS`` characters. A null
-text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be learned.
+Prediction reads whole texts; a batch is worked off in parts of about ``PART_CHARS`` characters. Very long
+chains are stepped in stretches of ``SPAN`` words side by side, each with ``MARGIN`` words of its surroundings
+on both sides that count for nothing else: what is farther away weighs less than rounding. A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be learned.
 Repeated rows are labelled each. An empty table gives no rows.
 """
 
@@ -23,6 +25,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches
+from .common import crc_mod, map_batches, parts
 
 PER_LANG = 400
 STRETCH = 120
@@ -38,21 +42,27 @@ MIN_COUNT = 4
 LEXICON_COUNT = 12
 #: Stretches in one training chain.
 CHAIN = 12
-PART_CHARS = 4_000_000
+PART_CHARS = 8_000_000
+SPAN, MARGIN = 2048, 128
+#: Most words whose scores a task remembers.
+KNOWN_WORDS = 300_000
 UNKNOWN = "und"
 
-words_of = re.compile(r"[^\W\d_]+").findall
+_others = re.compile(r"[\W\d_]+")
+
+
+def letters_of(word: str) -> str:
+    return word if word.isalpha() else _others.sub("", word)
+
+
+def words_of(text: str | None) -> list[str]:
+    return [w for own in (text or "").lower().split() if (w := letters_of(own))]
 
 
 def features(word: str) -> list[str]:
     marked = f"^{word}$"
-    return [
-        "=" + word,
-        *(f"<{word[:k]}" for k in (1, 2, 3)),
-        *(f">{word[-k:]}" for k in (1, 2, 3)),
-        *{marked[k : k + 2] for k in range(len(marked) - 1)},
-        *{marked[k : k + 3] for k in range(len(marked) - 2)},
-    ]
+    ends = ["=" + word, "<" + word[:1], "<" + word[:2], "<" + word[:3], ">" + word[-1:], ">" + word[-2:], ">" + word[-3:]]
+    return ends + [marked[k : k + 3] for k in range(len(word))]
 
 
 class Crf(NamedTuple):
@@ -63,11 +73,12 @@ class Crf(NamedTuple):
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row of language scores for each word."""
-        get, flat, ends = self.index.get, [], []
-        for word in words:
-            flat += [k for f in features(word) if (k := get(f)) is not None]
-            ends.append(len(flat))
-        return spread(self.weights, np.array(flat, np.int64), np.array(ends, np.int64))
+        flat, sizes = [], []
+        for word in words:  # an unknown feature counts as one more row, of zeros
+            own = features(word)
+            flat.extend(map(self.index.get, own, repeat(len(self.index))))
+            sizes.append(len(own))
+        return spread(np.concatenate([self.weights, np.zeros((1, len(self.langs)))]), np.array(flat, np.int64), np.cumsum(sizes))
 
 
 def spread(weights: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -87,9 +98,9 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     starts = (np.cumsum(lengths) - lengths)[order]
     running = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
     p = np.exp(scores - scores.max(axis=1, keepdims=True))
-    step = np.exp(transitions - transitions.max())
+    step = np.exp(transitions - transitions.max()).astype(p.dtype)
     out = np.empty_like(p)
-    a = np.full((len(lengths), p.shape[1]), 1.0)
+    a = np.ones((len(lengths), p.shape[1]), p.dtype)
     for t, n in enumerate(running.tolist()):
         rows = starts[:n] + t
         a = (a[:n] @ step if t else a) * p[rows]
@@ -97,7 +108,7 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
         out[rows] = a
     if forward is not None:
         forward[:] = out
-    b = np.full((len(lengths), p.shape[1]), 1.0)
+    b = np.ones((len(lengths), p.shape[1]), p.dtype)
     for t in range(len(running) - 1, -1, -1):
         if t + 1 < len(running):
             n = running[t + 1]
@@ -168,7 +179,7 @@ def training_stretches(docs: DataFrame, per_lang: int = PER_LANG, stretch: int =
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = words_of(text.lower())
+            words = words_of(text)
             at = zlib.crc32(str(doc).encode()) % max(1, len(words) - stretch + 1)
             out.append(words[at : at + stretch])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out, pa.list_(pa.string()))], ["doc_id", "lang", "words"])
@@ -177,39 +188,93 @@ def training_stretches(docs: DataFrame, per_lang: int = PER_LANG, stretch: int =
     return [(r["lang"], r["words"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["words"]))]
 
 
-def label_texts(model: Crf, texts: list[str | None]) -> tuple[list[str], list[float]]:
+class Scorer(dict):
+    """Row in ``table`` of each word as it stands in a text; -1 if it has no letter. Scored a part at a time."""
+
+    def __init__(self, model: Crf):
+        super().__init__()
+        self.model, self.new = model, []
+        self.table = np.zeros((0, len(model.langs)), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        if not (letters := letters_of(word)):
+            self[word] = -1
+        elif letters is word or letters not in self:
+            self[word] = self[letters] = len(self.table) + len(self.new)
+            self.new.append(letters)
+        else:
+            self[word] = self[letters]
+        return self[word]
+
+    def rows(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text the rows of its words; ``table`` has them afterwards."""
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+            self.table = self.table[:0]
+        found = [np.fromiter(map(self.__getitem__, own := (text or "").lower().split()), np.int32, len(own)) for text in texts]
+        if self.new:
+            self.table = np.concatenate([self.table, self.model.scores(self.new).astype(np.float32)])
+            self.new = []
+        return [own[own >= 0] for own in found]
+
+
+def chain_spans(words: int) -> list[tuple[int, int, int, int]]:
+    """(from, to) of the stretches that a chain is stepped in, and the part (from, to) of it that counts."""
+    if words <= SPAN + 2 * MARGIN:
+        return [(0, words, 0, words)]
+    return [(max(0, s - MARGIN), min(words, s + SPAN + MARGIN), s, min(words, s + SPAN)) for s in range(0, words, SPAN)]
+
+
+def label_texts(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """The most likely language of each text and its mean probability over the words."""
     lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    at = 0
-    while at < len(texts):
-        own, chars, types, tokens, lengths = [], 0, {}, [], []
-        while at < len(texts) and (not own or chars < PART_CHARS):
-            if words := words_of((texts[at] or "").lower()):
-                own.append(at)
-                chars += len(texts[at])
-                lengths.append(len(words))
-                tokens += [types.setdefault(w, len(types)) for w in words]
-            at += 1
+    for first, last in parts(texts, PART_CHARS):
+        chains, counts, words, own = [], [], [], []
+        for k, rows in enumerate(scorer.rows(texts[first:last]), first):
+            if len(rows):
+                own.append(k)
+                words.append(len(rows))
+                for a, b, c, d in chain_spans(len(rows)):
+                    chains.append(rows[a:b])
+                    count = np.zeros(b - a, bool)
+                    count[c - a : d - a] = True
+                    counts.append(count)
         if own:
-            n = np.array(lengths)
-            gamma = marginals(model.scores(list(types))[np.array(tokens)], n, model.transitions)
-            mean = np.add.reduceat(gamma, np.cumsum(n) - n, axis=0) / n[:, None]
-            for k, best in zip(own, mean.argmax(axis=1).tolist(), strict=True):
-                lang[k] = model.langs[best]
-            for k, value in zip(own, mean.max(axis=1).tolist(), strict=True):
-                score[k] = min(1.0, value)
+            gamma = marginals(scorer.table[np.concatenate(chains)], np.array([len(c) for c in chains]), scorer.model.transitions)[np.concatenate(counts)]
+            n = np.array(words)
+            mean = np.add.reduceat(gamma, np.cumsum(n) - n, axis=0, dtype=np.float64) / n[:, None]
+            for k, best, value in zip(own, mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
+                lang[k], score[k] = scorer.model.langs[best], min(1.0, value)
     return lang, score
 
 
+def labelled(df: DataFrame, model: Crf | None, out: Callable[[pa.RecordBatch, list[str], list[float]], pa.RecordBatch], schema) -> DataFrame:
+    """``out`` of each batch with the languages and scores of its ``text``."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value) if shared.value else None
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield out(batch, *(label_texts(scorer, texts) if scorer is not None else ([UNKNOWN] * len(texts), [0.0] * len(texts))))
+
+    return df.mapInArrow(run, schema)
+
+
 def identify_languages(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document."""
-    model = model or fit_crf(training_stretches(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        lang, score = label_texts(shared.value, texts) if shared.value else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+    def out(batch: pa.RecordBatch, lang: list[str], score: list[float]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+    return labelled(rows, model or fit_crf(training_stretches(docs)), out, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.4, model: Crf | None = None) -> DataFrame:
+    """The rows of ``docs`` with a language of at least that score, with all their columns as they are."""
+
+    def keep(batch: pa.RecordBatch, lang: list[str], score: list[float]) -> pa.RecordBatch:
+        return batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return labelled(docs, model or fit_crf(training_stretches(docs)), keep, docs.schema)
