@@ -11,10 +11,11 @@ or letters only), and its characters are tested against randomness over that alp
 
 A secret passes all three within ``TOLERANCE``. But short text passes too, so passing isn't evidence. The
 evidence is how far a run's index of coincidence lies below that of written text: its expectation and
-its spread for a run of n characters follow from the frequencies of the letters in all texts, so the p-value of "this is text" knows the length. False discoveries are controlled at
-``FALSE_SHARE`` by the step-up rule of Benjamini and Hochberg, for each encoding and class of
-lengths apart, over all runs of all documents. The ranks are read from counts of p-values in bins of a tenth
-of a power of ten, so what comes to the driver is bounded.
+its spread for a run of n characters follow from the frequencies of the letters in all texts, so the
+p-value of "this is text" knows the length. False discoveries are controlled at ``FALSE_SHARE`` by the
+step-up rule of Benjamini and Hochberg, for each encoding and class of lengths apart, over all runs of
+all documents. The ranks are read from counts of p-values in bins of a tenth of a power of ten, so what
+comes to the driver is bounded.
 
 Three passes over the texts (letter frequencies, p-value counts, result), each without a shuffle but of
 the small counts. Positions are code points, ends exclusive. A null text counts as empty: no spans. Repeated
@@ -234,7 +235,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``mark``; overlapping spans become one mark."""
+    """``docs`` with every span of ``text`` replaced by ``mark``; overlapping spans become one mark.
+
+    A column ``n_chars`` is brought up to date where a text changes.
+    """
     text = F.col("text").cast("string")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -245,4 +249,8 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     rows = with_spans(docs)
-    return rows.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_spans").select(docs.columns)
+    changed = F.size("_spans") > 0
+    rows = rows.withColumn("text", F.when(changed, clean).otherwise(text))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return rows.select(docs.columns)

@@ -188,3 +188,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return own.join(classes, "fp").select("doc_id", hexed, "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each class of near-duplicates, the one with the smallest id, with all its columns.
+
+    Rows are told apart by their place in the scan, so repeated ids and repeated rows are one class too.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    classes = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    kept = classes.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("k")).select("k._row")
+    return numbered.join(kept, "_row", "left_semi").drop("_row")
