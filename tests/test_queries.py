@@ -23,11 +23,11 @@ def rows(columns, found):
     return sorted(tuple(plain(row[k]) for k in order) for row in found)
 
 
-def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+def test_every_query_but_the_models_has_sql():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"model_predictions", "model_importance", "model_top_contributions"}
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, duck, name):
     got = registry.queries()[name](spark, SMALL)
     expected = duck.sql(registry.oracle_sql()[name])

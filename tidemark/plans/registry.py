@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hour_floor, number
 from tidemark.operators import assemble, forward, frames, grid, lookback, metrics, sampling, serve
+from tidemark.operators import model as risk
 
 from . import inputs
 
@@ -447,3 +448,31 @@ def numeric_coercion(spark, sf_dir):
   hour - INTERVAL 1 HOUR AS start_dttm, hour AS end_dttm FROM pred""")
 def predictions_table(spark, sf_dir):
     return assemble.prediction_table(sampling.group_split(inputs.predictions(spark, sf_dir)))
+
+
+# The model: rows only, as SQL can't train it
+
+
+def _trained(spark, sf_dir):
+    labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
+    patients = inputs.stays(spark, sf_dir).select("stay_id", "patient_id")
+    rows = sampling.group_split(assemble.with_labels(_features(spark, sf_dir), labels).join(patients, "stay_id"))
+    return risk.train(rows, trees=5, depth=3), rows
+
+
+@query()
+def model_predictions(spark, sf_dir):
+    model, rows = _trained(spark, sf_dir)
+    return assemble.prediction_table(model.score(rows))
+
+
+@query()
+def model_importance(spark, sf_dir):
+    model, rows = _trained(spark, sf_dir)
+    return risk.importance(risk.explain(model, rows), model.columns)
+
+
+@query()
+def model_top_contributions(spark, sf_dir):
+    model, rows = _trained(spark, sf_dir)
+    return risk.top_contributions(risk.explain(model, rows), model.columns)
