@@ -39,6 +39,14 @@ def windowed(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFram
     return dealt(rows, length).join(grid.select(STAY, "hour").distinct(), [STAY, "hour"])
 
 
+def beside(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Every (stay, hour) of the grid with each row in its window, or one time with nulls if there is none.
+
+    Aggregating this by (stay, hour) needs no further shuffle and no second join to bring back empty windows.
+    """
+    return grid.select(STAY, "hour").distinct().join(dealt(rows, length), [STAY, "hour"], "left")
+
+
 def windowed_range(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """The same for any times in ``hour``."""
     g = grid.select(STAY, "hour").distinct().withColumnRenamed(STAY, "_stay")
@@ -81,26 +89,25 @@ def block(grid: DataFrame, rows: DataFrame, categories: list[str], mode: str = "
     if not categories:
         return keys
     columns = {f"{safe_name(c)}_{n}": x for c in categories for n, x in statistics(F.col("value"), F.col("ts"), F.col("category") == c, mode).items()}
-    found = windowed(grid, wanted, length).groupBy(STAY, "hour").agg(*(x.alias(n) for n, x in columns.items()))
-    out = keys.join(found, [STAY, "hour"], "left")
-    return out.withColumns({n: F.coalesce(n, F.lit(1)) for n in columns if n.endswith("_missing")})
+    return beside(grid, wanted, length).groupBy(STAY, "hour").agg(*(x.alias(n) for n, x in columns.items()))
 
 
 def medication_block(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """vasopressor_max_dose and vasopressor_active, from rows (stay, ts, dose) of the vasoactive group."""
     dose = number("dose")
-    found = windowed(grid, rows.where(dose > 0), length).groupBy(STAY, "hour").agg(F.max(dose).alias("m"))
-    out = grid.select(STAY, "hour").distinct().join(found, [STAY, "hour"], "left")
-    return out.select(STAY, "hour", F.coalesce("m", F.lit(0.0)).alias("vasopressor_max_dose"), F.col("m").isNotNull().cast("int").alias("vasopressor_active"))
+    found = beside(grid, rows.where(dose > 0), length).groupBy(STAY, "hour").agg(F.max(dose).alias("m"))
+    return found.select(STAY, "hour", F.coalesce("m", F.lit(0.0)).alias("vasopressor_max_dose"), F.col("m").isNotNull().cast("int").alias("vasopressor_active"))
 
 
 def last_values(grid: DataFrame, rows: DataFrame, columns: list[str], per_column: bool = True, length: int = LENGTH) -> DataFrame:
-    """The last value of each column in the window: the last that isn't null, or (``per_column=False``) of the last row."""
-    inside = windowed(grid, rows, length)
-    whole = F.max_by(F.struct(*columns), F.struct("ts", *columns))
+    """The last value of each column in the window: the last that isn't null, or (``per_column=False``) of the last row.
+
+    ``_rows`` counts the window's rows, null if there are none.
+    """
+    n = F.count("ts")
+    whole = F.max_by(F.struct(*columns), F.when(F.col("ts").isNotNull(), F.struct("ts", *columns)))
     aggregates = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", c))).alias(c) if per_column else whole[c].alias(c) for c in columns]
-    found = inside.groupBy(STAY, "hour").agg(*aggregates, F.count("*").alias("_rows"))
-    return grid.select(STAY, "hour").distinct().join(found, [STAY, "hour"], "left")
+    return beside(grid, rows, length).groupBy(STAY, "hour").agg(*aggregates, F.when(n > 0, n).alias("_rows"))
 
 
 def one_hot(df: DataFrame, column: str, values: list[str] | None = None, prefix: str = "mode_") -> DataFrame:
@@ -133,7 +140,6 @@ def fluid_block(grid: DataFrame, rows: DataFrame | None, length: int = LENGTH) -
     if "fluid_name" in rows.columns:
         passed = F.lower("fluid_name").contains("urine") & ((flag == 0) if flag is not None else F.lit(True))
         urine = F.sum(F.when(passed, amount).otherwise(0.0))
-    inside = windowed(grid, rows.where(amount.isNotNull()), length)
-    found = inside.groupBy(STAY, "hour").agg(F.count("*").alias("_n"), *([net.alias("net_fluid")] if flag is not None else []), *([urine.alias("urine_output")] if "fluid_name" in rows.columns else []))
-    out = keys.join(found, [STAY, "hour"], "left")
-    return out.select(STAY, "hour", *(F.col(c) if c in found.columns else nothing.alias(c) for c in ("net_fluid", "urine_output")))
+    some = F.count(amount) > 0
+    found = beside(grid, rows.where(amount.isNotNull()), length).groupBy(STAY, "hour")
+    return found.agg(F.when(some, net if flag is not None else F.max(nothing)).alias("net_fluid"), F.when(some, urine if "fluid_name" in rows.columns else F.max(nothing)).alias("urine_output"))
