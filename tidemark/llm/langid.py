@@ -271,7 +271,7 @@ def identify_languages(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     return labelled(rows, model or fit_crf(training_stretches(docs)), out, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4, model: Crf | None = None) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3, model: Crf | None = None) -> DataFrame:
     """The rows of ``docs`` with a language of at least that score, with all their columns as they are."""
 
     def keep(batch: pa.RecordBatch, lang: list[str], score: list[float]) -> pa.RecordBatch:
