@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 NTZ = "timestamp_ntz"
 #: What counts as a number: an optional sign, digits with an optional point, an optional exponent; or infinity.
@@ -23,6 +24,15 @@ def number(c: Column | str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """``number`` of a column of ``df``; one that is a number already isn't read as text."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, NumericType):
+        return number(name)
+    value = F.col(name).cast("double")
+    return F.when(~F.isnan(value), value) if isinstance(kind, FloatType | DoubleType) else value
+
+
 def hour_floor(c: Column | str) -> Column:
     return F.date_trunc("HOUR", c).cast(NTZ)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hours
+from tidemark.functions.columns import hours, number_of
 
 from . import lookback
 from .grid import PATIENT, STAY
@@ -21,14 +21,12 @@ def feature_matrix(grid: DataFrame, blocks: list[DataFrame]) -> DataFrame:
 
 def clinical_blocks(grid: DataFrame, catalog: dict[str, DataFrame | None], mode: str = "train", modes: list[str] | None = None) -> list[DataFrame]:
     """Vital, laboratory, medication, respiratory and fluid blocks from a catalog whose stays are ``stay_id``."""
-    number = lookback.number
-
     def rows(table: str, ts: str, **columns) -> DataFrame:
         return catalog[table].select(STAY, F.col(ts).alias("ts"), *(c.alias(n) for n, c in columns.items()))
 
-    vitals = rows("vitals", "recorded_dttm", category=F.col("vital_category"), value=number("vital_value"))
+    vitals = rows("vitals", "recorded_dttm", category=F.col("vital_category"), value=number_of(catalog["vitals"], "vital_value"))
     labs = catalog["labs"]
-    value = number("lab_value_numeric") if "lab_value_numeric" in labs.columns else number("lab_value")
+    value = number_of(labs, "lab_value_numeric" if "lab_value_numeric" in labs.columns else "lab_value")
     labs = rows("labs", "lab_result_dttm", category=F.col("lab_category"), value=value)
     medications = catalog["medication_admin_continuous"].where(F.lower("med_group") == "vasoactives")
     if "mar_action_group" in medications.columns:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hour_ceiling, hours, number
+from tidemark.functions.columns import hour_ceiling, hours, number_of
 
 from .grid import PATIENT, STAY
 
@@ -45,7 +45,7 @@ def deaths(patients: DataFrame) -> DataFrame:
 
 def vasopressor_events(medications: DataFrame) -> DataFrame:
     """Rows of the vasoactive group with a dose above zero, given (where an action is recorded at all)."""
-    rows = medications.where((F.lower("med_group") == "vasoactives") & (number("med_dose") > 0))
+    rows = medications.where((F.lower("med_group") == "vasoactives") & (number_of(medications, "med_dose") > 0))
     if "mar_action_group" in rows.columns:
         rows = rows.where(F.lower("mar_action_group") == "administered")
     return rows.select(STAY, F.col("admin_dttm").alias("ts"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hour_ceiling, hours, micros, number, safe_name
+from tidemark.functions.columns import hour_ceiling, hours, micros, number_of, safe_name
 
 from .grid import STAY
 
@@ -94,7 +94,7 @@ def block(grid: DataFrame, rows: DataFrame, categories: list[str], mode: str = "
 
 def medication_block(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """vasopressor_max_dose and vasopressor_active, from rows (stay, ts, dose) of the vasoactive group."""
-    dose = number("dose")
+    dose = number_of(rows, "dose")
     found = beside(grid, rows.where(dose > 0), length).groupBy(STAY, "hour").agg(F.max(dose).alias("m"))
     return found.select(STAY, "hour", F.coalesce("m", F.lit(0.0)).alias("vasopressor_max_dose"), F.col("m").isNotNull().cast("int").alias("vasopressor_active"))
 
@@ -134,7 +134,7 @@ def fluid_block(grid: DataFrame, rows: DataFrame | None, length: int = LENGTH) -
     nothing = F.lit(None).cast("double")
     if rows is None:
         return keys.select("*", nothing.alias("net_fluid"), nothing.alias("urine_output"))
-    amount, flag = number("amount"), number("in_out_flag") if "in_out_flag" in rows.columns else None
+    amount, flag = number_of(rows, "amount"), number_of(rows, "in_out_flag") if "in_out_flag" in rows.columns else None
     net = F.sum(F.when(flag == 1, amount).when(flag == 0, -amount).otherwise(0.0)) if flag is not None else nothing
     urine = nothing
     if "fluid_name" in rows.columns:

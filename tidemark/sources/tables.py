@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import number, utc
+from tidemark.functions.columns import number_of, utc
 
 #: Columns that the operators use, by table: id, time, number or text. All are optional but ids and times.
 COLUMNS: dict[str, dict[str, str]] = {
@@ -53,7 +53,7 @@ def normalise(df: DataFrame, name: str) -> DataFrame:
 
     Columns that aren't known stay as they are; keyed tables keep one row for each key.
     """
-    forms = {"id": lambda c: F.col(c).cast("string"), "time": utc, "number": number, "text": lambda c: F.col(c).cast("string")}
+    forms = {"id": lambda c: F.col(c).cast("string"), "time": utc, "number": lambda c: number_of(df, c), "text": lambda c: F.col(c).cast("string")}
     known = {c: forms[kind](c) for c, kind in COLUMNS.get(name, {}).items() if c in df.columns}
     out = df.withColumns(known)
     return out.dropDuplicates(KEYS[name]) if name in KEYS else out
