@@ -121,8 +121,7 @@ def windows(docs: DataFrame, sizes: list[int], known: list[int], wanted: list[st
     words = rows.select("row", "doc_id", words_of(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
     last = F.size("w") - SHINGLE
     hashed = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("at"), F.xxhash64(F.array_join(F.slice("w", k + 1, SHINGLE), " ")).alias("h")))
-    table = F.array(*(F.lit(h) for h in known))
-    hits = F.filter(hashed, lambda s: F.array_contains(table, s["h"]))
+    hits = F.filter(hashed, lambda s: s["h"].isin(known))
     hit = words.select("row", "doc_id", F.explode(hits).alias("s")).select("row", "doc_id", F.col("s.at").alias("at"), F.col("s.h").alias("h"))
     # A shingle is in the windows that begin half a size apart and hold all of its words.
     each = hit.withColumn("size", F.explode(F.array(*(F.lit(s) for s in sizes))))
