@@ -326,7 +326,9 @@ def test_ball_links_span_all_components(spark, small_group, monkeypatch):
             f ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4)))
             fps.append(f)
     fps = sorted(set(fps))
-    keys, owners = simhash.variants(np.array(fps, np.uint64))
+    keys, codes = simhash.variants(np.array(fps, np.uint64))
+    owners = simhash.owners(keys, codes)
+    assert (np.sort(owners) == np.repeat(np.array(fps, np.uint64), 4 * 49)).all()
     a, b = simhash.links_within(keys, owners)
     number = {f: k for k, f in enumerate(fps)}
     root = list(range(len(fps)))

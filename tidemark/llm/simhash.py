@@ -73,15 +73,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and fingerprints: for each left-out block, the other 48 bits with one bit changed at most."""
-    keys, owners = [], []
+    """Keys and codes: for each left-out block, the other 48 bits with one bit changed at most.
+
+    A key has the block's number and the changed bits. A code has what the key lacks of the fingerprint, the
+    block's own bits and the number of the changed bit, so that a row is small.
+    """
+    keys, codes = [], []
     for block in range(4):
-        low = _ONE * np.uint64(16 * block)
+        low = np.uint64(16 * block)
         below = (_ONE << low) - _ONE
         rest = (fps & below) | ((fps >> np.uint64(16)) & ~below & np.uint64(0xFFFFFFFFFFFF))
+        own = ((fps >> low) & np.uint64(0xFFFF)).astype(np.int32)
         keys.append(((rest[:, None] ^ _BIT[None, :49]) | np.uint64(block << 48)).ravel())
-        owners.append(np.repeat(fps, 49))
-    return np.concatenate(keys), np.concatenate(owners)
+        codes.append((own[:, None] | (np.arange(49, dtype=np.int32) << 16)[None, :]).ravel())
+    return np.concatenate(keys), np.concatenate(codes)
+
+
+def owners(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The fingerprints that emitted these keys and codes."""
+    low = np.uint64(16) * (keys >> np.uint64(48))
+    rest = (keys & np.uint64(0xFFFFFFFFFFFF)) ^ _BIT[codes >> 16]
+    below = (_ONE << low) - _ONE
+    return (rest & below) | ((codes & 0xFFFF).astype(np.uint64) << low) | ((rest & ~below) << np.uint64(16))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,19 +151,19 @@ def ball_links(distinct: DataFrame, parts: int | None = None) -> DataFrame:
     """Links (a, b), a < b, among the distinct fingerprints ``fp``, enough for all components."""
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, owners = variants(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64))], ["key", "fp"])
+        keys, codes = variants(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(codes)], ["key", "code"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("key").to_numpy(), b.column("fp").to_numpy()) for b in batches if b.num_rows]
-        if parts:
-            keys, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
-            a, b = links_within(keys, fps.view(np.uint64))
+        rows = [(b.column("key").to_numpy(), b.column("code").to_numpy()) for b in batches if b.num_rows]
+        if rows:
+            keys, codes = (np.concatenate(x) for x in zip(*rows, strict=True))
+            del rows
+            a, b = links_within(keys, owners(keys.view(np.uint64), codes))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    emitted = map_batches(distinct.select("fp"), emit, "key long, fp long")
+    emitted = map_batches(distinct.select("fp"), emit, "key long, code int")
     dealt = emitted.repartition(parts, "key") if parts else emitted.repartition("key")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
