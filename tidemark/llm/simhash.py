@@ -14,7 +14,8 @@ Skew. Copies count once: only distinct fingerprints are emitted. A variant's gro
 fingerprints only, so it's bounded by the key space (49 x 65,536), whatever the number of copies. In a
 group no list of all pairs is made: small groups compare in numpy blocks, and a large group looks up
 the balls of whole fingerprints instead, where every middle point that has a fingerprint within one
-bit links all others within two bits to it. Both give links that span the same components.
+bit links all others within two bits to it. Both keep only links that join what isn't joined yet, fewer
+than the group has members for a large one, and these span the same components as all links.
 
 Components come from rounds of joins on the linked fingerprints alone (few against all), each round
 written to the shared folder; nothing of them passes through the driver but a count.
@@ -102,9 +103,20 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def small_links(group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    near = np.triu(distance(group[:, None], group[None, :]) <= radius, 1)
-    a, b = np.nonzero(near)
-    yield group[a], group[b]
+    """Links that span the components of all links: each member takes over its neighbours' smallest label until none changes.
+
+    Where a label is taken over, the pair is a link.
+    """
+    near = distance(group[:, None], group[None, :]) <= radius
+    label = np.arange(len(group))
+    while True:
+        seen = np.where(near, label[None, :], len(group))
+        least, giver = seen.min(axis=1), seen.argmin(axis=1)
+        lower = least < label
+        if not lower.any():
+            return
+        yield group[lower], group[giver[lower]]
+        label = np.minimum(label, least)
 
 
 def large_links(group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,20 +125,36 @@ def large_links(group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np
     Points within one bit of a member are kept in a sorted array, each with one member as its hub (65
     entries for each member); each member then looks up its own points of up to two changed bits, one
     change at a time. What is found is a hub within 1 + 2 bits. Two members within three bits share
-    such a point, and both link to its hub, so no link between components is lost.
+    such a point, and both link to its hub, so no link between components is lost. Members that are
+    connected already need no more links, so fewer are kept than there are members.
     """
     points = (group[:, None] ^ _BIT[None, :]).ravel()
     order = np.argsort(points, kind="stable")
-    points, hubs = points[order], np.repeat(group, 65)[order]
+    points, hubs = points[order], np.repeat(np.arange(len(group)), 65)[order]
     first = np.concatenate([[True], points[1:] != points[:-1]])
     points, hubs = points[first], hubs[first]
+    root = np.arange(len(group))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            k = root[k]
+        return k
+
     for change in [0, *(int(x) for x in _BIT[1:]), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]:
         own = group ^ np.uint64(change)
         at = np.minimum(np.searchsorted(points, own), len(points) - 1)
-        found = (points[at] == own) & (hubs[at] != group)
-        found[found] = distance(hubs[at[found]], group[found]) <= radius
-        if found.any():
-            yield group[found], hubs[at[found]]
+        found = np.flatnonzero((points[at] == own) & (root[hubs[at]] != root))
+        links = []
+        for k, hub in zip(found.tolist(), hubs[at[found]].tolist(), strict=True):
+            a, b = find(k), find(hub)
+            if a != b and int(group[k] ^ group[hub]).bit_count() <= radius:
+                root[max(a, b)] = min(a, b)
+                links.append((k, hub))
+        if links:
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+            k, hub = np.array(links).T
+            yield group[k], group[hub]
 
 
 def links_within(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
