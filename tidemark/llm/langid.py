@@ -46,6 +46,8 @@ PART_CHARS = 8_000_000
 SPAN, MARGIN = 2048, 128
 #: Most words whose scores a task remembers.
 KNOWN_WORDS = 300_000
+#: Words that are scored at a time.
+CHUNK = 16_384
 UNKNOWN = "und"
 
 _others = re.compile(r"[\W\d_]+")
@@ -73,12 +75,15 @@ class Crf(NamedTuple):
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row of language scores for each word."""
-        flat, sizes = [], []
-        for word in words:  # an unknown feature counts as one more row, of zeros
-            own = features(word)
-            flat.extend(map(self.index.get, own, repeat(len(self.index))))
-            sizes.append(len(own))
-        return spread(np.concatenate([self.weights, np.zeros((1, len(self.langs)))]), np.array(flat, np.int64), np.cumsum(sizes))
+        table, out = np.concatenate([self.weights, np.zeros((1, len(self.langs)))]), []
+        for at in range(0, len(words), CHUNK):
+            flat, sizes = [], []
+            for word in words[at : at + CHUNK]:  # an unknown feature counts as one more row, of zeros
+                own = features(word)
+                flat.extend(map(self.index.get, own, repeat(len(self.index))))
+                sizes.append(len(own))
+            out.append(spread(table, np.array(flat, np.int64), np.cumsum(sizes)))
+        return np.concatenate(out) if out else np.zeros((0, len(self.langs)))
 
 
 def spread(weights: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
