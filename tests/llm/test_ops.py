@@ -95,6 +95,19 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(60), 64, 0, 1])
 
 
+def test_decontamination_of_frequent_terms(spark):
+    rng = random.Random(11)
+    item = " ".join("b%d" % k for k in range(48))
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    one = spark.createDataFrame([(0, item)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(one, bench).collect()] == [(0, 0)]
+    # A third of short documents are copies of one leak, so each of its terms is frequent.
+    prose = [" ".join("w%d" % rng.randint(0, 400) for _ in range(100)) for _ in range(60)]
+    texts = [p + " " + item if k % 3 == 0 else p for k, p in enumerate(prose)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in decontam.find_leaks(docs, bench).collect()} == set(range(0, 60, 3))
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
