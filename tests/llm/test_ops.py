@@ -108,6 +108,39 @@ def test_decontamination_of_frequent_terms(spark):
     assert {r["doc_id"] for r in decontam.find_leaks(docs, bench).collect()} == set(range(0, 60, 3))
 
 
+def brute_leaks(text, items):
+    """Items that the checks accept around any window of a text, without any retrieval before them."""
+    words, out = decontam.plain_words(text), set()
+    for k, item in enumerate(items):
+        answer = decontam.answer_of(item)
+        for passage in decontam.passages_of(decontam.plain_words(item)):
+            for start in range(0, len(words), decontam.STRIDE):
+                around = words[max(0, start - len(passage)) : start + decontam.WINDOW + len(passage)]
+                share, of_answer = (decontam.common_subsequence(decontam.places(x), len(x), around) / len(x) for x in (passage, answer))
+                if share >= decontam.VERBATIM or (share >= decontam.PARAPHRASE and of_answer >= decontam.PARAPHRASE):
+                    out.add(k)
+    return out
+
+
+def test_decontamination_of_paraphrases_at_every_offset(spark):
+    rng = random.Random(12)
+    vocabulary = ["w%d" % k for k in range(3000)]
+    items = [" ".join(rng.choices(vocabulary, k=n - 8)) + ". " + " ".join(rng.choices(vocabulary, k=8)) + "." for n in (40, 44, 48, 100)]
+    texts = []
+    for item in items:
+        own = item.split()
+        for offset in range(decontam.STRIDE):
+            kept = sorted(rng.sample(range(len(own)), math.ceil(0.6 * len(own)) + offset % 2))
+            rewritten = [w if k in kept else rng.choice(vocabulary) for k, w in enumerate(own)]
+            texts.append(" ".join(rng.choices(vocabulary, k=48 + offset) + rewritten + rng.choices(vocabulary, k=60)))
+    texts += [" ".join(rng.choices(vocabulary, k=200)) for _ in range(20)]
+    expected = {(t, k) for t, text in enumerate(texts) for k in brute_leaks(text, items)}
+    assert len(expected) > 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()} == expected
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
