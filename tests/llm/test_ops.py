@@ -483,6 +483,28 @@ def test_licenses(spark, duck, small):
     assert got == {(0, "MIT"), (1, "MIT"), (3, "MIT-line")}
 
 
+def test_licenses_in_a_row_match_sql(spark):
+    import duckdb
+
+    rng = random.Random(21)
+    templates = dict(license_scan.TEMPLATES)
+    names = sorted(templates)
+    texts = [" ".join(templates[n] for n in ("MIT-line", "GPL-3.0-notice", "Apache-2.0-line"))]
+    texts += [" ".join(templates[n] for n in rng.sample(names, rng.randint(2, 5))) for _ in range(400)]
+    # One of many words, beyond any fixed window, with a sixth of its shingles gone.
+    templates["long"] = " ".join("t%d" % k for k in range(5000))
+    texts.append("x " * 700 + " ".join(w for k, w in enumerate(templates["long"].split()) if k % 30))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.scan_licenses(docs, templates)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    expected = con.sql(license_scan.oracle_sql(templates))
+    rows = {(r["doc_id"], r["license"], r["from_word"], r["containment"]) for r in got.collect()}
+    assert rows == set(con.sql(f"SELECT doc_id, license, from_word, containment FROM ({expected.sql_query()})").fetchall())
+    assert {(0, "MIT-line"), (401, "long")} <= {r[:2] for r in rows}
+
+
 def test_license_anchors_lose_nothing():
     wanted = set(license_scan.anchors(license_scan.TEMPLATES))
     for text in license_scan.TEMPLATES.values():

@@ -1,18 +1,15 @@
-"""License scan with DataFrame functions only: MinHash bands over overlapping windows, then exact containment.
+"""License scan with DataFrame functions only: MinHash sketches over overlapping windows, then exact containment.
 
 A text is cut into windows of words that overlap by half, at sizes of a power of two. Each template is
 looked for at the size that is at least twice its own length, so wherever it stands, it lies within one
 window. The words are lower-cased runs of letters and digits; shingles are five words in a row.
 
-MinHash compares like with like only if the window isn't much larger than the template. So each window
-signs only its shingles that occur in some template (a table of hashes, bounded by the templates): what is left
-of a window that holds a template is close to the template's own set. Bands of ``ROWS`` = 1 minimum
-of one of ``BANDS`` = 12 hash functions retrieve templates that share a band. At a similarity s of the
-sets one band meets with probability s, and none of twelve with (1 - s)^12: at s = 0.8 that's 4e-9, at
-0.5 2e-4. A window that holds two templates signs both; the one with fewer shingles still shares each
-minimum with the probability of its share.
+Each window keeps only its shingles that occur in some template (a table of hashes, bounded by the templates).
+A template's sketch is its bottom-k MinHash: the k shingles with the least hashes, k one more than the
+shingles that a match may lack. So every match has a shingle of the sketch, whatever else is in the window,
+and windows retrieve the templates whose sketch they share a shingle with; none is lost.
 
-What a band retrieves is verified: the share of the template's distinct shingles that stand in the window must be
+What a sketch retrieves is verified: the share of the template's distinct shingles that stand in the window must be
 ``CONTAINMENT`` or more. Templates shorter than a shingle can't be scanned for.
 
 Texts that can't match are passed over early without a loss: a template's match needs 0.8 of its
@@ -33,9 +30,8 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 12
-#: Smallest and largest window, in words.
-SMALLEST, LARGEST = 16, 4096
+#: Smallest window, in words.
+SMALLEST = 16
 
 #: License statements in public use, as their publishers give them.
 TEMPLATES = {
@@ -93,7 +89,7 @@ def anchors(templates: dict[str, str]) -> list[str]:
 
 def window_size(words: int) -> int:
     size = SMALLEST
-    while size < 2 * words and size < LARGEST:
+    while size < 2 * words:
         size *= 2
     return size
 
@@ -104,9 +100,10 @@ def template_table(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows, "license string, size int, template array<long>")
 
 
-def minima(hashes: Column) -> Column:
-    """One (band, minimum) for each band; hash functions are XXH64 of the shingle's hash with the band's number."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(hashes, lambda h: F.xxhash64(b, h))).alias("least")))
+def sketch(shingles: list[int]) -> list[int]:
+    """The shingles with the least hashes (XXH64 of their own), so many that a match has one of them."""
+    lacking = int((1 - CONTAINMENT) * len(shingles) + 1e-9)
+    return sorted(shingles, key=lambda h: (xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True)), h))[: lacking + 1]
 
 
 def words_of(text: Column) -> Column:
@@ -137,10 +134,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     known = table.collect()
     sizes, hashes = sorted({r["size"] for r in known}), sorted({h for r in known for h in r["template"]})
     found = windows(docs, sizes, hashes, anchors(templates))
-    own_bands = table.select("*", F.explode(minima(F.col("template"))).alias("m")).select("license", "size", "template", "m.*")
-    bands = found.select("*", F.explode(minima(F.col("own"))).alias("m")).select("row", "doc_id", "size", "window", "own", "m.*")
+    rows = [(r["license"], r["size"], r["template"], h) for r in known for h in sketch(r["template"])]
+    sketches = docs.sparkSession.createDataFrame(rows, "license string, size int, template array<long>, h long")
+    kept = F.filter("own", lambda h: h.isin(sorted({r[3] for r in rows})))
+    shared = found.select("*", F.explode(kept).alias("h"))
     share = F.size(F.array_intersect("own", "template")) / F.size("template")
-    pairs = bands.join(F.broadcast(own_bands), ["size", "band", "least"]).select("row", "doc_id", "size", "window", "license", share.alias("containment")).where(F.col("containment") >= CONTAINMENT).distinct()
+    pairs = shared.join(F.broadcast(sketches), ["size", "h"]).select("row", "doc_id", "size", "window", "license", share.alias("containment")).where(F.col("containment") >= CONTAINMENT).distinct()
     first = pairs.alias("a").join(pairs.select("row", "license", (F.col("window") + 1).alias("window")).alias("b"), ["row", "license", "window"], "left_anti")
     start = (F.col("window") * F.col("size") / 2).cast("long")
     return first.select("doc_id", "license", "containment", start.alias("from_word"), (start + F.col("size")).alias("to_word"))
