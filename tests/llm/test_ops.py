@@ -392,6 +392,29 @@ def test_ball_links_span_all_components(spark, small_group, monkeypatch):
     assert [find(k) for k in range(len(fps))] == [expected[k] for k in range(len(fps))]
 
 
+def test_keep_first_when_scans_are_split_anew(spark, tmp_path, monkeypatch):
+    rng = random.Random(31)
+    texts = [" ".join("v%d" % rng.randint(0, 900) for _ in range(80)) for _ in range(30)]
+    rows = [(k, texts[k % 30]) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id").write.parquet(f"{tmp_path}/docs")
+    own, setting, default = simhash.stored, "spark.sql.files.openCostInBytes", "4194304"
+
+    def stored(df):
+        out = own(df)
+        spark.conf.set(setting, str(1 << 40))  # from now on each file is a part of its own
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.set(setting, "0")
+    try:
+        kept = simhash.keep_first(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    finally:
+        spark.conf.set(setting, default)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(r["doc_id"] for r in kept) == list(range(30))
+
+
 def test_keep_first(spark):
     text = " ".join(f"w{k}" for k in range(80))
     docs = docs_of(spark, ["other words here", text, text, text.upper(), None, ""])

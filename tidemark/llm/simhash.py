@@ -234,9 +234,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each class of near-duplicates, the one with the smallest id, with all its columns.
 
-    Rows are told apart by their place in the scan, so repeated ids and repeated rows are one class too.
+    Rows are told apart by their place in the scan, so repeated ids and repeated rows are one class too. The
+    numbered rows are written once: another scan can be split otherwise and number them anew.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
     classes = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
     kept = classes.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("k")).select("k._row")
