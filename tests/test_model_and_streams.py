@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tidemark.operators import lookback, model
-from tidemark.plans import inputs
+from tidemark.plans import inputs, registry
 from tidemark.streaming.lookback import label_stream, lookback_stream
 
 
@@ -34,6 +34,19 @@ def test_model_learns_and_explains(spark, matrix):
     assert fitted.score(matrix.drop("b")).count() == 400
 
 
+def test_model_queries_train_all_rounds(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def asked(**params):
+        raise Asked(params["maxIter"], params["maxDepth"])
+
+    monkeypatch.setattr(model, "GBTClassifier", asked)
+    with pytest.raises(Asked) as found:
+        registry.queries()["model_predictions"](spark, SMALL)
+    assert found.value.args == (100, 6)
+
+
 def run_stream(spark, tmp_path, transform, mode):
     events = inputs.events(spark, SMALL)
     events.write.parquet(f"{tmp_path}/in")

@@ -42,7 +42,7 @@ class RiskModel(NamedTuple):
         return scored.select(*df.columns, risk)
 
 
-def train(df: DataFrame, trees: int = 20, depth: int = 4, seed: int = 42) -> RiskModel:
+def train(df: DataFrame, trees: int = 100, depth: int = 6, seed: int = 42) -> RiskModel:
     """From a feature matrix with ``label`` and ``split`` (rows of the test side aren't looked at)."""
     rows = (df.where("split = 'train'") if "split" in df.columns else df).persist()
     columns = feature_columns(rows)

@@ -457,7 +457,7 @@ def _trained(spark, sf_dir):
     labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
     patients = inputs.stays(spark, sf_dir).select("stay_id", "patient_id")
     rows = sampling.group_split(assemble.with_labels(_features(spark, sf_dir), labels).join(patients, "stay_id"))
-    return risk.train(rows, trees=5, depth=3), rows
+    return risk.train(rows), rows
 
 
 @query()
