@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: what stands between ASCII white space (space and U+0009 to U+000D).
@@ -62,15 +62,39 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    name = "_" + name.lower()
+    while name in taken:
+        name += "_"
+    return name
+
+
+def hash_below(share: float, *columns: str) -> Column:
+    """Whether the hash of these columns is in the lowest ``share`` of all 64-bit hashes."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*columns) < F.lit(int(share * 2.0**64) - 2**63)
+
+
 def sampled_labels(labels: DataFrame, value: str, max_rows: int) -> DataFrame:
-    """About ``max_rows`` labelled ids at most, one row for each id: ``doc_id`` and ``value``.
+    """``max_rows`` labelled ids at most, one row for each id: ``doc_id`` and ``value``.
 
-    The sample is every label whose hashed id falls under a share of the hash range, so it's the
-    same at each run and has no order of rows in it. An id with several labels keeps the largest.
+    The sample is the labels whose ids have the smallest hashes, so it's the same at each run and has no
+    order of rows in it. An id with several labels keeps the largest. Of many labels a share of the hash
+    range somewhat larger than needed is taken first, so that few rows meet where the smallest are chosen.
     """
-    one = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(value).alias(value))
-    share = min(1.0, max_rows / max(1, labels.count()))
-    return one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).select("doc_id", value)
+    ids = usable.agg(F.approx_count_distinct("doc_id", 0.02)).first()[0]
+    few = usable.where(hash_below(1.5 * max_rows / max(1, ids), "doc_id"))
+    return few.groupBy("doc_id").agg(F.max(value).alias(value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """The texts of a sample's ids with its columns, one row for each id: of repeated ids the largest text."""
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    return texts.groupBy("doc_id").agg(F.max("text").alias("text")).join(F.broadcast(sample), "doc_id")
 
 
 def parts(texts: list, size: int) -> Iterator[tuple[int, int]]:

@@ -8,14 +8,23 @@ smallest; a new sequence is opened only if the piece fits in none. Groups are sm
 task and large enough that a group ends with few sequences that aren't full, so no piece has to meet
 all others, and the number of groups grows with the input.
 
-Texts are tokenised once, map-side; only a few numbers for each piece are shuffled. A null or empty
-text is one end id. Repeated rows are packed as often as they occur. An empty table gives no rows.
+Texts are tokenised once, map-side, and the pieces are written to the shared folder: their number gives the
+number of groups, and only a few numbers for each piece are shuffled (its ids too, where they are asked for). The
+hash that deals takes in a row's place, so repeated rows, null ids and the pieces of one very long text spread over
+all groups like any others. A null or empty text is one end id. Repeated rows are packed as often as they occur. Of
+pieces of equal length the smaller id, piece and checksum is placed first. An empty table gives no rows.
+
+The library splits white space at a text's long runs by backtracking, which overflows its stack from about a million
+characters. Such runs are cut out first, exactly where its pattern would, and encoded as the single pre-token they are.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,22 +35,61 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, stored, unused
 
 CAPACITY = 1024
 END_ID = 2
+#: The tokenizer: the name of its files without their endings.
+VOCABULARY = "byte_bpe_50k"
 #: Pieces for each packing group, about.
 GROUP_PIECES = 4000
-#: The special string that the tokenizer's own file declares, and its id.
-SPECIAL = {"<|endoftext|>": 50256}
+#: Runs of white space from this length on are cut out before encoding.
+LONG_RUN = 10_000
+_long_run = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_RUN)
 
 
 @lru_cache(maxsize=2)
-def encoding(ranks: str) -> tiktoken.Encoding:
-    """The byte-level BPE whose ranks file is ``ranks``: the same ids as its .json form."""
-    with open(public_tokenizers.path(ranks), "rb") as lines:
+def encoding(vocabulary: str) -> tiktoken.Encoding:
+    """The byte-level BPE whose ranks file is ``vocabulary``.tiktoken, with the special strings that ``vocabulary``.json declares: the same ids."""
+    with open(public_tokenizers.path(vocabulary + ".tiktoken"), "rb") as lines:
         ranked = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranked, special_tokens=SPECIAL)
+    with open(public_tokenizers.path(vocabulary + ".json"), encoding="utf-8") as file:
+        special = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranked, special_tokens=special)
+
+
+def long_runs(text: str) -> Iterator[tuple[str, bool]]:
+    """``text``, which holds no special string, in parts; true for a long run of white space that is one pre-token.
+
+    The split takes a run of white space up to its last character if something follows, which then begins the
+    next pre-token, and all of it at the end of the text.
+    """
+    at = 0
+    for run in _long_run.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    yield text[at:], False
+
+
+@lru_cache(maxsize=2)
+def special_pattern(vocabulary: str) -> re.Pattern:
+    return re.compile("(" + "|".join(map(re.escape, sorted(encoding(vocabulary).special_tokens_set))) + ")")
+
+
+def token_ids(text: str, vocabulary: str) -> np.ndarray:
+    """The ids of a text of any length and any runs."""
+    own = encoding(vocabulary)
+    if len(text) < LONG_RUN or not _long_run.search(text):
+        return own.encode_to_numpy(text, allowed_special="all")
+    found = []
+    for k, part in enumerate(special_pattern(vocabulary).split(text)):
+        if k % 2:
+            found.append(own.encode_to_numpy(part, allowed_special="all"))
+        else:
+            found += (np.array(own._encode_single_piece(x), np.uint32) if whole else own.encode_to_numpy(x, disallowed_special=()) for x, whole in long_runs(part) if x)
+    return np.concatenate(found)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -50,16 +98,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(start, capacity) for start in range(first, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str = "byte_bpe_50k.tiktoken", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each document; with_ids adds its ids."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoding(ranks).encode_to_numpy
         rows: list[list] = [[] for _ in range(6)]
         for at, text in enumerate(batch.column("text").to_pylist()):
-            ids = np.append(encode(text or "", allowed_special="all"), END_ID).astype("<u4").tobytes()
+            ids = np.append(token_ids(text or "", vocabulary), END_ID).astype("<u4").tobytes()
             for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                 own = ids[4 * start : 4 * (start + length)]
                 for column, value in zip(rows, (at, piece, start, length, zlib.crc32(own), own), strict=True):
@@ -100,22 +147,24 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset; ``groups`` groups are packed apart from each other."""
-    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_group")]
-    kinds = dict(pieces.dtypes)
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    kinds, key = dict(pieces.dtypes), unused(pieces, "group")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", sequence_id long, offset long"
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
         inside, offset = sum_of_squares(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=(group["_group"].to_numpy(np.int64) << 32) + inside, offset=offset)[[*columns, "sequence_id", "offset"]]
+        return group.assign(sequence_id=(group[key].to_numpy(np.int64) << 32) + inside, offset=offset)[[*columns, "sequence_id", "offset"]]
 
-    dealt = pieces.select(*columns).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, groups))))
-    return dealt.groupBy("_group").applyInPandas(place, schema)
+    row = F.monotonically_increasing_id()
+    dealt = pieces.select(*columns).withColumn(key, F.pmod(F.xxhash64(row, "piece", "ids_crc32"), F.lit(max(1, groups))))
+    return dealt.groupBy(key).applyInPandas(place, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its place: sequence_id, and a gapless offset there."""
-    return pack(token_pieces(docs, capacity, with_ids=with_ids), -(-docs.count() // group_pieces), capacity)
+    pieces = stored(token_pieces(docs, capacity, with_ids=with_ids))
+    return pack(pieces, -(-pieces.count() // group_pieces), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

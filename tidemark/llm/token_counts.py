@@ -11,8 +11,11 @@ Tier one comes from all documents: each task counts the words of its rows and pa
 that make up at least ``1 / HEAVY`` of them (so ``HEAVY`` rows a task at most). A word with that share
 of the corpus has it in some task, so none is missed. The ``TABLE_WORDS`` most frequent are encoded.
 
+The only shuffle is that of these candidates for tier one, already counted: ``HEAVY`` rows a task at most,
+whatever the texts hold.
+
 The special string of the tokenizer inside a text counts as one token, as its library has it by
-default. A null text counts as empty: no bytes, no tokens. An empty table gives no rows; repeated rows
+default. Pre-tokens of any length are encoded as they are, without a second split, and long ones aren't kept. A null text counts as empty: no bytes, no tokens. An empty table gives no rows; repeated rows
 are counted each.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
-from .packing import SPECIAL, encoding
+from .packing import VOCABULARY, encoding, special_pattern
 
 #: A word counts as frequent from this share of a task's words on: one in HEAVY.
 HEAVY = 16_384
@@ -37,8 +40,8 @@ TABLE_WORDS = 32_768
 #: Most pre-tokens in a worker's cache.
 CACHE_ENTRIES = 400_000
 LIMIT = 512
-#: The vocabulary of byte_bpe_50k.json in the form that encodes a single pre-token fastest; the ids are the same.
-RANKS = "byte_bpe_50k.tiktoken"
+#: Longest pre-token that is kept in a cache.
+KEPT_CHARS = 200
 
 #: The tokenizer's own split, for any text.
 FULL = regex.compile(public_tokenizers.PATTERN)
@@ -52,24 +55,26 @@ def pre_tokens(text: str) -> list[str]:
 
 
 class Lengths(dict):
-    """Tokens of each pre-token; a miss is encoded and kept, within ``CACHE_ENTRIES``."""
+    """Tokens of each pre-token; a miss is encoded and kept, within ``CACHE_ENTRIES`` of ``KEPT_CHARS`` at most."""
 
-    def __init__(self, ranks: str, frequent: dict[str, int]):
+    def __init__(self, vocabulary: str, frequent: dict[str, int]):
         super().__init__(frequent)
-        self.encode, self.frequent = encoding(ranks).encode_ordinary, frequent
-        self.special = re.compile("|".join(map(re.escape, SPECIAL)))
+        self.encode, self.frequent = encoding(vocabulary)._encode_single_piece, frequent
+        self.special = special_pattern(vocabulary)
 
     def __missing__(self, piece: str) -> int:
-        if len(self) > CACHE_ENTRIES + len(self.frequent):
-            self.clear()
-            self.update(self.frequent)
-        n = self[piece] = len(self.encode(piece))
+        n = len(self.encode(piece))
+        if len(piece) <= KEPT_CHARS:
+            if len(self) > CACHE_ENTRIES + len(self.frequent):
+                self.clear()
+                self.update(self.frequent)
+            self[piece] = n
         return n
 
     def count(self, text: str) -> int:
         """Special strings count one each; what stands between them is split as usual."""
         parts = self.special.split(text)
-        return len(parts) - 1 + sum(sum(map(self.__getitem__, pre_tokens(part))) for part in parts if part)
+        return len(parts) // 2 + sum(sum(map(self.__getitem__, pre_tokens(part))) for part in parts[::2] if part)
 
 
 _caches: dict[str, Lengths] = {}
@@ -97,22 +102,22 @@ def frequent_words(docs: DataFrame, heavy: int = HEAVY, table_words: int = TABLE
     return [row["word"] for row in top.collect()]
 
 
-def frequent_lengths(words: list[str], ranks: str = RANKS) -> dict[str, int]:
+def frequent_lengths(words: list[str], vocabulary: str = VOCABULARY) -> dict[str, int]:
     """Lengths of the pre-tokens of each word, after a space and at a line's start."""
     pieces = {p for word in words for p in (*pre_tokens(" " + word), *pre_tokens(word))}
-    return {p: len(encoding(ranks).encode_ordinary(p)) for p in sorted(pieces)}
+    return {p: len(encoding(vocabulary)._encode_single_piece(p)) for p in sorted(pieces)}
 
 
-def token_counts(docs: DataFrame, ranks: str = RANKS, limit: int = LIMIT, frequent: dict[str, int] | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, frequent: dict[str, int] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each document."""
     if frequent is None:
-        frequent = frequent_lengths(frequent_words(docs), ranks)
+        frequent = frequent_lengths(frequent_words(docs), vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lengths = _caches.get(ranks)
+        lengths = _caches.get(vocabulary)
         if lengths is None or lengths.frequent is not shared.value:
-            lengths = _caches[ranks] = Lengths(ranks, shared.value)
+            lengths = _caches[vocabulary] = Lengths(vocabulary, shared.value)
         texts = [text or "" for text in batch.column("text").to_pylist()]
         tokens = pa.array([lengths.count(text) for text in texts], pa.int64())
         sizes = pa.array([len(text.encode()) for text in texts], pa.int64())
