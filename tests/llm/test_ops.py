@@ -237,9 +237,41 @@ def test_token_counts(spark, texts):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((own[k] or "").encode()), n, n > 512)
 
 
+def test_long_runs_give_the_library_s_ids():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = token_counts.Lengths(packing.VOCABULARY, {})
+    rng = random.Random(41)
+    own = []
+    for n in (9_999, 10_000, 10_001, 30_000):
+        for run in (" ", "\n", "\t ", " \n", "\u3000", "\xa0", "\x85 ", "\x1c"):
+            for before in ("", "a", "\u00e9.", "<|endoftext|>"):
+                own += [before + (run * n)[:n] + after for after in rng.sample(["", "b", "'s", "<|endoftext|>", ".", "7", "\u65e5", "\n\n z" + run * 2], 3)]
+    own += ["x" + c * 1_000_000 + "b" for c in " \na"]
+    for text in own:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert packing.token_ids(text, packing.VOCABULARY).tolist() == ids
+        assert lengths.count(text) == len(ids)
+
+
+def test_ten_million_characters_of_one_kind(spark):
+    docs = spark.createDataFrame([(k, c * 10_000_000 + "x") for k, c in enumerate(" \na")], "doc_id long, text string").repartition(3)
+    tokens = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs).collect()}
+    packed = {r["doc_id"]: r["n"] for r in packing.pack_documents(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert tokens[0] == 10_000_000 and tokens[1] == 5_000_002 and packed == {d: n + 1 for d, n in tokens.items()}
+
+
+def test_packing_groups_are_even(spark):
+    """Neither repeated rows with a null id nor the pieces of few long texts make a large group."""
+    text = "some words of a text " * 20
+    docs = spark.createDataFrame([(None, text)] * 3000 + [(k, "w " * 60_000) for k in range(40)], "doc_id long, text string")
+    packed = packing.pack_documents(docs, group_pieces=500).withColumn("group", F.shiftright("sequence_id", 32))
+    sizes = [r["count"] for r in packed.groupBy("group").count().collect()]
+    assert len(sizes) == -(-sum(sizes) // 500) and max(sizes) < 700
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 50)
-    lengths = token_counts.Lengths(token_counts.RANKS, {"a": 1})
+    lengths = token_counts.Lengths(packing.VOCABULARY, {"a": 1})
     assert lengths.count(" ".join(str(k) for k in range(1000))) == sum(len(lengths.encode(p)) for p in token_counts.pre_tokens(" ".join(str(k) for k in range(1000))))
     assert len(lengths) <= 53
 
@@ -328,6 +360,46 @@ def test_code_switching_is_labelled_by_word():
     assert model.transitions[0, 0] > model.transitions[0, 1]
 
 
+def test_long_chains_in_stretches_are_exact(monkeypatch):
+    """Margins from the transitions: stepping a chain in stretches changes nothing, however sticky they are."""
+    rng = np.random.default_rng(42)
+    for strength in (0.5, 2.0):
+        moves = rng.normal(size=(3, 3)) * strength
+        margin = langid.margin_of(moves)
+        scores = np.where(rng.random((9000, 1)) < 0.05, rng.normal(size=(9000, 3)) * 3, 0.0)
+        exact = langid.marginals(scores, np.array([9000]), moves)
+        monkeypatch.setattr(langid, "SPAN", 500)
+        spans = langid.chain_spans(9000, margin)
+        assert len(spans) > 2 and [s[2] for s in spans] == [0, *(s[3] for s in spans[:-1])] and spans[-1][3] == 9000
+        for a, b, c, d in spans:
+            own = langid.marginals(scores[a:b], np.array([b - a]), moves)[c - a : d - a]
+            assert np.abs(own - exact[c:d]).max() < 1e-6
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """Repeated rows of one id are one row of a sample."""
+    docs = spark.createDataFrame([(1, "some text here", "en")] * 3000 + [(k, f"words of text {k} ", "en") for k in range(2, 300)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(300)] * 3, "doc_id long, toxic int, quality int")
+    from tidemark.llm import common
+
+    for bound in (20, 1000):
+        sample = common.sampled_labels(labels, "toxic", bound)
+        assert sample.count() == min(bound, 300)
+        assert common.labelled_texts(docs, sample).count() <= bound
+    rows = langid.training_stretches(docs, per_lang=50)
+    assert len(rows) == 50 and sum("here" in w for _, w in rows) <= 1
+
+
+def test_held_out_quality_and_toxicity(spark):
+    sf = SMALL.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    held = {r["doc_id"]: r for r in labels.where(fold == 0).collect()}
+    for rows, truth, column in ((toxicity.grade_toxicity(docs, labels.where(fold != 0)), "toxic", "toxic"), (quality.quality_rules(docs, labels.where(fold != 0)), "quality", "kept")):
+        judged = [r for r in rows.collect() if r["doc_id"] in held]
+        assert len(judged) > 60 and sum(r[column] == bool(held[r["doc_id"]][truth]) for r in judged) >= 0.9 * len(judged)
+
+
 def brute_fingerprint(text):
     own = words(lower(text))
     if not own:
@@ -362,9 +434,10 @@ def test_simhash(spark, texts):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {d: (f"{fps[d]:016x}", expected[d]) for d in own}
 
 
-@pytest.mark.parametrize("small_group", [512, 2])
-def test_ball_links_span_all_components(spark, small_group, monkeypatch):
+@pytest.mark.parametrize(("small_group", "large_group"), [(512, 1 << 20), (2, 1 << 20), (2, 2)])
+def test_ball_links_span_all_components(spark, small_group, large_group, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL_GROUP", small_group)
+    monkeypatch.setattr(simhash, "LARGE_GROUP", large_group)
     rng = random.Random(11)
     fps = [rng.getrandbits(64) for _ in range(150)]
     for f in fps[:60]:  # chains of neighbours at one to four bits
@@ -375,7 +448,7 @@ def test_ball_links_span_all_components(spark, small_group, monkeypatch):
     keys, codes = simhash.variants(np.array(fps, np.uint64))
     owners = simhash.owners(keys, codes)
     assert (np.sort(owners) == np.repeat(np.array(fps, np.uint64), 4 * 49)).all()
-    a, b = simhash.links_within(keys, owners)
+    a, b = simhash.links_within(keys, codes)
     number = {f: k for k, f in enumerate(fps)}
     root = list(range(len(fps)))
 
@@ -385,13 +458,42 @@ def test_ball_links_span_all_components(spark, small_group, monkeypatch):
         return x
 
     for x, y in zip(a.view(np.uint64).tolist(), b.view(np.uint64).tolist(), strict=True):
-        assert (x ^ y).bit_count() <= 3
+        assert (x ^ y).bit_count() <= 3 or large_group == 2  # a grid links to the first of a component
         p, q = sorted((find(number[x]), find(number[y])))
         root[q] = p
     expected = brute_components(dict(enumerate(fps)))
     assert [find(k) for k in range(len(fps))] == [expected[k] for k in range(len(fps))]
 
 
+def test_hot_copies_and_a_star_of_near_fingerprints(spark):
+    """100,000 copies of one fingerprint, and 43,745 near ones around another, which one group of a key holds in part."""
+    centre = 0x0123456789ABCDEF
+    bits = [0, *(1 << k for k in range(64)), *((1 << i) | (1 << j) for i in range(64) for j in range(i))]
+    star = {centre ^ b for b in bits} | {centre ^ b ^ (1 << k) for b in bits for k in range(64)}
+    fps = [*sorted(star), *[0xFFFF0000FFFF0000] * 100_000, 0x00FF00FF00FF00FF]
+    rows = [(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)]
+    import pandas as pd
+
+    own = simhash.stored(spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "fp"])))
+    got = simhash.classes_of(own).groupBy("component_id").count().collect()
+    assert {r["component_id"]: r["count"] for r in got} == {0: len(star), len(star): 100_000, len(fps) - 1: 1}
+
+
+def test_groups_are_never_divided():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(33)
+    keys = np.sort(rng.integers(0, 60, 1000))
+    batches, at = [], 0
+    while at < 1000:
+        to = at + int(rng.integers(0, 40))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(keys[at:to]), pa.array(np.arange(at, min(1000, to), dtype=np.int32))], ["key", "code"]))
+        at = to
+    got = list(simhash.whole_groups(iter(batches)))
+    assert (np.concatenate([k for k, _ in got]) == keys).all() and (np.concatenate([c for _, c in got]) == np.arange(1000)).all()
+    assert all(x[0][-1] != y[0][0] for x, y in zip(got, got[1:], strict=False))
+
+
 def test_keep_first_when_scans_are_split_anew(spark, tmp_path, monkeypatch):
     rng = random.Random(31)
     texts = [" ".join("v%d" % rng.randint(0, 900) for _ in range(80)) for _ in range(30)]

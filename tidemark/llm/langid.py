@@ -15,8 +15,11 @@ with all tokens at a time. The model is a table of weights for features seen ``M
 this sample, so its size is bounded by the sample's and it can be broadcast.
 
 Prediction reads whole texts; a batch is worked off in parts of about ``PART_CHARS`` characters. Very long
-chains are stepped in stretches of ``SPAN`` words side by side, each with ``MARGIN`` words of its surroundings
-on both sides that count for nothing else: what is farther away weighs less than rounding. A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be learned.
+chains are stepped in stretches of ``SPAN`` words side by side, each with a margin of its surroundings on both
+sides that counts for nothing else. The margin follows from the learned transitions: a step brings any two states of
+knowledge closer by a factor that the transitions alone bound (Birkhoff), whatever the words are, so what lies
+beyond the margin changes no result by more than ``ROUNDING``. A null text, or one without a letter, is
+``und`` with score 0; so is every text if nothing could be learned.
 Repeated rows are labelled each. An empty table gives no rows.
 """
 
@@ -31,10 +34,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, parts
+from .common import crc_mod, hash_below, map_batches, parts
 
 PER_LANG = 400
 STRETCH = 120
@@ -43,7 +46,9 @@ LEXICON_COUNT = 12
 #: Stretches in one training chain.
 CHAIN = 12
 PART_CHARS = 8_000_000
-SPAN, MARGIN = 2048, 128
+SPAN = 2048
+#: How far a result may be off because a chain is stepped in stretches.
+ROUNDING = 1e-7
 #: Most words whose scores a task remembers.
 KNOWN_WORDS = 300_000
 #: Words that are scored at a time.
@@ -174,12 +179,15 @@ def fit_crf(stretches: list[tuple[str, list[str]]], rounds: int = 25, ridge: flo
 def training_stretches(docs: DataFrame, per_lang: int = PER_LANG, stretch: int = STRETCH) -> list[tuple[str, list[str]]]:
     """Stretches of the training fold, at most about ``per_lang`` for each language, in hash order."""
     usable = docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    counts = {r["lang"]: max(1, r["ids"]) for r in usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")).collect()}
     if not counts:
         return []
-    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = usable.where(place < share[F.col("lang")] * 1_000_000)
+    # A share of the hash range somewhat larger than needed, so that few rows meet where the smallest are chosen.
+    within = F.lit(False)
+    for lang, n in counts.items():
+        within = F.when(F.col("lang") == lang, hash_below(1.5 * per_lang / n, "doc_id")).otherwise(within)
+    chosen = usable.where(within).groupBy("lang", "doc_id").agg(F.max("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -189,7 +197,8 @@ def training_stretches(docs: DataFrame, per_lang: int = PER_LANG, stretch: int =
             out.append(words[at : at + stretch])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out, pa.list_(pa.string()))], ["doc_id", "lang", "words"])
 
-    rows = map_batches(chosen, cut, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, words array<string>").collect()
+    cut_rows = map_batches(chosen.select("doc_id", "lang", "text"), cut, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, words array<string>")
+    rows = cut_rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang).collect()
     return [(r["lang"], r["words"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["words"]))]
 
 
@@ -223,23 +232,39 @@ class Scorer(dict):
         return [own[own >= 0] for own in found]
 
 
-def chain_spans(words: int) -> list[tuple[int, int, int, int]]:
+def margin_of(transitions: np.ndarray, rounding: float = ROUNDING) -> int:
+    """After how many words nothing before them changes a marginal by more than ``rounding``.
+
+    In Hilbert's projective metric a step with the positive matrix exp(transitions) contracts by tanh(d / 4),
+    d being the matrix's projective diameter; words only rescale states, which keeps the metric.
+    """
+    t = transitions
+    diameter = float((t[:, None, :, None] + t[None, :, None, :] - t[:, None, None, :] - t[None, :, :, None]).max())
+    shrink = np.tanh(diameter / 4)
+    if shrink <= 0:
+        return 1
+    return 1 + int(np.ceil((np.log(rounding) - np.log(max(1.0, diameter))) / np.log(min(shrink, 1 - 1e-9))))
+
+
+def chain_spans(words: int, margin: int) -> list[tuple[int, int, int, int]]:
     """(from, to) of the stretches that a chain is stepped in, and the part (from, to) of it that counts."""
-    if words <= SPAN + 2 * MARGIN:
+    span = max(SPAN, 2 * margin)
+    if words <= span + 2 * margin:
         return [(0, words, 0, words)]
-    return [(max(0, s - MARGIN), min(words, s + SPAN + MARGIN), s, min(words, s + SPAN)) for s in range(0, words, SPAN)]
+    return [(max(0, s - margin), min(words, s + span + margin), s, min(words, s + span)) for s in range(0, words, span)]
 
 
 def label_texts(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """The most likely language of each text and its mean probability over the words."""
     lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    margin = margin_of(scorer.model.transitions)
     for first, last in parts(texts, PART_CHARS):
         chains, counts, words, own = [], [], [], []
         for k, rows in enumerate(scorer.rows(texts[first:last]), first):
             if len(rows):
                 own.append(k)
                 words.append(len(rows))
-                for a, b, c, d in chain_spans(len(rows)):
+                for a, b, c, d in chain_spans(len(rows), margin):
                     chains.append(rows[a:b])
                     count = np.zeros(b - a, bool)
                     count[c - a : d - a] = True

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_batches, sampled_labels
+from .common import WORD, labelled_texts, map_batches, sampled_labels
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50
 WINDOW = 3
-#: Most labelled rows, about, that the trees are fitted on.
+#: Most labelled rows that the trees are fitted on.
 MAX_ROWS = 20_000
 
 _words = re.compile(WORD).findall
@@ -174,7 +174,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, d
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees | None:
     """Trees from the statistics of a sample of labelled documents; None without both kinds."""
     sample = sampled_labels(labels, "quality", max_rows)
-    rows = document_statistics(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(sample), "doc_id")
+    rows = document_statistics(labelled_texts(docs, sample)).join(F.broadcast(sample), "doc_id")
     got = rows.select("doc_id", "features", "quality").orderBy("doc_id").toPandas()
     y = (got["quality"].to_numpy(float) > 0).astype(float)
     if len(y) == 0 or y.min() == y.max():

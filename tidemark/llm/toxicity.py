@@ -7,9 +7,11 @@ expected grade, the sum over k of these probabilities.
 
 Learning takes a sample of labelled rows (``MAX_ROWS``, a documented bound), and counts in how many toxic
 and other documents of it each feature stands. They are ranked by the z-score of the difference of these
-shares; the ``FEATURES`` farthest from zero are used. If the labels have no column of grades, they are made:
-0 if not toxic, else 1, 2 or 3 for at most 1, up to 3, or more *marked* words in the text, those with a feature
-of half of the highest z-score or more. The likelihood, with a ridge, is climbed with all rows at a time.
+shares; the ``FEATURES`` farthest from zero are used. If the labels have no column of grades, they are made: 0 if not
+toxic, else 1, 2 or 3 for at most 1, up to 3, or more *marked* words in the text. Marks are crossed: the sample is
+dealt into two halves, and a text's words are marked by the labels of the other half alone (words with a feature of half
+of the highest z-score there or more), so no document's grade rests on features that its own label chose. The
+likelihood, with a ridge, is climbed with all rows at a time.
 
 Texts are read whole, map-side; the model is a table of ``FEATURES`` entries at most. Words are lower-cased
 and lose ASCII punctuation. A null or empty text has no features. Repeated rows are graded each. With no
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, parts, sampled_labels
+from .common import labelled_texts, map_batches, parts, sampled_labels, stored
 from .decontam import plain_words
 
 MAX_ROWS = 20_000
@@ -144,28 +146,35 @@ def feature_shares(sample: DataFrame) -> dict[str, tuple[float, int]]:
     return {r["word"]: (r["z"], r["n"]) for r in ranked.collect()}
 
 
+def marked_features(shares: dict[str, tuple[float, int]]) -> dict[str, int]:
+    """The features of half of the highest z-score or more, numbered."""
+    top = max((z for z, _ in shares.values()), default=0.0)
+    return {w: k for k, w in enumerate(w for w, (z, _) in shares.items() if z >= top / 2 > 0)}
+
+
 def fit_severity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Ordinal | None:
     """The model from the labels' ``toxic`` (and ``grade``, if they have it); None if nothing can be learned."""
     graded = "grade" in labels.columns
     chosen = sampled_labels(labels, "toxic", max_rows)
     if graded:
         chosen = chosen.join(labels.groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade")), "doc_id")
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    sample = stored(labelled_texts(docs, chosen).withColumn("half", half))
     shares = feature_shares(sample)
     if not shares:
         return None
     index = {w: k for k, w in enumerate(shares)}
-    top = max(z for z, _ in shares.values())
-    marked = {k for w, k in index.items() if shares[w][0] >= top / 2 > 0}
+    marks = [{}, {}] if graded else [marked_features(feature_shares(sample.where(F.col("half") != k))) for k in (0, 1)]
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = Features(index).rows(batch.column("text").to_pylist())
-        hits = [sum(not marked.isdisjoint(own) for own in row) for row in rows]
-        features = [sorted({k for own in row for k in own}) for row in rows]
+        own, other, hits, features = Features(index), [Features(m) for m in marks], [], []
+        for text, k in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True):
+            hits.append(len(other[k].rows([text])[0]))
+            features.append(sorted({f for row in own.rows([text])[0] for f in row}))
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hits, pa.int32()), pa.array(features, pa.list_(pa.int32()))], ["doc_id", "label", "hits", "features"])
 
     label = F.col("grade" if graded else "toxic").cast("int").alias("label")
-    rows = map_batches(sample.select("doc_id", label, "text"), mark, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, hits int, features array<int>").orderBy("doc_id", "label", "features").collect()
+    rows = map_batches(sample.select("doc_id", label, "half", "text"), mark, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, hits int, features array<int>").orderBy("doc_id", "label", "features").collect()
     features = [np.array(r["features"], np.int64) for r in rows]
     hits = np.array([r["hits"] for r in rows])
     given = np.array([r["label"] or 0 for r in rows])
