@@ -219,6 +219,100 @@ def test_random_keys_are_found_and_text_is_not(spark, small):
     assert clean[20_000].startswith("internat")
 
 
+def brute_random_spans(texts):
+    """Random spans of (id, text) by the docstring's rules, in plain Python: battery, evidence and step-up rule."""
+    letters = collections.Counter(c for _, t in texts for c in lower(t) if "a" <= c <= "z")
+    hexes = {c: n for c, n in letters.items() if c <= "f"}
+    statistic = {}
+    for name, counts in (("letters", letters), ("hex", hexes)):
+        shares = [n / sum(counts.values()) for n in counts.values()] if sum(counts.values()) > 1000 else None
+        statistic[name] = (sum(x**2 for x in shares), sum(x**3 for x in shares)) if shares else secret_scan.NO_TEXT[name]
+    strata = collections.defaultdict(list)
+    for d, text in texts:
+        rest = list(text or "")
+        for x in base_spans(text):
+            rest[int(x.split(":")[1]) : int(x.split(":")[2])] = " " * (int(x.split(":")[2]) - int(x.split(":")[1]))
+        for m in re.finditer(secret_scan.RUN, "".join(rest)):
+            body = m[0].rstrip("=")
+            name = next((e for e, (p, _) in secret_scan.ENCODINGS.items() if re.search(p, body)), None)
+            if name is None or re.fullmatch("[0-9+/_-]+", body):
+                continue
+            alphabet, n = secret_scan.ENCODINGS[name][1], len(body)
+            body = body.lower() if name in ("letters", "hex", "base36") else body.replace("-", "+").replace("_", "/")
+            squares, size = sum(k * k for k in collections.Counter(body).values()), len(alphabet)
+            chi = size * squares / n - n
+            z_chi = ((max(chi, 0) / (size - 1)) ** (1 / 3) - (1 - 2 / (9 * (size - 1)))) / math.sqrt(2 / (9 * (size - 1)))
+            sides = [alphabet.index(c) >= size // 2 for c in body]
+            high, runs = sum(sides), 1 + sum(a != b for a, b in zip(sides, sides[1:], strict=False))
+            mu = 1 + 2 * high * (n - high) / n
+            z_runs = (runs - mu) / math.sqrt((mu - 1) * (mu - 2) / (n - 1)) if mu > 2 else 99
+            v = np.array([alphabet.index(c) + 1.0 for c in body])
+            v -= v.mean()
+            z_serial = ((v[:-1] * v[1:]).sum() / (v * v).sum() + 1 / n) * math.sqrt(n) if (v * v).sum() > 0 else 99
+            kinds = ["a" if c.islower() else "A" if c.isupper() else "0" for c in body if c.isalnum()]
+            changes, pairs = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)), max(1, len(kinds) - 1)
+            b2, b3 = statistic["hex" if name == "hex" else "letters"]
+            spread = secret_scan.DISPERSION * math.sqrt(4 * (b3 - b2 * b2) / n + 2 * (b2 - 2 * b3 + b2 * b2) / n**2)
+            q = secret_scan.TEXT_CHANGES
+            zs = ((b2 - (squares - n) / (n * (n - 1))) / spread, (changes - q * pairs) / math.sqrt(q * (1 - q) * pairs), secret_scan.TEXT_SERIAL - abs(z_serial))
+            w = secret_scan.WEIGHTS[name]
+            x = max(0, sum(a * b for a, b in zip(w, zs, strict=True)) / math.sqrt(sum(a * a for a in w)))
+            bin_ = min(300, int((x * x / 2 + math.log(math.sqrt(2 * math.pi) / 2 * (x + math.sqrt(x * x + 8 / math.pi)))) / math.log(10) * 10))
+            passes = z_chi < 3.3 and abs(z_runs) < 3.3 and abs(z_serial) < 3.3
+            strata[name, sum(n >= k for k in (28, 40, 64))].append((bin_ if passes else -1, d, m.start(), m.end()))
+    out = collections.defaultdict(list)
+    for rows in strata.values():
+        least = [b for b in {r[0] for r in rows} if b >= 0 and 10 ** (-b / 10) * len(rows) <= 0.05 * sum(r[0] >= b for r in rows)]
+        for b, d, start, end in rows:
+            if least and b >= min(least):
+                out[d].append((start, f"random:{start}:{end}"))
+    return {d: [x for _, x in sorted(rows)] for d, rows in out.items()}
+
+
+def test_random_spans_against_plain_python(spark, texts):
+    rng = random.Random(51)
+    alphabets = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    names = [w for t in texts.values() for w in re.findall("[a-z]{2,9}", lower(t))]
+
+    def path():
+        own = rng.choices(names, k=rng.randint(4, 9))
+        return rng.choice(["_".join(own), "/".join(own), own[0] + "".join(w.capitalize() for w in own[1:]), "-".join(w + str(rng.randint(0, 99)) for w in own)])
+
+    own = [(k, f"see {path()} or é {path()}") for k in range(600)]
+    own += [(1000 + k, f"\U0001f600 key {''.join(rng.choices(alphabets[a], k=n))} and token={''.join(rng.choices(alphabets['base62'], k=30))} {path()}") for k, (a, n) in enumerate((a, n) for a in alphabets for n in (20, 24, 30, 48, 80) for _ in range(6))]
+    own += [(5000 + d, t) for d, t in texts.items()]
+    expected = brute_random_spans(own)
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("random")] for r in secret_scan.scan_secrets(spark.createDataFrame(own, "doc_id long, text string")).where("n_random > 0").collect()}
+    assert got == expected and sum(1000 <= d < 2000 for d in expected) > 60 and sum(d < 600 for d in expected) <= 6
+
+
+def test_many_spans_in_one_text(spark):
+    rng = random.Random(52)
+    keys = ["%048x" % rng.getrandbits(190) for _ in range(5000)]
+    text = "".join(f"é{k} token='{k[:20]}' \n" for k in keys)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secret_scan.scan_secrets(docs).collect()[0]
+    assert row["spans"].split(",") == base_spans(text) and row["n_hex"] == row["n_assign"] == 5000
+    assert secret_scan.redact_secrets(docs).collect()[0]["text"] == "".join("é[SECRET] [SECRET]' \n" for _ in keys)
+
+
+NAMES = ["_row", "_base", "_runs", "_spans", "_group", "base", "runs", "spans", "row", "_Row", "group", "lang_pred"]
+
+
+@pytest.mark.parametrize("stage", [secret_scan.redact_secrets, simhash.keep_first, langid.keep_identified, lambda d: decontam.drop_leaks(d, d.sparkSession.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string"))])
+def test_stages_with_odd_texts_and_clashing_names(spark, stage):
+    columns = [n for n in NAMES if n != "_Row"]
+    docs = docs_of(spark, ODD).drop("row")
+    for name in columns:
+        docs = docs.withColumn(name, F.lit(7))
+    got = stage(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    rows = got.collect()
+    assert rows and all(r[n] == 7 for r in rows for n in columns)
+    assert stage(docs.where("doc_id < 0")).collect() == []
+    assert packing.pack_documents(docs).count() >= len(ODD)
+
+
 def test_redaction_merges_spans_and_counts_characters(spark):
     docs = docs_of(spark, ['a token = "' + "0123456789abcdef" * 2 + '" é', "nothing", None])
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.redact_secrets(docs).collect()}
