@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -429,8 +430,6 @@ def test_language_without_letters(spark, small):
 
 
 def test_marginals_by_enumeration():
-    import itertools
-
     rng = np.random.default_rng(9)
     scores, moves, lengths = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), np.array([2, 4, 3])
     got, at = langid.marginals(scores, lengths, moves), 0
@@ -709,9 +708,10 @@ def test_licenses_in_a_row_match_sql(spark):
     templates = dict(license_scan.TEMPLATES)
     names = sorted(templates)
     texts = [" ".join(templates[n] for n in ("MIT-line", "GPL-3.0-notice", "Apache-2.0-line"))]
-    texts += [" ".join(templates[n] for n in rng.sample(names, rng.randint(2, 5))) for _ in range(400)]
+    texts += [" ".join(templates[n] for n in own) for own in itertools.permutations(names, 2)]
+    texts += [" ".join(templates[n] for n in rng.sample(names, rng.randint(3, 5))) for _ in range(160)]
     # One of many words, beyond any fixed window, with a sixth of its shingles gone.
-    templates["long"] = " ".join("t%d" % k for k in range(5000))
+    templates["long"] = " ".join("t%d" % k for k in range(10_000))
     texts.append("x " * 700 + " ".join(w for k, w in enumerate(templates["long"].split()) if k % 30))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = license_scan.scan_licenses(docs, templates)
@@ -721,7 +721,7 @@ def test_licenses_in_a_row_match_sql(spark):
     expected = con.sql(license_scan.oracle_sql(templates))
     rows = {(r["doc_id"], r["license"], r["from_word"], r["containment"]) for r in got.collect()}
     assert rows == set(con.sql(f"SELECT doc_id, license, from_word, containment FROM ({expected.sql_query()})").fetchall())
-    assert {(0, "MIT-line"), (401, "long")} <= {r[:2] for r in rows}
+    assert len(texts) == 402 and {(0, "MIT-line"), (401, "long")} <= {r[:2] for r in rows}
 
 
 def test_license_anchors_lose_nothing():

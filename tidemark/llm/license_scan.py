@@ -16,6 +16,9 @@ Texts that can't match are passed over early without a loss: a template's match
 shingles, so it needs one of its *anchors*, words chosen such that their shingles are more than 0.2 of
 the template's. Only texts with some anchor are cut into windows.
 
+The texts are read once: what matches is written to the shared folder (few rows), and overlapping windows are
+merged there.
+
 A null or short text has no match. Matches are reported once for each row, template and place (of a run
 of overlapping windows the first); repeated rows are reported each. An empty table gives no rows.
 """
@@ -28,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 #: Smallest window, in words.
@@ -139,7 +144,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     kept = F.filter("own", lambda h: h.isin(sorted({r[3] for r in rows})))
     shared = found.select("*", F.explode(kept).alias("h"))
     share = F.size(F.array_intersect("own", "template")) / F.size("template")
-    pairs = shared.join(F.broadcast(sketches), ["size", "h"]).select("row", "doc_id", "size", "window", "license", share.alias("containment")).where(F.col("containment") >= CONTAINMENT).distinct()
+    pairs = stored(shared.join(F.broadcast(sketches), ["size", "h"]).select("row", "doc_id", "size", "window", "license", share.alias("containment")).where(F.col("containment") >= CONTAINMENT).distinct())
     first = pairs.alias("a").join(pairs.select("row", "license", (F.col("window") + 1).alias("window")).alias("b"), ["row", "license", "window"], "left_anti")
     start = (F.col("window") * F.col("size") / 2).cast("long")
     return first.select("doc_id", "license", "containment", start.alias("from_word"), (start + F.col("size")).alias("to_word"))
