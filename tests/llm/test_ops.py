@@ -118,7 +118,7 @@ def brute_leaks(text, items):
             for start in range(0, len(words), decontam.STRIDE):
                 around = words[max(0, start - len(passage)) : start + decontam.WINDOW + len(passage)]
                 share, of_answer = (decontam.common_subsequence(decontam.places(x), len(x), around) / len(x) for x in (passage, answer))
-                if share >= decontam.VERBATIM or (share >= decontam.PARAPHRASE and of_answer >= decontam.PARAPHRASE):
+                if share >= decontam.VERBATIM or (share >= decontam.PARAPHRASE and of_answer >= decontam.ANSWER):
                     out.add(k)
     return out
 
@@ -142,6 +142,42 @@ def test_decontamination_of_paraphrases_at_every_offset(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()} == expected
 
 
+def test_widely_leaked_and_short_items(spark, monkeypatch):
+    """Items of any length, verbatim in one document or in all; blocks of few words find the same."""
+    rng = random.Random(13)
+    items = ["Yes.", "Paris!", "the capital of x", "what is the capital city of france", " ".join("q%d" % k for k in range(30)), " ".join("r%d" % k for k in range(200)), "...", None]
+    bench = spark.createDataFrame([*enumerate(items), (4, items[4])], "item_id long, text string")
+    prose = [" ".join("w%d" % rng.randint(0, 4000) for _ in range(150)) for _ in range(40)]
+    for n in (1, 8, 20, 40):
+        texts = [f"{p} {items[4]} and {items[3].upper()}? {p} {items[5]} x" if k < n else p + " what is the nice capital city of france" for k, p in enumerate(prose)]
+        texts += ["oh yes", "in paris", "the capital of y x the capital", "The capital, of x"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        expected = {(k, i) for k in range(n) for i in (3, 4, 5)} | {(40, 0), (41, 1), (43, 2)}
+        for words in (400_000, 60) if n == 8 else (400_000,):
+            monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+            got = [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()]
+            assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_recall_by_share_of_replaced_words(spark):
+    rng = random.Random(14)
+    vocabulary = ["w%d" % k for k in range(3000)]
+    items = [" ".join(rng.choices(vocabulary, k=32)) + ". " + " ".join(rng.choices(vocabulary, k=8)) + "." for _ in range(200)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = []
+    for share in (0, 10, 20, 30, 35):
+        for item in items:
+            own = item.split()
+            for k in rng.sample(range(40), 40 * share // 100):
+                own[k] = rng.choice(vocabulary)
+            texts.append(" ".join(rng.choices(vocabulary, k=rng.randint(30, 90)) + own + rng.choices(vocabulary, k=60)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
+    recall = [sum((200 * s + k, k) in got for k in range(200)) / 200 for s in range(5)]
+    print("recall by share replaced", recall)
+    assert min(recall) >= 0.9 and recall[0] == 1 and all(d % 200 == i for d, i in got)
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
