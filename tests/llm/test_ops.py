@@ -428,25 +428,80 @@ def test_class_model(spark, small, texts, heavy, monkeypatch):
     assert total[1] > total[0]
 
 
-def test_exchange_finds_classes():
-    # Units 0 to 3 always precede units 4 to 7.
+def test_exchange_finds_classes(spark):
+    """Adjectives, nouns and verbs of a made language, whose words are all clustered."""
+    rng = random.Random(8)
+    kinds = [[f"{k}{j}" for j in range(40)] for k in "anv"]
+    text = [" ".join(rng.choice(own) for _ in range(30) for own in kinds) for _ in range(300)]
+    rows = class_lm.rows_of(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"))
+    vocabulary = class_lm.heavy_words(class_lm.word_counts(rows), rows.where("not held_out").count())
+    assert vocabulary.rare == 120
+    lists = class_lm.neighbours(rows, vocabulary)
+    of, n = class_lm.exchange(lists, 120, classes=12)
+    found = {k: {int(of[j]) for j, w in enumerate(vocabulary.words) if w.decode()[0] == k} for k in "anv"}
+    assert all(found.values()) and sum(map(len, found.values())) == len(set.union(*found.values()))  # no class has two kinds
+    # The class bigrams are those of the texts.
+    number = {w.decode(): j for j, w in enumerate(vocabulary.words)}
+    expected = np.zeros((12, 12))
+    for d, t in enumerate(text):
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            own = [11, *(of[number[w]] for w in t.split()), 11]
+            np.add.at(expected, (own[:-1], own[1:]), 1)
+    assert (n == expected).all()
+
+
+def test_moves_raise_the_likelihood_by_their_gain():
     rng = np.random.default_rng(8)
-    b = np.zeros((9, 9), np.int64)
-    b[:4, 4:8] = rng.integers(20, 40, (4, 4))
-    b[4:8, :4] = rng.integers(20, 40, (4, 4))
-    b[8, :4] = b[4:8, 8] = 5
-    of = class_lm.exchange(b, classes=3)
-    assert len(set(of[:4])) == len(set(of[4:8])) == 1 and len(set(of)) == 3
-
-
-def test_class_model_is_a_distribution(spark, small):
-    """Over the vocabulary and one unseen word for each class, P(w | class) sums to one; so do the transitions."""
-    rows = class_lm.rows_of(small["documents"])
+    words, classes = 30, 6
+    b = rng.integers(0, 9, (words + 2, words + 2)).astype(float)
+    b += b.T  # each token is as often first as second
+    of = np.concatenate([rng.integers(0, classes - 2, words), [classes - 2, classes - 1]])
+
+    def table(of):
+        member = np.eye(classes)[of]
+        return member.T @ b @ member, b @ member, b.T @ member
+
+    n, right, left = table(of)
+    best, gain = class_lm.best_classes(n, of[:words], right[:words], left[:words], np.diag(b)[:words])
+    for w in range(words):
+        moved = []
+        for c in range(classes - 2):
+            other = of.copy()
+            other[w] = c
+            moved.append(class_lm.likelihood(table(other)[0]) - class_lm.likelihood(n))
+        assert max(moved) == pytest.approx(gain[w], abs=1e-6) and moved[best[w]] == pytest.approx(max(moved), abs=1e-6)
+
+
+@pytest.mark.parametrize("heavy", [1 << 19, 100])
+def test_class_scores_by_hand(spark, texts, small, heavy, monkeypatch):
+    """The score from the learned classes alone: bigrams, emissions and the class of rare words counted anew."""
+    monkeypatch.setattr(class_lm.heavy_words, "__defaults__", (heavy,))
+    docs = small["documents"].select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    rows = class_lm.rows_of(docs)
     model = class_lm.fit(rows, class_lm.word_counts(rows))
-    assert (10**model.log_moves).sum(axis=1) == pytest.approx(np.ones(class_lm.CLASSES))
-    v = model.vocabulary
-    mass = np.bincount(model.classes[v.units()], v.counts + 1.0, class_lm.CLASSES)[:-1]
-    assert mass == pytest.approx(10 ** model.log_totals[:-1] - 1)
+    of = {w: int(c) for w, c in zip(model.vocabulary.words, model.classes, strict=False)}
+    rare, end = class_lm.CLASSES - 2, class_lm.CLASSES - 1
+    own = {d: lower(t).encode().split() for d, t in [*texts.items(), (-1, ""), (-2, "")]}
+    n, counts = np.zeros((class_lm.CLASSES,) * 2), collections.Counter()
+    chains = {d: [end, *(of.get(w, rare) for w in x), end] for d, x in own.items()}
+    for d, x in own.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            counts.update(x)
+            np.add.at(n, (chains[d][:-1], chains[d][1:]), 1)
+    assert 0 < len(of) == sum(k >= 3 and k * heavy >= model.vocabulary.tokens for k in counts.values()) < len(counts)
+    tokens, words = collections.Counter(), collections.Counter([rare])
+    for w, k in counts.items():
+        tokens[of.get(w, rare)] += k
+        words[of.get(w, rare)] += 1
+    share = (n.sum(axis=0) + 1) / (n.sum() + class_lm.CLASSES)
+    moves = (n + 20 * share) / (n.sum(axis=1, keepdims=True) + 20)
+    assert moves.sum(axis=1) == pytest.approx(np.ones(class_lm.CLASSES))
+    for r in class_lm.score_documents(docs).collect():
+        x, chain = own[r["doc_id"]], chains[r["doc_id"]]
+        score = sum(math.log10(moves[a, b]) for a, b in itertools.pairwise(chain))
+        score += sum(math.log10((counts[w] + 1) / (tokens[of.get(w, rare)] + words[of.get(w, rare)])) for w in x)
+        assert r["score"] == pytest.approx(score, rel=1e-9)
+        assert r["perplexity"] == pytest.approx(10 ** (-score / (len(x) + 1)), rel=1e-9)
 
 
 def test_language_held_out_accuracy(spark, small, texts):
