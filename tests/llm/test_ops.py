@@ -520,6 +520,18 @@ def test_language_without_letters(spark, small):
     assert {r["lang_pred"] for r in langid.identify_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_mixtures_without_a_main_language_go(spark, small, texts):
+    docs = small["documents"].select("doc_id", "text", "lang")
+    by = collections.defaultdict(list)
+    for r in docs.where("length(text) > 300").orderBy("doc_id").collect():
+        by[r["lang"]].append(r["text"][:300])
+    mixed = [(10_000 + k, " ".join(by[lang][k] for lang in sorted(by)), None) for k in range(min(map(len, by.values())))]
+    both = docs.union(spark.createDataFrame(mixed, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in langid.keep_identified(both).collect()}
+    assert len(by) == 4 and sum(d >= 10_000 for d in kept) <= 0.1 * len(mixed)
+    assert sum(d < 10_000 for d in kept) >= 0.99 * len(texts)
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(9)
     scores, moves, lengths = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), np.array([2, 4, 3])
@@ -844,5 +856,30 @@ def test_pipeline(spark, small, texts):
     leaks = {r["doc_id"] for r in decontam.find_leaks(small["documents"], small["benchmark"]).collect()}
     assert kept[2] == kept[1] - leaks and kept[3] == kept[2]
     assert docs.where(F.col("text").rlike(secret_scan.HEX)).count() == 0
-    final = corpus_pipeline.run(spark, SMALL).collect()
-    assert {r["doc_id"] for r in final} == kept[3]
+    final = corpus_pipeline.run(spark, SMALL)
+    rows = final.collect()
+    assert {r["doc_id"] for r in rows} == kept[3]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    cleaned = {r["doc_id"]: r["text"] for r in docs.collect()}
+    whole = collections.defaultdict(dict)
+    for r in rows:
+        whole[r["doc_id"]][r["piece"]] = bytes(r["ids"])
+    for d, pieces in whole.items():
+        assert b"".join(pieces[k] for k in sorted(pieces)) == np.array([*library.encode(cleaned[d], add_special_tokens=False).ids, 2], "<u4").tobytes()
+    assert sum(len(r["ids"]) for r in packing.sequences(final).collect()) == 4 * sum(r["length"] for r in rows)
+
+
+def test_pipeline_of_odd_texts_and_none(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    text = "the words of this text are all of one language and there are more of them here " * 3
+    docs = docs_of(spark, [*ODD, text + "one", text + "one", text + "two and three and four words more"])
+    for name in ("_row", "_spans", "_group", "sequence_id"):
+        docs = docs.withColumn(name, F.lit(7))
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {12, 14} <= {r["doc_id"] for r in rows} and not {0, 1, 2, 13} & {r["doc_id"] for r in rows}
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    docs.where("doc_id < 0").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []

@@ -301,8 +301,13 @@ def identify_languages(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     return labelled(rows, model or fit_crf(training_stretches(docs)), out, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3, model: Crf | None = None) -> DataFrame:
-    """The rows of ``docs`` with a language of at least that score, with all their columns as they are."""
+def keep_identified(docs: DataFrame, least: float = 0.5, model: Crf | None = None) -> DataFrame:
+    """The rows of ``docs`` with a language of at least that score, with all their columns as they are.
+
+    At one half a language must be more likely than all others together: mixtures without a main language go, and so do
+    null texts and those without a letter. Repeated rows are judged alike. If no language could be learned, all go. An
+    empty table gives no rows.
+    """
 
     def keep(batch: pa.RecordBatch, lang: list[str], score: list[float]) -> pa.RecordBatch:
         return batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
