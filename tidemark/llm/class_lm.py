@@ -252,12 +252,12 @@ def class_profiles(lists: DataFrame, of: np.ndarray) -> DataFrame:
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         place, others, n = batch.column("place").to_numpy(), batch.column("others"), batch.column("counts").flatten().to_numpy()
-        row = np.repeat(np.arange(len(place)), others.value_lengths().to_numpy())
-        word, side, other = place // (2 * BLOCKS), place // BLOCKS % 2, others.flatten().to_numpy()
-        width = 2 * classes + 1
-        cells = np.bincount(row * width + side[row] * classes + shared.value[other], n, len(place) * width).reshape(-1, width)
-        own = (other == word[row]) & (side[row] == 0)
-        cells[:, -1] = np.bincount(row[own], n[own], len(place))
+        word, row = np.unique(place // (2 * BLOCKS), return_inverse=True)  # a frequent word has many rows in a batch
+        long = others.value_lengths().to_numpy()
+        row, side, other, width = np.repeat(row, long), np.repeat(place // BLOCKS % 2, long), others.flatten().to_numpy(), 2 * classes + 1
+        cells = np.bincount(row * width + side * classes + shared.value[other], n, len(word) * width).reshape(-1, width)
+        own = (other == word[row]) & (side == 0)
+        cells[:, -1] = np.bincount(row[own], n[own], len(word))
         return profile_rows(word, cells)
 
     def profile_rows(word: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
