@@ -155,7 +155,9 @@ def test_sample_keeps_shares_and_split_keeps_groups(spark):
     assert sampling.stratified_sample(df, 5000).count() == 3000
     split = sampling.group_split(df)
     assert split.groupBy("patient_id").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
-    assert 0 < split.where("split = 'test'").count() < 1500
+    assert split.where("split = 'test'").select("patient_id").distinct().count() == 20
+    few = sampling.group_split(df.where("patient_id IN ('1', '2', '3')").union(df.limit(1).withColumn("patient_id", F.lit(None).cast("string"))), 0.3)
+    assert few.columns == [*df.columns, "split"] and few.where("split = 'test'").select("patient_id").distinct().count() == 2
 
 
 PRED = "stay_id string, patient_id string, hour timestamp_ntz, risk double"
@@ -182,7 +184,9 @@ def test_tables(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.load_catalog(spark, str(tmp_path))
     assert tables.load_table(spark, str(tmp_path), "hospitalization", max_rows=1).count() == 1
-    assert tables.Settings.from_mapping({"tables_path": "/x", "color": "y"}).data_directory == "/x"
+    assert tables.Settings.from_mapping({"tables_path": "/x", "color": "y", "timezone": "UTC"}).data_directory == "/x"
+    with pytest.raises(ValueError):
+        tables.Settings.from_mapping({"filetype": "csv"})
 
 
 def test_feature_matrix_from_a_catalog(spark):
@@ -194,8 +198,12 @@ def test_feature_matrix_from_a_catalog(spark):
         "respiratory_support": frame(spark, [("a", t("11:00"), "IMV", "ac", 0.5, None)], "stay_id string, recorded_dttm timestamp_ntz, device_category string, mode_category string, fio2_set double, peep_set double"),
         "intake_output": None,
     }
-    row = assemble.feature_matrix(g, assemble.clinical_blocks(g, catalog)).first()
+    row = assemble.clinical_features(g, catalog).first()
     assert (row["map_last"], row["lactate_mean"], row["vasopressor_active"], row["fio2_last"], row["mode_ac"], row["net_fluid"], row["spo2_missing"]) == (65.0, 2.5, 1, 0.5, 1, None, 1)
     assert "sodium_last" not in row.asDict()
+    # The same moment and one off the hour, whose window begins later.
+    moments = frame(spark, [("a", "p", t("12:00")), ("a", "p", t("17:15"))], HOURS)
+    off = {r["hour"]: r for r in assemble.clinical_features(moments, catalog, at_any_time=True).collect()}
+    assert off[t("12:00")] == row and (off[t("17:15")]["map_last"], off[t("17:15")]["lactate_missing"], off[t("17:15")]["vasopressor_active"]) == (None, 1, 0)
     labelled = forward.labelled_grid(g, catalog | {"patient": None, "crrt_therapy": None, "ecmo_mcs": None}).first()
     assert labelled["label"] == 0

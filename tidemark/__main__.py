@@ -20,6 +20,7 @@ def settings_of(args: list[str] | None = None) -> tuple[Settings, str]:
     p.add_argument("--test-size", dest="test_share", type=float)
     p.add_argument("--explain-rows", dest="explain_rows", type=int)
     p.add_argument("--max-windows", dest="max_windows", type=int)
+    p.add_argument("--max-rows-per-table", dest="max_rows_per_table", type=int)
     p.add_argument("--seed", type=int)
     p.add_argument("--score-labels", dest="score_labels", action="store_true", default=None)
     p.add_argument("--score-delta", dest="score_delta", type=float)

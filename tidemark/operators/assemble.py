@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +11,14 @@ from . import lookback
 from .grid import PATIENT, STAY
 
 
-def feature_matrix(grid: DataFrame, blocks: list[DataFrame]) -> DataFrame:
-    """The grid's keys with all blocks beside each other, joined on (stay, hour)."""
-    keys = grid.select(STAY, "hour").distinct()
-    return reduce(lambda left, right: left.join(right, [STAY, "hour"], "left"), blocks, keys)
+def feature_matrix(grid: DataFrame, parts: list[lookback.Part | None], at_any_time: bool = False) -> DataFrame:
+    """The grid's keys with the features of all parts beside each other, aggregated together."""
+    return lookback.in_one_pass(grid, [p for p in parts if p is not None], at_any_time=at_any_time)
+
 
+def clinical_features(grid: DataFrame, catalog: dict[str, DataFrame | None], mode: str = "train", modes: list[str] | None = None, at_any_time: bool = False) -> DataFrame:
+    """Vital, laboratory, medication, respiratory and fluid features from a catalog whose stays are ``stay_id``."""
 
-def clinical_blocks(grid: DataFrame, catalog: dict[str, DataFrame | None], mode: str = "train", modes: list[str] | None = None) -> list[DataFrame]:
-    """Vital, laboratory, medication, respiratory and fluid blocks from a catalog whose stays are ``stay_id``."""
     def rows(table: str, ts: str, **columns) -> DataFrame:
         return catalog[table].select(STAY, F.col(ts).alias("ts"), *(c.alias(n) for n, c in columns.items()))
 
@@ -34,13 +32,15 @@ def clinical_blocks(grid: DataFrame, catalog: dict[str, DataFrame | None], mode:
     medications = medications.select(STAY, F.col("admin_dttm").alias("ts"), F.col("med_dose").alias("dose"))
     respiratory = catalog["respiratory_support"].withColumnRenamed("recorded_dttm", "ts")
     fluids = catalog.get("intake_output")
-    return [
-        lookback.block(grid, vitals, lookback.VITALS, mode),
-        lookback.block(grid, labs, lookback.LABS, mode, skip_absent=True),
-        lookback.medication_block(grid, medications),
-        lookback.respiratory_block(grid, respiratory, modes, per_column=mode == "train"),
-        lookback.fluid_block(grid, None if fluids is None else fluids.withColumnRenamed("intake_dttm", "ts")),
+    parts = [
+        lookback.block_part(vitals, lookback.VITALS, mode),
+        lookback.block_part(labs, lookback.LABS, mode, skip_absent=True),
+        lookback.medication_part(medications),
+        lookback.respiratory_part(respiratory, modes, per_column=mode == "train"),
+        None if fluids is None else lookback.fluid_part(fluids.withColumnRenamed("intake_dttm", "ts")),
     ]
+    found = feature_matrix(grid, parts, at_any_time)
+    return lookback.absent_fluids(found) if fluids is None else found
 
 
 def with_labels(features: DataFrame, labels: DataFrame) -> DataFrame:

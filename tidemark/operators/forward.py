@@ -1,7 +1,7 @@
 """Labels from forward windows: is there an event in (hour, hour + horizon]?
 
 On an hourly grid an event falls into exactly ``horizon`` windows, so it's dealt to those hours and the
-test is an equi-join (``bucket``). For times off the hour there is the range form; both agree on the grid.
+test is an equi-join. For times off the hour there is a form with buckets of an hour; both agree on the grid.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hour_ceiling, hours, number_of
+from tidemark.functions.columns import hour_ceiling, hour_floor, hours, number_of
 
 from .grid import PATIENT, STAY
 
@@ -31,10 +31,16 @@ def label_hours(grid: DataFrame, events: DataFrame, name: str, horizon: int = HO
 
 
 def label_range(grid: DataFrame, events: DataFrame, name: str, horizon: int = HORIZON, key: str = STAY) -> DataFrame:
-    """The same for any times in ``hour``, by a range join that keeps only the rows with a hit."""
-    e, g = events.select(key, "ts").alias("e"), grid.select(key, "hour").distinct().alias("g")
-    inside = (F.col(f"e.{key}") == F.col(f"g.{key}")) & (F.col("e.ts") > F.col("g.hour")) & (F.col("e.ts") <= F.col("g.hour") + hours(horizon))
-    hit = g.join(e, inside, "left_semi").withColumn(name, F.lit(True))
+    """The same for any times in ``hour``.
+
+    Events are dealt to the whole hours in which a time that looks ahead to them can lie, so the join is by equality;
+    the exact window is tested on what meets.
+    """
+    near = F.sequence(hour_floor(F.col("ts") - hours(horizon)), hour_floor("ts"), hours(1))
+    e = events.where(F.col("ts").isNotNull()).select(key, "ts", F.explode(near).alias("near")).alias("e")
+    g = grid.select(key, "hour").distinct().withColumn("_in", hour_floor("hour")).alias("g")
+    inside = (F.col(f"e.{key}") == F.col(f"g.{key}")) & (F.col("e.near") == F.col("g._in")) & (F.col("e.ts") > F.col("g.hour")) & (F.col("e.ts") <= F.col("g.hour") + hours(horizon))
+    hit = g.join(e, inside, "left_semi").drop("_in").withColumn(name, F.lit(True))
     return grid.join(hit, [key, "hour"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 

@@ -36,3 +36,8 @@ def score_grid(labels: DataFrame, stays: DataFrame, min_hours: float = 6) -> Dat
     bounds = stays.dropDuplicates([STAY]).select(STAY, PATIENT, START)
     joined = labels.drop(PATIENT).join(bounds, STAY)
     return joined.where(hours_between(START, "window_end") >= min_hours).select(STAY, PATIENT, F.col("window_end").alias("hour"), "label")
+
+
+def with_stay_scores(windows: DataFrame, scores: DataFrame) -> DataFrame:
+    """Every window with its stay's one ``score``, null if the stay has none: where there are no scores by window."""
+    return windows.join(scores.select(STAY, "score").dropDuplicates([STAY]), STAY, "left")

@@ -1,8 +1,8 @@
 """Aggregates over backward windows (hour - length, hour].
 
 On an hourly grid a measurement falls into exactly ``length`` windows: it's dealt to those hours and
-joined on (stay, hour), then all categories are aggregated in one pass. Times off the hour (a single
-explained moment) need the range form; both agree on the grid.
+joined on (stay, hour), then all categories, of all blocks together if wished, are aggregated in one pass. Times off
+the hour (a single explained moment) have a form with buckets of an hour; both agree on the grid.
 
 Two definitions of spread and slope are offered: ``train`` (sample deviation, slope between the first and
 last value) and ``row`` (population deviation, least-squares slope).
@@ -10,14 +10,19 @@ last value) and ``row`` (population deviation, least-squares slope).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hour_ceiling, hours, micros, number_of, safe_name
+from tidemark.functions.columns import hour_ceiling, hour_floor, hours, micros, number_of, safe_name
 
 from .grid import STAY
 
 LENGTH = 6
+# The categories and statistics that define the output columns.
 VITALS = ["heart_rate", "sbp", "dbp", "map", "spo2", "respiratory_rate", "temp_c"]
 LABS = ["sodium", "potassium", "chloride", "glucose", "creatinine", "bun", "hemoglobin", "white_blood_cell_count", "platelet_count", "lactate", "ph", "bicarbonate"]
 STATISTICS = ("last", "min", "max", "mean", "std", "slope", "missing")
@@ -39,19 +44,33 @@ def windowed(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFram
     return dealt(rows, length).join(grid.select(STAY, "hour").distinct(), [STAY, "hour"])
 
 
-def beside(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
+def in_reach(grid: DataFrame, rows: DataFrame, length: int, how: str) -> DataFrame:
+    """Times of the grid, whatever they are, joined with the rows in their windows.
+
+    Rows are dealt to the whole hours in which such a time can lie, so the join is by equality and a stay's rows
+    meet only times near them; the exact window is tested on what meets.
+    """
+    g = grid.select(STAY, "hour").distinct().withColumn("_in", hour_floor("hour"))
+    near = F.sequence(hour_floor("ts"), hour_floor(F.col("ts") + hours(length)), hours(1))
+    e = rows.where(F.col("ts").isNotNull()).withColumnRenamed(STAY, "_stay").withColumn("_near", F.explode(near))
+    inside = (F.col(STAY) == F.col("_stay")) & (F.col("_in") == F.col("_near")) & (F.col("ts") > F.col("hour") - hours(length)) & (F.col("ts") <= F.col("hour"))
+    return g.join(e, inside, how).drop("_stay", "_in", "_near")
+
+
+def beside(grid: DataFrame, rows: DataFrame, length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
     """Every (stay, hour) of the grid with each row in its window, or one time with nulls if there is none.
 
     Aggregating this by (stay, hour) needs no further shuffle and no second join to bring back empty windows.
+    ``at_any_time`` takes times off the hour too.
     """
+    if at_any_time:
+        return in_reach(grid, rows, length, "left")
     return grid.select(STAY, "hour").distinct().join(dealt(rows, length), [STAY, "hour"], "left")
 
 
 def windowed_range(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same for any times in ``hour``."""
-    g = grid.select(STAY, "hour").distinct().withColumnRenamed(STAY, "_stay")
-    inside = (F.col(STAY) == F.col("_stay")) & (F.col("ts") > F.col("hour") - hours(length)) & (F.col("ts") <= F.col("hour"))
-    return rows.join(g, inside).drop("_stay")
+    """The same as ``windowed`` for any times in ``hour``."""
+    return in_reach(grid, rows, length, "inner")
 
 
 def statistics(value: Column, ts: Column, where: Column, mode: str = "train") -> dict[str, Column]:
@@ -76,38 +95,84 @@ def long_statistics(grid: DataFrame, rows: DataFrame, mode: str = "train", lengt
     return inside.groupBy(STAY, "hour", F.lower("category").alias("category")).agg(*(c.alias(n) for n, c in columns.items()))
 
 
-def block(grid: DataFrame, rows: DataFrame, categories: list[str], mode: str = "train", length: int = LENGTH, skip_absent: bool = False) -> DataFrame:
-    """stay_id, hour and seven columns for each category, for every (stay, hour) of the grid.
+class Part(NamedTuple):
+    """One block of features: its rows (stay_id, ts and columns of its own), aggregates of those, and what makes features of them.
+
+    ``aggregates`` gets the condition that a row is this part's own. Parts share one pass over the windows.
+    """
+
+    rows: DataFrame
+    aggregates: Callable[[Column], list[Column]]
+    finish: Callable[[DataFrame], DataFrame] = lambda df: df
+
 
-    ``skip_absent`` looks first which categories the table has at all and leaves the others out.
+def in_one_pass(grid: DataFrame, parts: list[Part], length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
+    """stay_id, hour and the features of all parts, for every (stay, hour) of the grid.
+
+    The parts' rows are one long table with the part's number, so windows are dealt, joined and aggregated once
+    however many parts there are.
     """
-    wanted = rows.where(F.lower("category").isin(categories) & F.col("value").isNotNull()).withColumn("category", F.lower("category"))
+    if not parts:
+        return grid.select(STAY, "hour").distinct()
+    tagged = [p.rows.withColumn("_part", F.lit(k)) for k, p in enumerate(parts)]
+    long = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    columns = [c for k, p in enumerate(parts) for c in p.aggregates(F.col("_part") == k)]
+    return reduce(lambda df, p: p.finish(df), parts, beside(grid, long, length, at_any_time).groupBy(STAY, "hour").agg(*columns))
+
+
+def block_part(rows: DataFrame, categories: list[str], mode: str = "train", skip_absent: bool = False) -> Part | None:
+    """Seven columns for each category. ``skip_absent`` looks first which categories the table has at all, and leaves the others out."""
+    wanted = rows.where(F.lower("category").isin(categories) & F.col("value").isNotNull()).select(STAY, "ts", F.lower("category").alias("_category"), F.col("value").alias("_value"))
     if skip_absent:
-        there = {r["category"] for r in wanted.select("category").distinct().collect()}
+        there = {r[0] for r in wanted.select("_category").distinct().collect()}
         categories = [c for c in categories if c in there]
-    keys = grid.select(STAY, "hour").distinct()
     if not categories:
-        return keys
-    columns = {f"{safe_name(c)}_{n}": x for c in categories for n, x in statistics(F.col("value"), F.col("ts"), F.col("category") == c, mode).items()}
-    return beside(grid, wanted, length).groupBy(STAY, "hour").agg(*(x.alias(n) for n, x in columns.items()))
+        return None
+
+    def aggregates(own: Column) -> list[Column]:
+        return [x.alias(f"{safe_name(c)}_{n}") for c in categories for n, x in statistics(F.col("_value"), F.col("ts"), own & (F.col("_category") == c), mode).items()]
+
+    return Part(wanted, aggregates)
 
 
-def medication_block(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
+def block(grid: DataFrame, rows: DataFrame, categories: list[str], mode: str = "train", length: int = LENGTH, skip_absent: bool = False, at_any_time: bool = False) -> DataFrame:
+    """stay_id, hour and seven columns for each category, for every (stay, hour) of the grid."""
+    part = block_part(rows, categories, mode, skip_absent)
+    return in_one_pass(grid, [part] if part else [], length, at_any_time)
+
+
+def medication_part(rows: DataFrame) -> Part:
     """vasopressor_max_dose and vasopressor_active, from rows (stay, ts, dose) of the vasoactive group."""
     dose = number_of(rows, "dose")
-    found = beside(grid, rows.where(dose > 0), length).groupBy(STAY, "hour").agg(F.max(dose).alias("m"))
-    return found.select(STAY, "hour", F.coalesce("m", F.lit(0.0)).alias("vasopressor_max_dose"), F.col("m").isNotNull().cast("int").alias("vasopressor_active"))
+
+    def finish(df: DataFrame) -> DataFrame:
+        return df.withColumns({"vasopressor_max_dose": F.coalesce("_dose", F.lit(0.0)), "vasopressor_active": F.col("_dose").isNotNull().cast("int")}).drop("_dose")
+
+    return Part(rows.where(dose > 0).select(STAY, "ts", dose.alias("_dose")), lambda own: [F.max(F.when(own, F.col("_dose"))).alias("_dose")], finish)
 
 
-def last_values(grid: DataFrame, rows: DataFrame, columns: list[str], per_column: bool = True, length: int = LENGTH) -> DataFrame:
+def medication_block(grid: DataFrame, rows: DataFrame, length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
+    return in_one_pass(grid, [medication_part(rows)], length, at_any_time)
+
+
+def last_part(rows: DataFrame, columns: list[str], per_column: bool = True, count: str = "_rows", finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> Part:
     """The last value of each column in the window: the last that isn't null, or (``per_column=False``) of the last row.
 
-    ``_rows`` counts the window's rows, null if there are none.
+    ``count`` counts the window's rows, null if there are none.
     """
-    n = F.count("ts")
-    whole = F.max_by(F.struct(*columns), F.when(F.col("ts").isNotNull(), F.struct("ts", *columns)))
-    aggregates = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", c))).alias(c) if per_column else whole[c].alias(c) for c in columns]
-    return beside(grid, rows, length).groupBy(STAY, "hour").agg(*aggregates, F.when(n > 0, n).alias("_rows"))
+
+    def aggregates(own: Column) -> list[Column]:
+        named = {c: F.col("_last_" + c) for c in columns}
+        whole = F.max_by(F.struct(*named.values()), F.when(own, F.struct("ts", *named.values())))
+        last = [(F.max_by(x, F.when(own & x.isNotNull(), F.struct(F.col("ts"), x))) if per_column else whole["_last_" + c]).alias(c) for c, x in named.items()]
+        n = F.count(F.when(own, F.col("ts")))
+        return [*last, F.when(n > 0, n).alias(count)]
+
+    return Part(rows.where(F.col("ts").isNotNull()).select(STAY, "ts", *(F.col(c).alias("_last_" + c) for c in columns)), aggregates, finish)
+
+
+def last_values(grid: DataFrame, rows: DataFrame, columns: list[str], per_column: bool = True, length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
+    return in_one_pass(grid, [last_part(rows, columns, per_column)], length, at_any_time)
 
 
 def one_hot(df: DataFrame, column: str, values: list[str] | None = None, prefix: str = "mode_") -> DataFrame:
@@ -117,29 +182,53 @@ def one_hot(df: DataFrame, column: str, values: list[str] | None = None, prefix:
     return df.withColumns({prefix + safe_name(v): F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in sorted(values)})
 
 
-def respiratory_block(grid: DataFrame, rows: DataFrame, modes: list[str] | None = None, per_column: bool = True, length: int = LENGTH) -> DataFrame:
-    """fio2_last, peep_last and the last mode one-hot; a null mode counts as '' where the window has rows."""
-    got = last_values(grid, rows, ["fio2_set", "peep_set", "mode_category"], per_column, length)
-    mode = F.when(F.col("_rows").isNotNull(), F.coalesce("mode_category", F.lit("")))
-    named = got.select(STAY, "hour", F.col("fio2_set").alias("fio2_last"), F.col("peep_set").alias("peep_last"), mode.alias("_mode"))
-    return one_hot(named, "_mode", modes).drop("_mode")
+def respiratory_part(rows: DataFrame, modes: list[str] | None = None, per_column: bool = True) -> Part:
+    """fio2_last, peep_last and the last mode one-hot; a null mode counts as '' where the window has rows.
+
+    Without ``modes`` the columns are the modes of the whole table, and the one for no mode.
+    """
+    if modes is None:
+        modes = sorted({r[0] or "" for r in rows.select("mode_category").distinct().collect()} | {""})
+
+    def finish(df: DataFrame) -> DataFrame:
+        mode = F.when(F.col("_rows").isNotNull(), F.coalesce("mode_category", F.lit("")))
+        named = df.withColumns({"fio2_last": F.col("fio2_set"), "peep_last": F.col("peep_set"), "_mode": mode})
+        return one_hot(named, "_mode", modes).drop("_mode", "_rows", "fio2_set", "peep_set", "mode_category")
+
+    return last_part(rows, ["fio2_set", "peep_set", "mode_category"], per_column, "_rows", finish)
+
+
+def respiratory_block(grid: DataFrame, rows: DataFrame, modes: list[str] | None = None, per_column: bool = True, length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
+    return in_one_pass(grid, [respiratory_part(rows, modes, per_column)], length, at_any_time)
 
 
-def fluid_block(grid: DataFrame, rows: DataFrame | None, length: int = LENGTH) -> DataFrame:
-    """net_fluid (in less out) and urine_output of the window; null without rows or without the table.
+def fluid_part(rows: DataFrame) -> Part:
+    """net_fluid (in less out) and urine_output of the window; null without rows.
 
     Rows have stay, ts, amount and optionally in_out_flag (1 in, 0 out) and fluid_name.
     """
-    keys = grid.select(STAY, "hour").distinct()
-    nothing = F.lit(None).cast("double")
+    amount, nothing = number_of(rows, "amount"), F.lit(None).cast("double")
+    flag = number_of(rows, "in_out_flag") if "in_out_flag" in rows.columns else nothing
+    urine = F.lower("fluid_name").contains("urine") if "fluid_name" in rows.columns else F.lit(None).cast("boolean")
+    own_rows = rows.where(amount.isNotNull()).select(STAY, "ts", amount.alias("_amount"), flag.alias("_flag"), urine.alias("_urine"))
+
+    def aggregates(own: Column) -> list[Column]:
+        x, some = F.col("_amount"), F.count(F.when(own, F.col("_amount"))) > 0
+        net = F.sum(F.when(own, F.when(F.col("_flag") == 1, x).when(F.col("_flag") == 0, -x).otherwise(0.0))) if "in_out_flag" in rows.columns else F.max(nothing)
+        passed = F.col("_urine") & ((F.col("_flag") == 0) if "in_out_flag" in rows.columns else F.lit(True))
+        out = F.sum(F.when(own, F.when(passed, x).otherwise(0.0))) if "fluid_name" in rows.columns else F.max(nothing)
+        return [F.when(some, net).alias("net_fluid"), F.when(some, out).alias("urine_output")]
+
+    return Part(own_rows, aggregates)
+
+
+def absent_fluids(df: DataFrame) -> DataFrame:
+    """The fluid columns where the table is absent: null."""
+    return df.withColumns({c: F.lit(None).cast("double") for c in ("net_fluid", "urine_output")})
+
+
+def fluid_block(grid: DataFrame, rows: DataFrame | None, length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
+    """``fluid_part`` for every (stay, hour) of the grid; null without the table."""
     if rows is None:
-        return keys.select("*", nothing.alias("net_fluid"), nothing.alias("urine_output"))
-    amount, flag = number_of(rows, "amount"), number_of(rows, "in_out_flag") if "in_out_flag" in rows.columns else None
-    net = F.sum(F.when(flag == 1, amount).when(flag == 0, -amount).otherwise(0.0)) if flag is not None else nothing
-    urine = nothing
-    if "fluid_name" in rows.columns:
-        passed = F.lower("fluid_name").contains("urine") & ((flag == 0) if flag is not None else F.lit(True))
-        urine = F.sum(F.when(passed, amount).otherwise(0.0))
-    some = F.count(amount) > 0
-    found = beside(grid, rows.where(amount.isNotNull()), length).groupBy(STAY, "hour")
-    return found.agg(F.when(some, net if flag is not None else F.max(nothing)).alias("net_fluid"), F.when(some, urine if "fluid_name" in rows.columns else F.max(nothing)).alias("urine_output"))
+        return absent_fluids(grid.select(STAY, "hour").distinct())
+    return in_one_pass(grid, [fluid_part(rows)], length, at_any_time)

@@ -1,7 +1,8 @@
 """Exact ranking metrics from counts of positives and negatives by distinct score.
 
-Running sums over all distinct scores would pass through one task. So scores are ranged first, every range adds up
-its own counts, and only the ranges' totals (as many as partitions) are summed in order.
+Running sums over all distinct scores would pass through one task. So scores are ranged first, by approximate quantiles
+that stand as numbers in the plan (so that all its branches and any repeated task see the same ranges); every range adds up
+its own counts, and only the ranges' totals are summed in order.
 """
 
 from __future__ import annotations
@@ -10,11 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores, about, each of which is one task's.
+RANGES = 64
+
+
 def by_score(df: DataFrame) -> DataFrame:
     """score, pos, neg, and the counts of scores above it (tp_above, fp_above)."""
     known = df.where(F.col("score").isNotNull() & F.col("label").isNotNull())
     counts = known.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg"))
-    ranged = counts.repartitionByRange(F.col("score").desc()).withColumn("_part", F.spark_partition_id())
+    bounds = sorted(set(known.approxQuantile("score", [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES)))
+    ranged = counts.withColumn("_part", sum((F.col("score") < b).cast("int") for b in bounds) if bounds else F.lit(0))
     inside = Window.partitionBy("_part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy(F.col("_top").desc()).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_part").agg(F.max("score").alias("_top"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import hour_floor, number
 from tidemark.operators import assemble, forward, frames, grid, lookback, metrics, sampling, serve
 from tidemark.operators import model as risk
+from tidemark.sources import tables
+from tidemark.sources.shared import stored
 
 from . import inputs
 
@@ -107,21 +109,34 @@ def _combined(spark, sf_dir) -> DataFrame:
         "medication_admin_continuous": e.select("stay_id", F.col("ts").alias("admin_dttm"), F.when(F.col("category") == "purchase", "Vasoactives").otherwise("none").alias("med_group"), (F.col("value") - 200).alias("med_dose")),
         "respiratory_support": e.select("stay_id", F.col("ts").alias("recorded_dttm"), F.when((F.col("category") == "view") & (F.col("value") > 300), "imv").otherwise("room air").alias("device_category")),
         "crrt_therapy": e.where("category = 'error' AND value > 250").select("stay_id", F.col("ts").alias("recorded_dttm")),
-        "ecmo_mcs": None,
+        "ecmo_mcs": e.where("category = 'signup' AND value > 280").select("stay_id", F.col("ts").alias("recorded_dttm")),
         "patient": None,
     }
     return forward.labelled_grid(inputs.grid(spark, sf_dir), catalog)
 
 
 _COMBINED = """, vaso AS (SELECT stay_id, ts FROM ev WHERE category = 'purchase' AND value > 200), vent AS (SELECT stay_id, ts FROM ev WHERE category = 'view' AND value > 300),
-dial AS (SELECT stay_id, ts FROM ev WHERE category = 'error' AND value > 250),
-lab AS (SELECT g.stay_id, g.patient_id, g.hour, {v} AS vasopressor, {i} AS ventilation, {d} AS dialysis FROM grid g)
-""".format(v=_ANY.format(t="vaso"), i=_ANY.format(t="vent"), d=_ANY.format(t="dial"))
+dial AS (SELECT stay_id, ts FROM ev WHERE category = 'error' AND value > 250), circ AS (SELECT stay_id, ts FROM ev WHERE category = 'signup' AND value > 280),
+lab AS (SELECT g.stay_id, g.patient_id, g.hour, {v} AS vasopressor, {i} AS ventilation, {d} AS dialysis, {c} AS circulatory FROM grid g)
+""".format(v=_ANY.format(t="vaso"), i=_ANY.format(t="vent"), d=_ANY.format(t="dial"), c=_ANY.format(t="circ"))
 
 
-@query(_COMBINED + "SELECT stay_id, hour, vasopressor, ventilation, dialysis, CAST(vasopressor OR ventilation OR dialysis AS INT) AS label FROM lab")
+@query(_COMBINED + "SELECT stay_id, hour, vasopressor, ventilation, dialysis, circulatory, CAST(vasopressor OR ventilation OR dialysis OR circulatory AS INT) AS label FROM lab")
 def label_combined(spark, sf_dir):
-    return _combined(spark, sf_dir).select("stay_id", "hour", "vasopressor", "ventilation", "dialysis", "label")
+    return _combined(spark, sf_dir).select("stay_id", "hour", "vasopressor", "ventilation", "dialysis", "circulatory", "label")
+
+
+#: Moments off the hour: the times of a stay's sign-ups.
+_MOMENTS = ", mom AS (SELECT DISTINCT stay_id, patient_id, ts AS hour FROM ev WHERE category = 'signup')"
+
+
+def _moments(spark, sf_dir) -> DataFrame:
+    return inputs.events(spark, sf_dir).where("category = 'signup'").select("stay_id", "patient_id", F.col("ts").alias("hour")).distinct()
+
+
+@query(_MOMENTS + f" SELECT g.stay_id, g.hour, {_ANY.format(t='det')} AS event FROM mom g")
+def label_off_the_hour(spark, sf_dir):
+    return forward.label_range(_moments(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event").select("stay_id", "hour", "event")
 
 
 @query(f"SELECT stay_id, count(*) AS n_hours, sum(CAST(event AS INT))::BIGINT AS n_positive, round(avg(CAST(event AS INT)), 6) AS positive_rate FROM (SELECT g.stay_id, {_ANY.format(t='det')} AS event FROM grid g) GROUP BY stay_id")
@@ -264,12 +279,12 @@ def fluid_missing_table(spark, sf_dir):
     return lookback.fluid_block(inputs.grid(spark, sf_dir), None)
 
 
-def _features(spark, sf_dir) -> DataFrame:
-    g, e = inputs.grid(spark, sf_dir), inputs.events(spark, sf_dir)
+def _features(spark, sf_dir, moments: DataFrame | None = None) -> DataFrame:
+    e = inputs.events(spark, sf_dir)
     doses = e.where("category = 'purchase'").select("stay_id", "ts", F.col("value").alias("dose"))
-    modes = lookback.one_hot(lookback.last_values(g, e, ["category"]).drop("_rows"), "category", KINDS).drop("category")
-    blocks = [lookback.block(g, e, ["click", "error", "view"]), lookback.medication_block(g, doses), modes, lookback.fluid_block(g, _fluids(spark, sf_dir))]
-    return assemble.feature_matrix(g, blocks)
+    modes = lookback.last_part(e, ["category"], finish=lambda df: lookback.one_hot(df, "category", KINDS).drop("category", "_rows"))
+    parts = [lookback.block_part(e, ["click", "error", "view"]), lookback.medication_part(doses), modes, lookback.fluid_part(_fluids(spark, sf_dir))]
+    return assemble.feature_matrix(inputs.grid(spark, sf_dir) if moments is None else moments, parts, at_any_time=moments is not None)
 
 
 _FEATURES = f"{_wide(['click', 'error', 'view'])}, {_MED}, {_MODES}, {_FLUID}"
@@ -280,6 +295,17 @@ def feature_matrix(spark, sf_dir):
     return _rounded(_features(spark, sf_dir))
 
 
+@query(_MOMENTS + ", mlook AS (SELECT m.stay_id, m.hour, e.ts, e.category, e.value, e.text FROM mom m JOIN ev e ON e.stay_id = m.stay_id AND e.ts > m.hour - INTERVAL 6 HOUR AND e.ts <= m.hour) " + _BLOCK.format(c=_FEATURES).replace("FROM grid g LEFT JOIN look l", "FROM mom g LEFT JOIN mlook l"))
+def features_off_the_hour(spark, sf_dir):
+    return _rounded(_features(spark, sf_dir, _moments(spark, sf_dir)))
+
+
+@query("SELECT g.stay_id, g.hour, " + ", ".join(f"round(coalesce({x} FILTER (category = 'view'), 0), 6) AS view_{n}" for n, x in (("last", "arg_max(value, ts)"), ("min", "min(value)"), ("mean", "avg(value)"))) + " FROM grid g LEFT JOIN look l USING (stay_id, hour) GROUP BY ALL")
+def null_fill(spark, sf_dir):
+    found = lookback.block(inputs.grid(spark, sf_dir), inputs.events(spark, sf_dir), ["view"])
+    return _rounded(assemble.filled(found.select("stay_id", "hour", "view_last", "view_min", "view_mean")))
+
+
 @query(f", feat AS ({_BLOCK.format(c=_FEATURES)}) SELECT f.*, CAST({_ANY.format(t='det').replace('g.', 'f.')} AS INT) AS label FROM feat f")
 def inner_label_join(spark, sf_dir):
     labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
@@ -334,6 +360,40 @@ def scored_windows(spark, sf_dir):
     return frames.with_scores(windows, given).select("stay_id", "window_start", "window_end", "score")
 
 
+@query(_WINDOWS + ", per AS (SELECT stay_id, count(*)::DOUBLE AS score FROM det GROUP BY stay_id) SELECT win.stay_id, window_start, window_end, score FROM win LEFT JOIN per USING (stay_id)")
+def stay_scores_on_windows(spark, sf_dir):
+    per_stay = inputs.deteriorations(spark, sf_dir).groupBy("stay_id").agg(F.count("*").cast("double").alias("score"))
+    return frames.with_stay_scores(grid.cohort_windows(inputs.stays(spark, sf_dir)), per_stay).select("stay_id", "window_start", "window_end", "score")
+
+
+# Tables
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS hospitalization_id, ts AS recorded_dttm, event_type AS vital_category, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS vital_value FROM events")
+def normalised_table(spark, sf_dir):
+    e = tables.load_table(spark, sf_dir, "events")
+    given = e.select(F.col("user_id").alias("hospitalization_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("recorded_dttm"), F.col("event_type").alias("vital_category"), F.get_json_object("props", "$.k").alias("vital_value"))
+    return tables.normalise(given, "vitals")
+
+
+@query("SELECT stay_id AS hospitalization_id, patient_id, admission AS admission_dttm, discharge AS discharge_dttm FROM stay")
+def text_stay_bounds(spark, sf_dir):
+    s = inputs.stays(spark, sf_dir)
+    return tables.stay_bounds(s.select(F.col("stay_id").alias("hospitalization_id"), "patient_id", F.col("admission").cast("string").alias("admission_dttm"), F.col("discharge").cast("string").alias("discharge_dttm")))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events ORDER BY ts, event_id LIMIT 500")
+def capped_table(spark, sf_dir):
+    return tables.load_table(spark, sf_dir, "events", max_rows=500, order_by=["ts", "event_id"]).select("event_id", "user_id", "event_type", "value")
+
+
+@query("SELECT stay_id, ts, value FROM ev WHERE category = 'click' UNION ALL SELECT stay_id, ts, value FROM ev WHERE category = 'error' AND value > 0")
+def concatenated(spark, sf_dir):
+    e = inputs.events(spark, sf_dir)
+    clicks, errors = (e.where(F.col("category") == k).select("stay_id", "ts", "value") for k in ("click", "error"))
+    return clicks.unionByName(errors.where("value > 0"))
+
+
 # Joins, samples, metrics
 
 
@@ -370,7 +430,15 @@ def stratified_sample(spark, sf_dir):
     return sampling.stratified_sample(labels.select("stay_id", "patient_id", "hour", "label"), 5000).select("stay_id", "hour", "label")
 
 
-@query(f"SELECT stay_id, patient_id, CASE WHEN {_HASH.format(t="'42:' || patient_id")} < {int(0.2 * 2**32)} THEN 'test' ELSE 'train' END AS split FROM stay")
+def _split(source: str) -> str:
+    """The fifth of the patients of ``source`` with the smallest hashes as ``test_side``."""
+    return f", pat AS (SELECT DISTINCT patient_id FROM {source}), test_side AS (SELECT patient_id FROM pat QUALIFY row_number() OVER (ORDER BY {_HASH.format(t="'42:' || patient_id")}, patient_id) <= ceil(0.2::DOUBLE * (SELECT count(*) FROM pat)))"
+
+
+_SIDE = "CASE WHEN patient_id IN (SELECT patient_id FROM test_side) THEN 'test' ELSE 'train' END AS split"
+
+
+@query(_split("stay") + f" SELECT stay_id, patient_id, {_SIDE} FROM stay")
 def group_split(spark, sf_dir):
     return sampling.group_split(inputs.stays(spark, sf_dir)).select("stay_id", "patient_id", "split")
 
@@ -444,7 +512,7 @@ def numeric_coercion(spark, sf_dir):
     return e.select("event_id", number(k).alias("good"), number(F.concat(k, F.lit("d"))).alias("bad"))
 
 
-@query(f"""SELECT stay_id, patient_id, hour AS timestamp, risk AS risk_score, label, CASE WHEN {_HASH.format(t="'42:' || patient_id")} < {int(0.2 * 2**32)} THEN 'test' ELSE 'train' END AS split,
+@query(_split("pred") + f""" SELECT stay_id, patient_id, hour AS timestamp, risk AS risk_score, label, {_SIDE},
   hour - INTERVAL 1 HOUR AS start_dttm, hour AS end_dttm FROM pred""")
 def predictions_table(spark, sf_dir):
     return assemble.prediction_table(sampling.group_split(inputs.predictions(spark, sf_dir)))
@@ -456,7 +524,7 @@ def predictions_table(spark, sf_dir):
 def _trained(spark, sf_dir):
     labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
     patients = inputs.stays(spark, sf_dir).select("stay_id", "patient_id")
-    rows = sampling.group_split(assemble.with_labels(_features(spark, sf_dir), labels).join(patients, "stay_id"))
+    rows = stored(sampling.group_split(assemble.with_labels(_features(spark, sf_dir), labels).join(patients, "stay_id")))
     return risk.train(rows), rows
 
 

@@ -31,7 +31,7 @@ def score_labels(spark: SparkSession, settings: Settings, stays: DataFrame, pref
 
 def labelled_rows(spark: SparkSession, settings: Settings, prefix: str = "") -> tuple[DataFrame, dict[str, DataFrame | None]]:
     """stay_id, patient_id, hour and label; and the catalog. Stays, not rows of tables, are what a cap leaves out."""
-    catalog = as_stays(load_catalog(spark, settings.data_directory, prefix))
+    catalog = as_stays(load_catalog(spark, settings.data_directory, prefix, settings.max_rows_per_table))
     stays = grid.valid_stays(catalog["hospitalization"].select(STAY, PATIENT, START, END))
     labels = score_labels(spark, settings, stays, prefix) if settings.score_labels else forward.labelled_grid(grid.hourly_grid(stays), catalog)
     labels = labels.select(STAY, PATIENT, "hour", "label")
@@ -47,7 +47,7 @@ def run(spark: SparkSession, settings: Settings, prefix: str = "") -> dict[str,
         raise ValueError("the labelled grid is empty")
     if facts["n_rows"] > MANY_WINDOWS:
         print(f"{facts['n_rows']} windows")
-    features = assemble.feature_matrix(labels, assemble.clinical_blocks(labels, catalog))
+    features = assemble.clinical_features(labels, catalog)
     rows = sampling.group_split(assemble.with_labels(features, labels).join(labels.select(STAY, PATIENT).distinct(), STAY), settings.test_share, settings.seed)
     fitted = model.train(rows, seed=settings.seed)
     scored = fitted.score(rows)

@@ -85,11 +85,12 @@ def write_results(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run needs to know. ``from_mapping`` takes keys of a parsed settings file, with their older names."""
+    """What a run needs to know. ``from_mapping`` takes keys of a parsed settings file, with their older names.
+
+    Tables are Parquet and times are UTC, so a file's ``filetype`` and ``timezone`` must say so.
+    """
 
     data_directory: str = "."
-    filetype: str = "parquet"
-    timezone: str = "UTC"
     out_directory: str = "out"
     test_share: float = 0.2
     max_windows: int | None = None
@@ -105,6 +106,9 @@ class Settings:
     @classmethod
     def from_mapping(cls, values: Mapping) -> Settings:
         named = {cls.ALIASES.get(k, k): v for k, v in values.items()}
+        for key, only in (("filetype", "parquet"), ("timezone", "UTC")):
+            if str(named.get(key, only)).lower() != only.lower():
+                raise ValueError(f"{key} must be {only}, not {named[key]}")
         own = set(cls.__dataclass_fields__) - {"extra"}
         return cls(**{k: v for k, v in named.items() if k in own}, extra={k: v for k, v in named.items() if k not in own})
 
