@@ -51,11 +51,19 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def sliced(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, one row at least: a worker's memory doesn't follow Spark's batches."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(size, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``function`` over each Arrow batch of ``df``; a batch may yield nothing."""
+    """``function`` over the rows of ``df`` in Arrow batches of a few MB; a batch may yield nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if (out := function(batch)) is not None:
                 yield out
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_below, map_batches, parts
+from .common import crc_mod, hash_below, map_batches, parts, sliced
 
 PER_LANG = 400
 STRETCH = 120
@@ -45,7 +45,7 @@ MIN_COUNT = 4
 LEXICON_COUNT = 12
 #: Stretches in one training chain.
 CHAIN = 12
-PART_CHARS = 8_000_000
+PART_CHARS = 2_500_000
 SPAN = 2048
 #: How far a result may be off because a chain is stepped in stretches.
 ROUNDING = 1e-7
@@ -284,7 +284,7 @@ def labelled(df: DataFrame, model: Crf | None, out: Callable[[pa.RecordBatch, li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
-        for batch in batches:
+        for batch in sliced(batches, PART_CHARS):
             texts = batch.column("text").to_pylist()
             yield out(batch, *(label_texts(scorer, texts) if scorer is not None else ([UNKNOWN] * len(texts), [0.0] * len(texts))))
 
