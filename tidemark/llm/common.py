@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import stored
+
+__all__ = ["WORD", "crc_mod", "hash_below", "labelled_texts", "map_batches", "parts", "sampled_labels", "stored", "table", "unused"]
+
 #: A word: what stands between ASCII white space (space and U+0009 to U+000D).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,33 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing a temporary folder is made, but only in plain local mode, where
-    one process holds driver and executors; anywhere else that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    Cuts the lineage: what comes after doesn't compute ``df`` again, and a lost executor takes none
-    of it along.
-    """
-    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``: the fold of a document (null id: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
