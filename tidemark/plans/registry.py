@@ -521,11 +521,19 @@ def predictions_table(spark, sf_dir):
 # The model: rows only, as SQL can't train it
 
 
+_trained_last: dict[tuple[str, str], tuple] = {}
+
+
 def _trained(spark, sf_dir):
-    labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
-    patients = inputs.stays(spark, sf_dir).select("stay_id", "patient_id")
-    rows = stored(sampling.group_split(assemble.with_labels(_features(spark, sf_dir), labels).join(patients, "stay_id")))
-    return risk.train(rows), rows
+    """The model of a folder's tables and the rows it's for. A session keeps its last one, as three queries ask for it in a row."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _trained_last:
+        labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
+        patients = inputs.stays(spark, sf_dir).select("stay_id", "patient_id")
+        rows = stored(sampling.group_split(assemble.with_labels(_features(spark, sf_dir), labels).join(patients, "stay_id")))
+        _trained_last.clear()
+        _trained_last[key] = risk.train(rows), rows
+    return _trained_last[key]
 
 
 @query()
