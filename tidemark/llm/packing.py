@@ -43,6 +43,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k"
 #: Pieces for each packing group, about.
 GROUP_PIECES = 4000
+#: Groups for each task, about.
+GROUPS_AT_ONCE = 4
 #: Runs of white space from this length on are cut out before encoding.
 LONG_RUN = 10_000
 _long_run = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_RUN)
@@ -158,7 +160,8 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
 
     row = F.monotonically_increasing_id()
     dealt = pieces.select(*columns).withColumn(key, F.pmod(F.xxhash64(row, "piece", "ids_crc32"), F.lit(max(1, groups))))
-    return dealt.groupBy(key).applyInPandas(place, schema)
+    parts = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS_AT_ONCE))
+    return dealt.repartition(parts, key).groupBy(key).applyInPandas(place, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
