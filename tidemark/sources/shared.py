@@ -24,12 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """``df`` written once to the shared folder, compressed by ``codec``, and read back.
 
     Cuts the lineage: what comes after doesn't compute ``df`` again, and a lost executor takes none
     of it along.
     """
     path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
