@@ -74,8 +74,8 @@ def test_odd_texts(spark, name):
         assert len(got) == len(ODD) + 3
 
 
-def test_queries_are_the_ten():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in registry.queries()) == list(range(1, 11))
+def test_queries_are_all_operators():
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in registry.queries()} >= set(range(1, 11))
 
 
 def test_decontamination(spark):

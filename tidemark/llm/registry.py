@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin calls over the whole tables, and their SQL."""
+"""The registered queries of the operators: thin calls over the whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import alignment
 from .class_lm import score_documents
 from .common import table
 from .decontam import find_leaks
@@ -60,8 +61,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_secret_scan, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing, op9_quality_rules, op10_license_scan)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_decontamination, op2_toxicity, op3_secret_scan, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing,
+            op9_quality_rules, op10_license_scan, op12_token_alignment,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
