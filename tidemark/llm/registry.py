@@ -13,6 +13,8 @@ from .decontam import find_leaks
 from .langid import identify_languages
 from .license_scan import oracle_sql as license_sql
 from .license_scan import scan_licenses
+from .mixing import mix_documents
+from .mixing import oracle_sql as mixing_sql
 from .packing import pack_documents
 from .quality import quality_rules
 from .secret_scan import scan_secrets
@@ -65,15 +67,19 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(table(spark, sf_dir, "documents"))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_decontamination, op2_toxicity, op3_secret_scan, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing,
-            op9_quality_rules, op10_license_scan, op12_token_alignment,
+            op9_quality_rules, op10_license_scan, op12_token_alignment, op13_source_mix,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": license_sql()}
+    return {"op10_license_scan": license_sql(), "op13_source_mix": mixing_sql()}
