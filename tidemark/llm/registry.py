@@ -16,6 +16,7 @@ from .license_scan import scan_licenses
 from .mixing import mix_documents
 from .mixing import oracle_sql as mixing_sql
 from .packing import pack_documents
+from .periodic import periodic_runs, run_digest, with_planted_runs
 from .quality import quality_rules
 from .secret_scan import scan_secrets
 from .simhash import near_duplicates
@@ -63,6 +64,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(table(spark, sf_dir, "documents"))
 
@@ -76,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_decontamination, op2_toxicity, op3_secret_scan, op4_token_counts, op5_class_lm, op6_language_id, op7_simhash, op8_best_fit_packing,
-            op9_quality_rules, op10_license_scan, op12_token_alignment, op13_source_mix,
+            op9_quality_rules, op10_license_scan, op11_periodic_runs, op12_token_alignment, op13_source_mix,
         )
     }
 
