@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import SMALL
-from tidemark.llm import class_lm, decontam, langid, license_scan, packing, quality, registry, secret_scan, simhash, token_counts, toxicity
+from tidemark.llm import alignment, class_lm, decontam, langid, license_scan, mixing, packing, periodic, quality, registry, secret_scan, simhash, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, fp long, n long, row long, key string"
 ODD = [None, "", " \n\t ", "x", "a b", "<|endoftext|> a<|endoftext|>", "é ½ Ⅷ ² 日本語   \x85\x1c\x00", "A" * 5000, "ab " * 6000, "AKIA", "password=", "\U0001f600 token: abcdef \U0001f600"]
@@ -56,6 +56,9 @@ OPERATORS = {
     "8": lambda s, d: packing.pack_documents(d),
     "9": lambda s, d: quality.quality_rules(d, s.createDataFrame([(0, 1), (3, 0)], "doc_id long, quality int")),
     "10": lambda s, d: license_scan.scan_licenses(d),
+    "11": lambda s, d: periodic.run_digest(periodic.periodic_runs(periodic.with_planted_runs(d))),
+    "12": lambda s, d: alignment.alignment(d),
+    "13": lambda s, d: mixing.mix_documents(d),
 }
 
 
@@ -75,7 +78,7 @@ def test_odd_texts(spark, name):
 
 
 def test_queries_are_all_operators():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in registry.queries()} >= set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in registry.queries()} == set(range(1, 14))
 
 
 def test_decontamination(spark):
