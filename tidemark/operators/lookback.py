@@ -1,8 +1,9 @@
 """Aggregates over backward windows (hour - length, hour].
 
-On an hourly grid a measurement falls into exactly ``length`` windows: it's dealt to those hours and
-joined on (stay, hour), then all categories, of all blocks together if wished, are aggregated in one pass. Times off
-the hour (a single explained moment) have a form with buckets of an hour; both agree on the grid.
+On an hourly grid a window is ``length`` whole panes of an hour. Measurements are reduced first to one row of mergeable states
+for each stay, pane and category; that row is dealt to the ``length`` hours whose windows hold it and joined on (stay, hour), then all
+categories, of all blocks together if wished, are merged in one pass. Times off the hour (a single explained moment)
+have a form with buckets of an hour in which each measurement is a state of its own; both agree on the grid.
 
 Two definitions of spread and slope are offered: ``train`` (sample deviation, slope between the first and
 last value) and ``row`` (population deviation, least-squares slope).
@@ -57,67 +58,144 @@ def in_reach(grid: DataFrame, rows: DataFrame, length: int, how: str) -> DataFra
     return g.join(e, inside, how).drop("_stay", "_in", "_near")
 
 
-def beside(grid: DataFrame, rows: DataFrame, length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
-    """Every (stay, hour) of the grid with each row in its window, or one time with nulls if there is none.
-
-    Aggregating this by (stay, hour) needs no further shuffle and no second join to bring back empty windows.
-    ``at_any_time`` takes times off the hour too.
-    """
-    if at_any_time:
-        return in_reach(grid, rows, length, "left")
-    return grid.select(STAY, "hour").distinct().join(dealt(rows, length), [STAY, "hour"], "left")
-
-
 def windowed_range(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """The same as ``windowed`` for any times in ``hour``."""
     return in_reach(grid, rows, length, "inner")
 
 
-def statistics(value: Column, ts: Column, where: Column, mode: str = "train") -> dict[str, Column]:
-    """Aggregates of the values that satisfy ``where``, by name; of equal times the larger value is last."""
-    v = F.when(where, value)
-    t = F.when(v.isNotNull(), ts)
-    order = F.when(v.isNotNull(), F.struct(ts, value))
-    last, first = F.max_by(v, order), F.min_by(v, order)
+class State(NamedTuple):
+    """One number (or struct) that a row has for a window, and how several are made one: the same for rows and for panes."""
+
+    row: Column
+    merged: Callable[[Column], Column]
+    shifted: Callable[[Column, Column], Column] = lambda state, hours_before: state
+
+
+class Merged:
+    """States of a group's panes. ``own`` tells which panes count; panes are ordered by their hour, rows off the grid by themselves."""
+
+    def __init__(self, own: Column, at_any_time: bool):
+        self.own, self.at_any_time = own, at_any_time
+
+    def of(self, name: str, merged: Callable[[Column], Column]) -> Column:
+        return merged(F.when(self.own, F.col(name)))
+
+    def _order(self, name: str) -> Column:
+        there = F.col(name).isNotNull() & self.own
+        return F.when(there, F.col(name) if self.at_any_time else F.col("_pane"))
+
+    def latest(self, name: str, field: str) -> Column:
+        """A field of the struct that was last, from a state merged by ``max`` whose structs begin with the time."""
+        return F.max_by(F.col(name)[field], self._order(name))
+
+    def earliest(self, name: str, field: str) -> Column:
+        return F.min_by(F.col(name)[field], self._order(name))
+
+
+def _moment(factor: Callable[[Column], Column]) -> Column:
+    """A sum's row: ``factor`` of the hours from the pane's to the row's time (0 or less)."""
+    return factor((micros("ts") - micros("_pane")) / 3.6e9)
+
+
+def value_states(value: Column, mode: str = "train") -> dict[str, State]:
+    """What ``statistics`` needs of a row with a value: count, sums, bounds, the first and last reading, and for ``row`` the moments of a regression."""
+    reading = F.struct(F.col("ts").alias("ts"), value.alias("value"))
+    found = {
+        "_n": State(F.lit(1).cast("long"), F.sum), "_s": State(value, F.sum), "_ss": State(value * value, F.sum), "_lo": State(value, F.min), "_hi": State(value, F.max),
+        "_first": State(reading, F.min), "_last": State(reading, F.max),
+    }
+    if mode == "row":
+        # Hours are counted from the pane's; a window counts them from its own hour, so its panes are moved by whole hours.
+        found |= {
+            "_u": State(_moment(lambda u: u), F.sum, lambda u, d: u + F.col("_n") * d),
+            "_uu": State(_moment(lambda u: u * u), F.sum, lambda uu, d: uu + 2 * d * F.col("_u") + F.col("_n") * d * d),
+            "_uv": State(_moment(lambda u: u * value), F.sum, lambda uv, d: uv + F.col("_s") * d),
+        }
+    return found
+
+
+def statistics(m: Merged, mode: str = "train") -> dict[str, Column]:
+    """The statistics of the states of ``value_states``, by name; of equal times the larger value is last.
+
+    Spread comes from sums of squares: it is exact for equal values, and otherwise loses digits as the values' size exceeds it.
+    """
+    n, s, ss, low, high = m.of("_n", F.sum), m.of("_s", F.sum), m.of("_ss", F.sum), m.of("_lo", F.min), m.of("_hi", F.max)
+    last, first = m.latest("_last", "value"), m.earliest("_first", "value")
+    span = (micros(m.latest("_last", "ts")) - micros(m.earliest("_first", "ts"))) / 3.6e9
+    squares = F.greatest(ss - s * s / n, F.lit(0.0))
     if mode == "train":
-        span = (micros(F.max(t)) - micros(F.min(t))) / 3.6e9
-        std = F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0)))
+        std = F.when(low == high, F.lit(0.0)).when(n > 1, F.sqrt(squares / (n - 1)))
         slope = F.when(span > 1e-9, (last - first) / span)
     else:
-        std, slope = F.stddev_pop(v), F.regr_slope(v, micros(t) / 3.6e9 - 475_000.0)
-    return {"last": last, "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": std, "slope": slope, "missing": (F.count(v) == 0).cast("int")}
+        u, uu, uv = m.of("_u", F.sum), m.of("_uu", F.sum), m.of("_uv", F.sum)
+        std = F.when(low == high, F.lit(0.0)).when(n > 0, F.sqrt(squares / n))
+        slope = F.when(low == high, F.when(span > 0, F.lit(0.0))).when(span > 0, (n * uv - u * s) / (n * uu - u * u))
+    return {"last": last, "min": low, "max": high, "mean": s / n, "std": std, "slope": slope, "missing": n.isNull().cast("int")}
+
+
+def panes(rows: DataFrame, states: dict[str, State], keys: list[str]) -> DataFrame:
+    """One row for each stay, hour and key that has rows in (hour - 1, hour], with the states of all of them merged; ``_pane`` is the hour.
+
+    A window of whole hours is as many whole panes, so rows are summed once, before anything is dealt: a busy hour is
+    reduced where it's read, and windows see one row of it.
+    """
+    at = rows.where(F.col("ts").isNotNull()).withColumn("_pane", hour_ceiling(F.col("ts")))
+    each = at.select(STAY, "_pane", *keys, *(x.row.alias(n) for n, x in states.items()))
+    return each.groupBy(STAY, "_pane", *keys).agg(*(x.merged(F.col(n)).alias(n) for n, x in states.items()))
+
+
+def in_windows(grid: DataFrame, rows: DataFrame, states: dict[str, State], keys: list[str], length: int, at_any_time: bool, how: str) -> DataFrame:
+    """The (stay, hour) of the grid joined with the states in their windows: panes on the grid, single rows for other times."""
+    if at_any_time:
+        each = rows.withColumn("_pane", F.col("ts")).select(STAY, "ts", "_pane", *keys, *(x.row.alias(n) for n, x in states.items()))
+        met = in_reach(grid, each, length, how)
+    else:
+        made = panes(rows, states, keys).withColumn("hour", F.explode(F.sequence(F.col("_pane"), F.col("_pane") + hours(length - 1), hours(1))))
+        met = grid.select(STAY, "hour").distinct().join(made, [STAY, "hour"], how)
+    before = (micros("_pane") - micros("hour")) / 3.6e9
+    return met.withColumns({n: x.shifted(F.col(n), before) for n, x in states.items()})
 
 
 def long_statistics(grid: DataFrame, rows: DataFrame, mode: str = "train", length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
     """One row for each stay, hour and category that has a value in the window."""
-    inside = (windowed_range if at_any_time else windowed)(grid, rows.where(F.col("value").isNotNull()), length)
-    columns = statistics(F.col("value"), F.col("ts"), F.lit(True), mode)
-    return inside.groupBy(STAY, "hour", F.lower("category").alias("category")).agg(*(c.alias(n) for n, c in columns.items()))
+    usable = rows.where(F.col("value").isNotNull()).select(STAY, "ts", F.lower("category").alias("category"), "value")
+    inside = in_windows(grid, usable, value_states(F.col("value"), mode), ["category"], length, at_any_time, "inner")
+    columns = statistics(Merged(F.lit(True), at_any_time), mode)
+    return inside.groupBy(STAY, "hour", "category").agg(*(c.alias(n) for n, c in columns.items()))
 
 
 class Part(NamedTuple):
-    """One block of features: its rows (stay_id, ts and columns of its own), aggregates of those, and what makes features of them.
+    """One block of features: its rows (stay_id, ts and columns of its own), their states, apart by ``keys``, aggregates of those, and what makes features of them.
 
-    ``aggregates`` gets the condition that a row is this part's own. Parts share one pass over the windows.
+    ``aggregates`` gets the states of a window. Parts share one pass over the windows, so states of one name must be alike.
     """
 
     rows: DataFrame
-    aggregates: Callable[[Column], list[Column]]
+    states: dict[str, State]
+    keys: list[str]
+    aggregates: Callable[[Merged], list[Column]]
     finish: Callable[[DataFrame], DataFrame] = lambda df: df
 
 
 def in_one_pass(grid: DataFrame, parts: list[Part], length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
     """stay_id, hour and the features of all parts, for every (stay, hour) of the grid.
 
-    The parts' rows are one long table with the part's number, so windows are dealt, joined and aggregated once
+    The parts' rows are one long table with the part's number, so panes are made and windows dealt, joined and aggregated once
     however many parts there are.
     """
     if not parts:
         return grid.select(STAY, "hour").distinct()
-    tagged = [p.rows.withColumn("_part", F.lit(k)) for k, p in enumerate(parts)]
+    tagged, states = [], {}
+    for k, p in enumerate(parts):
+        # Rows carry their states' values; what merges and moves them is known by name.
+        at = p.rows.withColumn("_pane", F.col("ts") if at_any_time else hour_ceiling(F.col("ts")))
+        tagged.append(at.select(STAY, "ts", F.lit(k).alias("_part"), *p.keys, *(x.row.alias(n) for n, x in p.states.items())))
+        states |= {n: x._replace(row=F.col(n)) for n, x in p.states.items()}
     long = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    columns = [c for k, p in enumerate(parts) for c in p.aggregates(F.col("_part") == k)]
-    return reduce(lambda df, p: p.finish(df), parts, beside(grid, long, length, at_any_time).groupBy(STAY, "hour").agg(*columns))
+    keys = ["_part", *dict.fromkeys(key for p in parts for key in p.keys)]
+    columns = [c for k, p in enumerate(parts) for c in p.aggregates(Merged(F.col("_part") == k, at_any_time))]
+    met = in_windows(grid, long, states, keys, length, at_any_time, "left")
+    return reduce(lambda df, p: p.finish(df), parts, met.groupBy(STAY, "hour").agg(*columns))
 
 
 def block_part(rows: DataFrame, categories: list[str], mode: str = "train", skip_absent: bool = False) -> Part | None:
@@ -129,10 +207,10 @@ def block_part(rows: DataFrame, categories: list[str], mode: str = "train", skip
     if not categories:
         return None
 
-    def aggregates(own: Column) -> list[Column]:
-        return [x.alias(f"{safe_name(c)}_{n}") for c in categories for n, x in statistics(F.col("_value"), F.col("ts"), own & (F.col("_category") == c), mode).items()]
+    def aggregates(m: Merged) -> list[Column]:
+        return [x.alias(f"{safe_name(c)}_{n}") for c in categories for n, x in statistics(Merged(m.own & (F.col("_category") == c), m.at_any_time), mode).items()]
 
-    return Part(wanted, aggregates)
+    return Part(wanted, value_states(F.col("_value"), mode), ["_category"], aggregates)
 
 
 def block(grid: DataFrame, rows: DataFrame, categories: list[str], mode: str = "train", length: int = LENGTH, skip_absent: bool = False, at_any_time: bool = False) -> DataFrame:
@@ -148,7 +226,8 @@ def medication_part(rows: DataFrame) -> Part:
     def finish(df: DataFrame) -> DataFrame:
         return df.withColumns({"vasopressor_max_dose": F.coalesce("_dose", F.lit(0.0)), "vasopressor_active": F.col("_dose").isNotNull().cast("int")}).drop("_dose")
 
-    return Part(rows.where(dose > 0).select(STAY, "ts", dose.alias("_dose")), lambda own: [F.max(F.when(own, F.col("_dose"))).alias("_dose")], finish)
+    own = rows.where(dose > 0).select(STAY, "ts", dose.alias("_dose"))
+    return Part(own, {"_dose": State(F.col("_dose"), F.max)}, [], lambda m: [m.of("_dose", F.max).alias("_dose")], finish)
 
 
 def medication_block(grid: DataFrame, rows: DataFrame, length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
@@ -161,14 +240,19 @@ def last_part(rows: DataFrame, columns: list[str], per_column: bool = True, coun
     ``count`` counts the window's rows, null if there are none.
     """
 
-    def aggregates(own: Column) -> list[Column]:
-        named = {c: F.col("_last_" + c) for c in columns}
-        whole = F.max_by(F.struct(*named.values()), F.when(own, F.struct("ts", *named.values())))
-        last = [(F.max_by(x, F.when(own & x.isNotNull(), F.struct(F.col("ts"), x))) if per_column else whole["_last_" + c]).alias(c) for c, x in named.items()]
-        n = F.count(F.when(own, F.col("ts")))
-        return [*last, F.when(n > 0, n).alias(count)]
+    own = rows.where(F.col("ts").isNotNull()).select(STAY, "ts", *(F.col(c).alias("_value_" + c) for c in columns))
+    values = {c: F.col("_value_" + c) for c in columns}
+    states = {"_seen": State(F.lit(1).cast("long"), F.sum)}
+    if per_column:
+        states |= {"_last_" + c: State(F.when(x.isNotNull(), F.struct(F.col("ts").alias("ts"), x.alias(c))), F.max) for c, x in values.items()}
+    else:
+        states["_last_row"] = State(F.struct(F.col("ts").alias("ts"), *(x.alias(c) for c, x in values.items())), F.max)
+
+    def aggregates(m: Merged) -> list[Column]:
+        last = [m.latest("_last_" + c if per_column else "_last_row", c).alias(c) for c in columns]
+        return [*last, m.of("_seen", F.sum).alias(count)]
 
-    return Part(rows.where(F.col("ts").isNotNull()).select(STAY, "ts", *(F.col(c).alias("_last_" + c) for c in columns)), aggregates, finish)
+    return Part(own, states, [], aggregates, finish)
 
 
 def last_values(grid: DataFrame, rows: DataFrame, columns: list[str], per_column: bool = True, length: int = LENGTH, at_any_time: bool = False) -> DataFrame:
@@ -210,16 +294,15 @@ def fluid_part(rows: DataFrame) -> Part:
     amount, nothing = number_of(rows, "amount"), F.lit(None).cast("double")
     flag = number_of(rows, "in_out_flag") if "in_out_flag" in rows.columns else nothing
     urine = F.lower("fluid_name").contains("urine") if "fluid_name" in rows.columns else F.lit(None).cast("boolean")
-    own_rows = rows.where(amount.isNotNull()).select(STAY, "ts", amount.alias("_amount"), flag.alias("_flag"), urine.alias("_urine"))
-
-    def aggregates(own: Column) -> list[Column]:
-        x, some = F.col("_amount"), F.count(F.when(own, F.col("_amount"))) > 0
-        net = F.sum(F.when(own, F.when(F.col("_flag") == 1, x).when(F.col("_flag") == 0, -x).otherwise(0.0))) if "in_out_flag" in rows.columns else F.max(nothing)
-        passed = F.col("_urine") & ((F.col("_flag") == 0) if "in_out_flag" in rows.columns else F.lit(True))
-        out = F.sum(F.when(own, F.when(passed, x).otherwise(0.0))) if "fluid_name" in rows.columns else F.max(nothing)
-        return [F.when(some, net).alias("net_fluid"), F.when(some, out).alias("urine_output")]
-
-    return Part(own_rows, aggregates)
+    flagged, named = "in_out_flag" in rows.columns, "fluid_name" in rows.columns
+    own = rows.where(amount.isNotNull()).select(STAY, "ts", amount.alias("_amount"), flag.alias("_flag"), urine.alias("_urine"))
+    x = F.col("_amount")
+    passed = F.col("_urine") & ((F.col("_flag") == 0) if flagged else F.lit(True))
+    states = {
+        "_net": State(F.when(F.col("_flag") == 1, x).when(F.col("_flag") == 0, -x).otherwise(0.0) if flagged else nothing, F.sum),
+        "_out": State(F.when(passed, x).otherwise(0.0) if named else nothing, F.sum),
+    }
+    return Part(own, states, [], lambda m: [m.of("_net", F.sum).alias("net_fluid"), m.of("_out", F.sum).alias("urine_output")])
 
 
 def absent_fluids(df: DataFrame) -> DataFrame:
