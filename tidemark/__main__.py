@@ -13,8 +13,9 @@ from tidemark.sources.tables import Settings
 
 
 def settings_of(args: list[str] | None = None) -> tuple[Settings, str]:
+    # The names of the flags.
     p = argparse.ArgumentParser(prog="tidemark", description=risk.__doc__)
-    p.add_argument("--config", help="settings as JSON; flags override them")
+    p.add_argument("--config", help="settings as YAML or JSON; flags override them")
     p.add_argument("--data-dir", dest="data_directory")
     p.add_argument("--out-dir", dest="out_directory")
     p.add_argument("--test-size", dest="test_share", type=float)
@@ -27,7 +28,7 @@ def settings_of(args: list[str] | None = None) -> tuple[Settings, str]:
     p.add_argument("--prefix", default="", help="what stands before the tables' names")
     given = vars(p.parse_args(args))
     prefix, config = given.pop("prefix"), given.pop("config")
-    base = Settings.from_json(config) if config else Settings()
+    base = Settings.from_file(config) if config else Settings()
     return replace(base, **{k: v for k, v in given.items() if v is not None}), prefix
 
 

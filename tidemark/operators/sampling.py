@@ -4,20 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import hashed
 from tidemark.sources.shared import stored
 
 from .grid import PATIENT, STAY
 
 
-def hashed(seed: int, *columns: str) -> Column:
-    """A number of 32 bits from the seed and the columns as text; null counts as empty."""
-    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-
-
 def stratified_sample(grid: DataFrame, max_rows: int, seed: int = 42) -> DataFrame:
     """About ``max_rows`` rows with the label's shares kept; all rows if there are no more.
 

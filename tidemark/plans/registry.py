@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hour_floor, number
-from tidemark.operators import assemble, forward, frames, grid, lookback, metrics, sampling, serve
+from tidemark.operators import assemble, forward, frames, grid, lookback, metrics, sampling, scores, serve
 from tidemark.operators import model as risk
 from tidemark.sources import tables
 from tidemark.sources.shared import stored
@@ -366,9 +366,48 @@ def stay_scores_on_windows(spark, sf_dir):
     return frames.with_stay_scores(grid.cohort_windows(inputs.stays(spark, sf_dir)), per_stay).select("stay_id", "window_start", "window_end", "score")
 
 
+_POINTS = [("view", None, 50.0, 0), ("view", 50.0, 150.0, 1), ("view", 150.0, None, 3), ("error", 100.0, None, 2), ("ERROR", 250.0, None, 4), ("click", 0.0, 75.5, 1)]
+_BREAKPOINTS = ", bp(component, low, high, points) AS (VALUES " + ", ".join(f"('{c.lower()}', {'NULL' if a is None else a}::DOUBLE, {'NULL' if b is None else b}::DOUBLE, {p}::DOUBLE)" for c, a, b, p in _POINTS) + ")"
+
+
+@query(_WINDOWS + _BREAKPOINTS + """, worst AS (SELECT w.stay_id, w.window_start, e.category, max(points) AS points FROM win w JOIN ev e ON e.stay_id = w.stay_id AND e.ts > w.window_start AND e.ts <= w.window_end
+  JOIN bp ON bp.component = e.category AND (low IS NULL OR e.value >= low) AND (high IS NULL OR e.value < high) GROUP BY ALL)
+SELECT win.stay_id, window_start, window_end, score FROM win LEFT JOIN (SELECT stay_id, window_start, sum(points) AS score FROM worst GROUP BY ALL) USING (stay_id, window_start)""")
+def breakpoint_scores(spark, sf_dir):
+    points = spark.createDataFrame(_POINTS, "component string, low double, high double, points int")
+    rows = inputs.events(spark, sf_dir).select("stay_id", "ts", F.col("category").alias("component"), "value")
+    return scores.window_scores(inputs.stays(spark, sf_dir), rows, points).select("stay_id", "window_start", "window_end", "score")
+
+
 # Tables
 
 
+_OFFSETS = {0: ("", 0), 1: ("+02:00", -120), 2: (" -0530", 330), 3: ("Z", 0)}
+
+
+@query("SELECT event_id, ts + to_minutes(CASE event_id % 4 WHEN 1 THEN -120 WHEN 2 THEN 330 ELSE 0 END) AS ts FROM events")
+def zoned_times(spark, sf_dir):
+    """Texts of which each has an offset of its own, or none."""
+    e = inputs.table(spark, sf_dir, "events")
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    offset = F.element_at(F.array(*(F.lit(x) for x, _ in _OFFSETS.values())), (F.col("event_id") % 4 + 1).cast("int"))
+    given = e.select("event_id", F.concat(text, offset).alias("recorded_dttm"))
+    return tables.normalise(given, "vitals").select("event_id", F.col("recorded_dttm").alias("ts"))
+
+
+@query("SELECT event_id, ts FROM events")
+def nanosecond_times(spark, sf_dir):
+    """Times in the long form of nanosecond columns."""
+    e = inputs.table(spark, sf_dir, "events")
+    given = e.select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("recorded_dttm"))
+    return tables.normalise(given, "vitals").select("event_id", F.col("recorded_dttm").alias("ts"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events LIMIT 700")
+def first_rows_in_file_order(spark, sf_dir):
+    return tables.load_table(spark, sf_dir, "events", max_rows=700).select("event_id", "user_id", "event_type", "value")
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS hospitalization_id, ts AS recorded_dttm, event_type AS vital_category, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS vital_value FROM events")
 def normalised_table(spark, sf_dir):
     e = tables.load_table(spark, sf_dir, "events")
@@ -495,6 +534,45 @@ def lookup_exact_or_floor(spark, sf_dir):
     return serve.lookup(inputs.predictions(spark, sf_dir), stay, moment).select("stay_id", "hour", "risk")
 
 
+#: The first stay's predictions at the times of its events, which lie off the hour, and a moment in the hour of its last one but after it.
+_OFF = """, offp AS (SELECT stay_id, patient_id, ts AS hour, value / 1000 AS risk FROM ev WHERE stay_id = (SELECT min(stay_id) FROM ev)),
+late AS (SELECT date_trunc('hour', max(hour)) + INTERVAL '59 minutes 59.5 seconds' AS moment FROM offp)"""
+
+
+@query(_OFF + " SELECT stay_id, hour, round(risk, 6) AS risk FROM offp, late WHERE date_trunc('hour', hour) = date_trunc('hour', moment) ORDER BY hour, risk LIMIT 1")
+def lookup_off_the_hour(spark, sf_dir):
+    e = inputs.events(spark, sf_dir)
+    stay = e.agg(F.min("stay_id")).first()[0]
+    off = e.where(F.col("stay_id") == stay).select("stay_id", "patient_id", F.col("ts").alias("hour"), (F.col("value") / 1000).alias("risk"))
+    moment = off.agg((hour_floor(F.max("hour")) + F.expr("INTERVAL '59:59.5' MINUTE TO SECOND")).cast("string")).first()[0]
+    return serve.lookup(off, stay, moment).select("stay_id", "hour", r6("risk").alias("risk"))
+
+
+def _series_tables(spark, sf_dir) -> dict[str, DataFrame | None]:
+    """Events as tables by category, with text values in one, and by columns."""
+    e = inputs.events(spark, sf_dir)
+    name = F.when(F.col("category") == "view", "Heart_Rate").when(F.col("category") == "click", "map").when(F.col("category") == "error", "lactate").otherwise("none")
+    return {
+        "vitals": e.select("stay_id", F.col("ts").alias("recorded_dttm"), name.alias("vital_category"), F.col("value").alias("vital_value")),
+        "labs": e.select("stay_id", F.col("ts").cast("string").alias("lab_result_dttm"), name.alias("lab_category"), F.when(F.col("text") != "5", F.col("text")).otherwise("n/a").alias("lab_value"), F.col("value").alias("lab_value_numeric")),
+        "respiratory_support": e.where("category = 'signup'").select("stay_id", F.col("ts").alias("recorded_dttm"), (F.col("value") / 1000).alias("fio2_set"), F.lit(None).cast("double").alias("peep_set")),
+    }
+
+
+@query("""SELECT k.key, coalesce(to_json(list({'ts': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'value': round(value, 6)} ORDER BY ts) FILTER (value IS NOT NULL)), '[]') AS points
+FROM (VALUES ('hr'), ('map'), ('spo2'), ('fio2'), ('peep'), ('lactate'), ('creatinine')) k(key) LEFT JOIN (
+  SELECT CASE category WHEN 'view' THEN 'hr' WHEN 'click' THEN 'map' WHEN 'error' THEN 'lactate' ELSE 'fio2' END AS key, ts,
+    CASE category WHEN 'error' THEN CASE WHEN text <> '5' THEN try_cast(text AS DOUBLE) END WHEN 'signup' THEN value / 1000 ELSE value END AS value
+  FROM ev JOIN (SELECT stay_id, max(ts) AS m FROM ev WHERE stay_id = (SELECT min(stay_id) FROM ev) GROUP BY ALL) s USING (stay_id)
+  WHERE category IN ('view', 'click', 'error', 'signup') AND ts > s.m - INTERVAL 240 HOUR AND ts <= s.m) e ON e.key = k.key GROUP BY k.key""")
+def moment_series(spark, sf_dir):
+    e = inputs.events(spark, sf_dir)
+    stay = e.agg(F.min("stay_id")).first()[0]
+    moment = e.where(F.col("stay_id") == stay).agg(F.max("ts").cast("string")).first()[0]
+    found = serve.moment_series(_series_tables(spark, sf_dir), stay, moment, length=240)
+    return found.select("key", F.to_json(F.transform("points", lambda p: F.struct(F.date_format(p["ts"], "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round(p["value"], 6).alias("value")))).alias("points"))
+
+
 @query("""SELECT key, to_json(list({'ts': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'value': value} ORDER BY ts)) AS points FROM (SELECT e.category AS key, e.ts, round(e.value, 3) AS value FROM ev e
   JOIN (SELECT stay_id, max(ts) AS m FROM ev WHERE stay_id = (SELECT min(stay_id) FROM ev) GROUP BY ALL) s USING (stay_id) WHERE e.ts > s.m - INTERVAL 120 HOUR AND e.ts <= s.m) GROUP BY key""")
 def window_timeseries(spark, sf_dir):

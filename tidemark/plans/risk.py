@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import assemble, forward, frames, grid, metrics, model, sampling
 from tidemark.operators.grid import END, PATIENT, START, STAY
-from tidemark.sources.tables import Settings, load_catalog, load_table, write_results
+from tidemark.sources.tables import Settings, cap_stays, load_catalog, load_table, write_results
 
 #: Rows of the grid beyond which a run says how many there are.
 MANY_WINDOWS = 1_000_000
@@ -31,7 +31,10 @@ def score_labels(spark: SparkSession, settings: Settings, stays: DataFrame, pref
 
 def labelled_rows(spark: SparkSession, settings: Settings, prefix: str = "") -> tuple[DataFrame, dict[str, DataFrame | None]]:
     """stay_id, patient_id, hour and label; and the catalog. Stays, not rows of tables, are what a cap leaves out."""
-    catalog = as_stays(load_catalog(spark, settings.data_directory, prefix, settings.max_rows_per_table))
+    catalog = load_catalog(spark, settings.data_directory, prefix)
+    if settings.max_rows_per_table is not None:
+        catalog = cap_stays(catalog, settings.max_rows_per_table, settings.seed)
+    catalog = as_stays(catalog)
     stays = grid.valid_stays(catalog["hospitalization"].select(STAY, PATIENT, START, END))
     labels = score_labels(spark, settings, stays, prefix) if settings.score_labels else forward.labelled_grid(grid.hourly_grid(stays), catalog)
     labels = labels.select(STAY, PATIENT, "hour", "label")
