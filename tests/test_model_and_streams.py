@@ -18,35 +18,59 @@ def matrix(spark):
     return spark.createDataFrame(rows, "stay_id string, hour timestamp_ntz, a double, b double, label int, split string")
 
 
-def test_model_learns_and_explains(spark, matrix):
+def test_model_learns_and_explains(spark, matrix, tmp_path):
     fitted = model.train(matrix, trees=4, depth=2)
     assert fitted.columns == ["a", "b"]
     scored = fitted.score(matrix)
     assert scored.where("a IS NOT NULL").select(F.avg(((F.col("risk") > 0.5).cast("int") == F.col("label")).cast("int"))).first()[0] > 0.9
-    raw = fitted.trees.transform(fitted.vectors(matrix)).select("stay_id", "hour", vector_to_array("rawPrediction")[1].alias("raw"))
     explained = model.explain(fitted, matrix)
     total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
-    assert explained.join(raw, ["stay_id", "hour"]).select(F.max(F.abs(total - F.col("raw")))).first()[0] < 1e-9
+    raw = F.log(F.col("risk") / (1 - F.col("risk")))
+    assert explained.join(scored.select("stay_id", "hour", raw.alias("raw")), ["stay_id", "hour"]).select(F.max(F.abs(total - F.col("raw")))).first()[0] < 1e-9
     assert model.importance(explained, fitted.columns).first()["feature"] == "a"
     top = model.top_contributions(explained, fitted.columns, 1)
     assert top.count() == 400 and {r[0] for r in top.select("rank").distinct().collect()} == {1}
-    # A matrix without one of the features is scored with its median.
-    assert fitted.score(matrix.drop("b")).count() == 400
+    # A loaded model gives the same scores and attributions.
+    fitted.save(spark, f"{tmp_path}/m")
+    loaded = model.RiskModel.load(spark, f"{tmp_path}/m")
+    assert loaded.score(matrix).collect() == scored.collect() and model.explain(loaded, matrix).collect() == explained.collect()
+
+
+def test_absent_features_are_what_nothing_measured_gives(spark, matrix):
+    renamed = matrix.withColumnsRenamed({"a": "x_missing", "b": "mode_x"})
+    fitted = model.train(renamed, trees=3, depth=2)
+    keys = renamed.select("stay_id", "hour")
+    assert fitted.score(keys).select("risk").collect() == fitted.score(keys.withColumns({"x_missing": F.lit(1), "mode_x": F.lit(0)})).select("risk").collect()
+    assert fitted.score(keys).columns == ["stay_id", "hour", "risk"]
 
 
 def test_model_queries_train_all_rounds(spark, monkeypatch):
     class Asked(Exception):
         pass
 
-    def asked(**params):
-        raise Asked(params["maxIter"], params["maxDepth"])
+    def asked(rows, columns, rounds, depth):
+        raise Asked(rounds, depth)
 
-    monkeypatch.setattr(model, "GBTClassifier", asked)
+    monkeypatch.setattr(model, "train_forest", asked)
     with pytest.raises(Asked) as found:
         registry.queries()["model_predictions"](spark, SMALL)
     assert found.value.args == (100, 6)
 
 
+def test_a_moment_on_the_grid_is_explained_like_its_row(spark):
+    """From tables to drivers at a whole hour: the same as the row of the whole matrix, features made off the grid or on it."""
+    events = inputs.events(spark, SMALL)
+    hour = inputs.grid(spark, SMALL).orderBy("stay_id", F.desc("hour")).limit(1)
+    rows = registry._features(spark, SMALL).withColumn("label", (F.col("view_last") > 100).cast("int")).fillna({"label": 0})
+    fitted = model.train(rows, trees=3, depth=3)
+    at = hour.collect()[0]
+    on_grid = rows.where((F.col("stay_id") == at["stay_id"]) & (F.col("hour") == at["hour"]))
+    shown = model.explain_moment(fitted, on_grid.drop("label"))
+    found = model.explain_moment(fitted, registry._features(spark, SMALL, hour))
+    assert sorted(found.collect()) == sorted(shown.collect()) and found.count() == 15
+    assert found.agg(F.min("rank"), F.max("rank")).first() == (1, 15) and events.count() > 0
+
+
 def run_stream(spark, tmp_path, transform, mode):
     events = inputs.events(spark, SMALL)
     events.write.parquet(f"{tmp_path}/in")

@@ -24,7 +24,7 @@ def rows(columns, found):
 
 
 def test_every_query_but_the_models_has_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"model_predictions", "model_importance", "model_top_contributions"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"model_predictions", "model_rounds", "model_importance", "model_top_contributions", "model_explain_moment"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))

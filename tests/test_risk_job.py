@@ -55,6 +55,21 @@ def test_score_labels(spark, folder):
 
 
 def test_settings_file(tmp_path):
+    (tmp_path / "s.yaml").write_text("tables_path: /data\nseed: 9\ntimezone: UTC\n")
+    settings, _ = settings_of(["--config", f"{tmp_path}/s.yaml"])
+    assert (settings.data_directory, settings.seed, settings.extra["timezone"]) == ("/data", 9, "UTC")
     (tmp_path / "s.json").write_text(json.dumps({"tables_path": "/data", "seed": 7, "other": "x"}))
     settings, prefix = settings_of(["--config", f"{tmp_path}/s.json", "--seed", "8"])
     assert (settings.data_directory, settings.seed, settings.extra, prefix) == ("/data", 8, {"other": "x"}, "")
+
+
+def test_capped_job_keeps_whole_stays(spark, folder):
+    """A cap leaves stays out, the same ones at each run, and takes no events from those it keeps."""
+    asked = ["--data-dir", str(folder), "--prefix", "x_", "--max-rows-per-table", "200"]
+    settings, prefix = settings_of(asked)
+    labels, catalog = risk.labelled_rows(spark, settings, prefix)
+    again, _ = risk.labelled_rows(spark, settings, prefix)
+    kept = {r[0] for r in catalog["hospitalization"].select("stay_id").collect()}
+    assert 0 < len(kept) < 24 and {r[0] for r in labels.select("stay_id").distinct().collect()} == kept
+    assert {r["stay_id"]: r["count"] for r in catalog["vitals"].groupBy("stay_id").count().collect()} == dict.fromkeys(kept, 20)
+    assert sorted(labels.collect()) == sorted(again.collect())

@@ -1,10 +1,9 @@
-"""Risk model: gradient-boosted trees on the feature matrix, its predictions, and attributions of features.
+"""Risk model: boosted trees on the feature matrix, its predictions, and exact attributions of features.
 
-Spark's trees need complete vectors, so nulls are filled by one policy everywhere: the training median of
-a feature, beside the ``*_missing`` columns that tell which values are real. Attributions walk each
-tree's path: a split's change of the expected value is credited to its feature, so a row's attributions and the
-base value add up to its raw score. Median values and the trees are bounded by the number of features
-and tree nodes; rows are explained where they lie.
+Nulls are values of their own to the trees, which learn a side for them at each split. Attributions are Shapley values of the raw score
+against a sample of ``BACKGROUND`` training rows that belongs to the model, so a row's attributions and the base value add up to its raw
+score. A saved model has its trees, columns and background, and is loaded without training data. Features that a table to be
+scored lacks are what they are where nothing was measured: 0 for flags and doses, 1 for ``*_missing``, else null.
 """
 
 from __future__ import annotations
@@ -14,87 +13,109 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import hashed
+
 from .assemble import feature_columns
+from .boosting import Explainer, Forest, features_of, round_counts, train_forest
 from .grid import STAY
 
+#: Training rows that attributions compare with.
+BACKGROUND = 200
+#: Attributions shown of one moment.
+DRIVERS = 15
+
+
+def without_measurements(column: str) -> Column:
+    """A feature's value where its table has nothing in the window."""
+    if column.startswith("mode_") or column in ("vasopressor_active", "vasopressor_max_dose"):
+        return F.lit(0.0)
+    return F.lit(1.0) if column.endswith("_missing") else F.lit(None).cast("double")
+
 
 class RiskModel(NamedTuple):
-    columns: list[str]
-    medians: dict[str, float]
-    trees: object
+    forest: Forest
+    background: np.ndarray
 
-    def vectors(self, df: DataFrame) -> DataFrame:
-        """``df`` with its features filled and as a vector; features that it lacks are all filled."""
-        number = {c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double") for c in self.columns}
-        full = df.withColumns({c: F.coalesce(x, F.lit(self.medians[c])) for c, x in number.items()})
-        return VectorAssembler(inputCols=self.columns, outputCol="_features").transform(full)
+    @property
+    def columns(self) -> list[str]:
+        return self.forest.columns
+
+    def aligned(self, df: DataFrame) -> DataFrame:
+        """``df`` with all of the model's columns as doubles; others are left as they are."""
+        return df.withColumns({c: F.col(c).cast("double") if c in df.columns else without_measurements(c) for c in self.columns})
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` and its ``risk``."""
-        scored = self.trees.transform(self.vectors(df))
-        risk = vector_to_array("probability")[1].alias("risk")
-        return scored.select(*df.columns, risk)
+        forest, width = self.forest, len(self.columns)
+
+        @F.pandas_udf("double")
+        def risk(x: pd.Series) -> pd.Series:
+            return pd.Series(1 / (1 + np.exp(-forest.margins(np.array(x.tolist(), float).reshape(-1, width)))))
+
+        full = self.aligned(df).withColumn("risk", risk(features_of(self.columns)))
+        return full.select(*df.columns, "risk")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.forest.save(spark, path)
+        spark.createDataFrame([(row.tolist(),) for row in self.background], "x array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/background")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RiskModel:
+        forest = Forest.load(spark, path)
+        rows = [r["x"] for r in spark.read.parquet(f"{path}/background").collect()]
+        return cls(forest, np.array(rows, float).reshape(-1, len(forest.columns)))
 
 
 def train(df: DataFrame, trees: int = 100, depth: int = 6, seed: int = 42) -> RiskModel:
     """From a feature matrix with ``label`` and ``split`` (rows of the test side aren't looked at)."""
-    rows = (df.where("split = 'train'") if "split" in df.columns else df).persist()
+    rows = df.where("split = 'train'") if "split" in df.columns else df
     columns = feature_columns(rows)
-    found = rows.agg(*(F.percentile_approx(F.col(c).cast("double"), 0.5, 1000).alias(c) for c in columns)).first()
-    model = RiskModel(columns, {c: float(found[c] or 0.0) for c in columns}, None)
-    fitted = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed).fit(model.vectors(rows))
-    rows.unpersist()
-    return model._replace(trees=fitted)
-
-
-def _flat(node, gains: list[tuple]) -> int:
-    """A tree's nodes in a list as (feature, threshold, left, right, value, weight); the place of ``node``."""
-    at = len(gains)
-    gains.append(())
-    if node.numDescendants() == 0:
-        gains[at] = (-1, 0.0, -1, -1, node.prediction(), float(node.impurityStats().count()))
-        return at
-    left, right = _flat(node.leftChild(), gains), _flat(node.rightChild(), gains)
-    weight = gains[left][5] + gains[right][5]
-    value = (gains[left][4] * gains[left][5] + gains[right][4] * gains[right][5]) / max(weight, 1e-12)
-    split = node.split()
-    gains[at] = (split.featureIndex(), split.threshold(), left, right, value, weight)
-    return at
+    forest = train_forest(rows, columns, trees, depth)
+    least = rows.select(hashed(seed, STAY, "hour").alias("h"), features_of(columns).alias("x")).orderBy("h", "x").limit(BACKGROUND).collect()
+    return RiskModel(forest, np.array([r["x"] for r in least], float).reshape(-1, len(columns)))
 
 
 def explain(model: RiskModel, df: DataFrame) -> DataFrame:
     """stay_id, hour, base and ``contributions`` (one for each of the model's columns, in order) of each row."""
-    forest = []
-    for tree, weight in zip(model.trees.trees, model.trees.treeWeights, strict=True):
-        nodes: list[tuple] = []
-        _flat(tree._call_java("rootNode"), nodes)
-        forest.append((weight, np.array(nodes)))
-    base = float(sum(w * nodes[0, 4] for w, nodes in forest))
+    explainer = df.sparkSession.sparkContext.broadcast(Explainer(model.forest, model.background))
     n = len(model.columns)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = np.array(frame["x"].tolist(), float).reshape(-1, n)
-            out, rows = np.zeros((len(x), n)), np.arange(len(x))
-            for weight, nodes in forest:
-                at = np.zeros(len(x), np.int64)
-                while (live := rows[nodes[at, 0] >= 0]).size:
-                    f = nodes[at[live], 0].astype(int)
-                    after = np.where(x[live, f] <= nodes[at[live], 1], nodes[at[live], 2], nodes[at[live], 3]).astype(int)
-                    np.add.at(out, (live, f), weight * (nodes[after, 4] - nodes[at[live], 4]))
-                    at[live] = after
-            yield frame[[STAY, "hour"]].assign(base=base, contributions=list(out))
-
-    rows = model.vectors(df).select(STAY, "hour", vector_to_array("_features").alias("x"))
+            values = explainer.value.values(np.array(frame["x"].tolist(), float).reshape(-1, n))
+            yield frame[[STAY, "hour"]].assign(base=explainer.value.base, contributions=list(values))
+
+    rows = model.aligned(df).select(F.col(STAY).cast("string").alias(STAY), "hour", features_of(model.columns).alias("x"))
     return rows.mapInPandas(run, f"{STAY} string, hour timestamp_ntz, base double, contributions array<double>")
 
 
+def rounds(model: RiskModel, df: DataFrame) -> DataFrame:
+    """round and average_precision of the model after each round, on rows with ``label``: an evaluation set.
+
+    Scores count in steps of a ten-thousandth; rows of equal step are one threshold.
+    """
+    counts = round_counts(model.forest, model.aligned(df))
+    above = Window.partitionBy("round").orderBy(F.col("step").desc())  # one row for each step at most
+    tp, seen = F.sum("pos").over(above), F.sum(F.col("pos") + F.col("neg")).over(above)
+    each = counts.select("round", "pos", (tp / seen * F.col("pos")).alias("gained"))
+    return each.groupBy("round").agg((F.sum("gained") / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
+
+
+def explain_moment(model: RiskModel, features: DataFrame, k: int = DRIVERS) -> DataFrame:
+    """rank, feature, its value, contribution and direction, risk and base for each row of ``features``: the ``k`` that count most."""
+    full = model.aligned(features)
+    scored = model.score(features).select(F.col(STAY).cast("string").alias(STAY), "hour", "risk")
+    values = full.select(F.col(STAY).cast("string").alias(STAY), "hour", F.array(*(F.col(c) for c in model.columns)).alias("_values"))
+    explained = explain(model, features)
+    top = top_contributions(explained, model.columns, k)
+    place = F.array_position(F.array(*map(F.lit, model.columns)), F.col("feature")).cast("int")
+    found = top.join(values, [STAY, "hour"]).join(scored, [STAY, "hour"]).join(explained.select(STAY, "hour", "base"), [STAY, "hour"])
+    return found.select(STAY, "hour", "rank", "feature", F.get("_values", place - 1).alias("value"), "contribution", "direction", "risk", "base")
+
+
 def importance(explained: DataFrame, columns: list[str]) -> DataFrame:
     """feature and its mean absolute contribution, the largest first."""
     each = explained.select(F.posexplode(F.col("contributions")).alias("k", "c")).groupBy("k").agg(F.avg(F.abs("c")).alias("mean_abs"))
@@ -102,7 +123,7 @@ def importance(explained: DataFrame, columns: list[str]) -> DataFrame:
     return each.select(F.element_at(names, F.col("k") + 1).alias("feature"), "mean_abs").orderBy(F.desc("mean_abs"), "feature")
 
 
-def top_contributions(explained: DataFrame, columns: list[str], k: int = 15) -> DataFrame:
+def top_contributions(explained: DataFrame, columns: list[str], k: int = DRIVERS) -> DataFrame:
     """The ``k`` features that count most in each row: rank, feature, contribution (six places) and its direction."""
     names = F.array(*(F.lit(c) for c in columns))
     pairs = F.transform("contributions", lambda c, i: F.struct((-F.abs(c)).alias("order"), F.element_at(names, i + 1).alias("feature"), F.round(c, 6).alias("contribution")))

@@ -15,6 +15,7 @@ from tidemark.functions.columns import hour_floor, number
 from tidemark.operators import assemble, forward, frames, grid, lookback, metrics, sampling, scores, serve
 from tidemark.operators import model as risk
 from tidemark.sources import tables
+from tidemark.sources.cache import FolderCache
 from tidemark.sources.shared import stored
 
 from . import inputs
@@ -599,34 +600,49 @@ def predictions_table(spark, sf_dir):
 # The model: rows only, as SQL can't train it
 
 
-_trained_last: dict[tuple[str, str], tuple] = {}
+_KEPT = FolderCache()
 
 
-def _trained(spark, sf_dir):
-    """The model of a folder's tables and the rows it's for. A session keeps its last one, as three queries ask for it in a row."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _trained_last:
-        labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
-        patients = inputs.stays(spark, sf_dir).select("stay_id", "patient_id")
-        rows = stored(sampling.group_split(assemble.with_labels(_features(spark, sf_dir), labels).join(patients, "stay_id")))
-        _trained_last.clear()
-        _trained_last[key] = risk.train(rows), rows
-    return _trained_last[key]
+def _labelled(spark, sf_dir) -> DataFrame:
+    """The feature matrix with labels and the split, from the tables."""
+    labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
+    patients = inputs.stays(spark, sf_dir).select("stay_id", "patient_id")
+    return sampling.group_split(assemble.with_labels(_features(spark, sf_dir), labels).join(patients, "stay_id"))
+
+
+def _trained(spark, sf_dir) -> risk.RiskModel:
+    """The model of a folder's tables: trained and saved once for each state of their files, and loaded."""
+
+    def make(path: str) -> None:
+        risk.train(stored(_labelled(spark, sf_dir))).save(spark, path)
+
+    return risk.RiskModel.load(spark, _KEPT.folder(spark, "risk model", [inputs.table(spark, sf_dir, "events")], make))
 
 
 @query()
 def model_predictions(spark, sf_dir):
-    model, rows = _trained(spark, sf_dir)
-    return assemble.prediction_table(model.score(rows))
+    return assemble.prediction_table(_trained(spark, sf_dir).score(_labelled(spark, sf_dir)))
+
+
+@query()
+def model_rounds(spark, sf_dir):
+    return risk.rounds(_trained(spark, sf_dir), _labelled(spark, sf_dir).where("split = 'test'")).withColumn("average_precision", r6("average_precision"))
 
 
 @query()
 def model_importance(spark, sf_dir):
-    model, rows = _trained(spark, sf_dir)
-    return risk.importance(risk.explain(model, rows), model.columns)
+    model = _trained(spark, sf_dir)
+    return risk.importance(risk.explain(model, _labelled(spark, sf_dir)), model.columns)
 
 
 @query()
 def model_top_contributions(spark, sf_dir):
-    model, rows = _trained(spark, sf_dir)
-    return risk.top_contributions(risk.explain(model, rows), model.columns)
+    model = _trained(spark, sf_dir)
+    return risk.top_contributions(risk.explain(model, _labelled(spark, sf_dir)), model.columns)
+
+
+@query()
+def model_explain_moment(spark, sf_dir):
+    """The drivers of the risk at the last sign-up of the first stay that has one: a moment off the hour."""
+    first = _moments(spark, sf_dir).orderBy("stay_id", F.col("hour").desc()).limit(1)
+    return risk.explain_moment(_trained(spark, sf_dir), _features(spark, sf_dir, first))

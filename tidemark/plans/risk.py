@@ -8,6 +8,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import hashed
 from tidemark.operators import assemble, forward, frames, grid, metrics, model, sampling
 from tidemark.operators.grid import END, PATIENT, START, STAY
 from tidemark.sources.tables import Settings, cap_stays, load_catalog, load_table, write_results
@@ -58,11 +59,11 @@ def run(spark: SparkSession, settings: Settings, prefix: str = "") -> dict[str,
     out = {"auroc": metrics.auroc(test).first()[0], "average_precision": metrics.average_precision(test).first()[0]}
     to = settings.out_directory
     write_results(assemble.prediction_table(scored), f"{to}/predictions.parquet")
-    fitted.trees.write().overwrite().save(f"{to}/model")
+    fitted.save(spark, f"{to}/model")
     share = min(1.0, settings.explain_rows / facts["n_rows"])
-    sample = rows.where(sampling.hashed(settings.seed, STAY, "hour") < int(share * 2**32))
+    sample = rows.where(hashed(settings.seed, STAY, "hour") < int(share * 2**32))
     write_results(model.importance(model.explain(fitted, sample), fitted.columns), f"{to}/importance.csv", "csv")
-    small = {"features": json.dumps(fitted.columns), "medians": json.dumps(fitted.medians), "metrics": json.dumps(out), "settings": json.dumps(asdict(settings), default=str)}
+    small = {"features": json.dumps(fitted.columns), "metrics": json.dumps(out), "settings": json.dumps(asdict(settings), default=str)}
     write_results(spark.createDataFrame(sorted(small.items()), "name string, json string"), f"{to}/artifacts.json", "json")
     labels.unpersist()
     return out
