@@ -268,10 +268,12 @@ def closed_groups(fragments: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> D
     if last is None:
         return spark.createDataFrame([], "row long, place long, a binary, b binary")
     step = stored(fragments.mapInPandas(local, FRAGMENT))
-    closed, width = [step.where("a IS NOT NULL")], chunk
+    closed, width, tasks = [step.where("a IS NOT NULL")], chunk, int(spark.conf.get("spark.sql.shuffle.partitions"))
     while width <= last:
         width *= fan
-        step = stored(step.where("a IS NULL").groupBy("row", F.floor(F.col("at") / width).alias("_stretch")).applyInPandas(composed, FRAGMENT))
+        # Open ends are few bytes but work, so they are dealt to all tasks rather than by their size.
+        dealt = step.where("a IS NULL").withColumn("_stretch", F.floor(F.col("at") / width)).repartition(tasks, "row", "_stretch")
+        step = stored(dealt.groupBy("row", "_stretch").applyInPandas(composed, FRAGMENT))
         closed.append(step.where("a IS NOT NULL"))
     # A document begins at a common end, so what is open before its first one is closed too; after its last nothing is open.
     closed.append(step.where("a IS NULL").withColumns({"place": 2 * F.col("p_at"), "a": F.col("pa"), "b": F.col("pb")}))
