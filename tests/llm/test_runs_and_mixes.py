@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import SMALL
-from tidemark.llm import alignment, mixing, periodic, registry
+from tidemark.llm import alignment, decontam, mixing, periodic, registry
 
 
 def words(text):
@@ -173,7 +173,7 @@ def test_fragments_compose_in_any_order():
             k = order.randrange(len(row) - 1)
             whole, seam = row[k].then(row[k + 1])
             row[k : k + 2] = [whole]
-            closed += [seam] if seam else []
+            closed += [(2 * seam[0], *seam[1:])] if seam else []
         results.add((row[0], tuple(sorted(closed))))
     assert len(results) == 1
     whole, closed = results.pop()
@@ -255,3 +255,75 @@ def test_native_plan_has_no_python(spark):
 
 def test_names_of_ids():
     assert [bytes(row[row != 0]) for row in alignment.names()[[0, 7, 50_256]]] == [b"0", b"7", b"50256"] and np.count_nonzero(alignment.names()[7]) == 1
+
+
+# Candidates of decontamination
+
+
+def built(spark, texts, items):
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    index = decontam.build_index(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    return index, decontam.Windows.of(*decontam.term_places(texts, index.items.terms))
+
+
+@pytest.mark.parametrize("kind", ["short", "stem"])
+def test_alike_and_short_items_give_no_product(spark, kind):
+    """Prose against thousands of short items of its commonest words, or of items that share three quarters of their words."""
+    rng = random.Random(21)
+    prose_words = [f"w{k}" for k in range(3000)]
+    weights = [1 / (k + 2) for k in range(3000)]
+    texts = [" ".join(rng.choices(prose_words, weights, k=400)) for _ in range(40)]
+    if kind == "short":
+        items = [" ".join(rng.choices(prose_words[:200], k=6)) for _ in range(2000)]
+    else:
+        stem = " ".join(rng.choices(prose_words, weights, k=30))
+        items = [stem + " " + " ".join(f"i{k}x{j}" for j in range(10)) for k in range(2000)]
+    texts += [f"{texts[0]} {items[5]} {texts[1]}", f"{texts[2]} {items[7]}"]
+    index, own = built(spark, texts, items)
+    windows = len(own.text)
+    pairs = [len(decontam.verbatim_pairs(own, index)[0]), len(list(decontam.short_pairs(own, index)))]
+    accepted = {(t, index.items.ids[item]) for t, found in decontam.leaks_of(texts, index) for item in found}
+    assert {(40, 5), (41, 7)} <= accepted
+    # The windows around the one text with the stem meet all 2,000 items that share it, and each is checked; no other window does.
+    assert sum(pairs) <= (200 if kind == "short" else 0.02 * windows * len(items))
+
+
+def test_paraphrases_come_through_the_latent_space(spark):
+    """With the SVD taken out they are lost, and verbatim text is still found."""
+    rng = random.Random(22)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    items = [" ".join(rng.choices(vocabulary, k=32)) + ". " + " ".join(rng.choices(vocabulary, k=8)) + "." for _ in range(60)]
+    texts = []
+    for item in items:
+        own = item.split()
+        for k in rng.sample(range(40), 12):
+            own[k] = rng.choice(vocabulary)
+        texts.append(" ".join(rng.choices(vocabulary, k=50) + own + rng.choices(vocabulary, k=50)))
+    verbatim = [" ".join(rng.choices(vocabulary, k=50)) + " " + item for item in items]
+    index, _ = built(spark, texts + verbatim, items)
+    found = [{t for t, own in decontam.leaks_of(some, index) if t in {index.items.ids[k] for k in own}} for some in (texts, verbatim)]
+    assert len(found[0]) >= 54 and len(found[1]) == 60
+    index = index._replace(folding=0 * index.folding)
+    found = [{t for t, own in decontam.leaks_of(some, index) if t in {index.items.ids[k] for k in own}} for some in (texts, verbatim)]
+    assert len(found[0]) <= 3 and len(found[1]) == 60
+
+
+def test_cells_keep_what_is_near(spark):
+    """Of all pairs with the least cosine, and of those the checks accept, the cells give nearly all."""
+    docs = [r[0] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    rng = random.Random(23)
+    items = [" ".join(rng.choice(docs).split()[:40]) for _ in range(300)]
+    index, own = built(spark, docs, items)
+    vectors = decontam.latent_vectors(own, index)
+    every = set(zip(*(x.tolist() for x in np.nonzero(vectors @ index.vectors.T >= decontam.COSINE)), strict=True))
+    got = set(zip(*(x.tolist() for x in decontam.latent_pairs(vectors, index)), strict=True))
+    assert got <= every
+    near = {(w, p) for w, p in every if vectors[w] @ index.vectors[p] >= 0.6}
+    print("recall of cells", len(got) / len(every), len(got & near) / len(near))
+    assert len(got & near) >= 0.9 * len(near)
+
+
+def test_texts_of_one_item_are_one_row(spark):
+    docs = spark.createDataFrame([(0, "alpha beta gamma delta epsilon zeta eta theta iota kappa and one two three four five six seven eight nine")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (1, "one two three four five six seven eight nine"), (2, "seven eight nine")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()) == [(0, 1), (0, 2)]
