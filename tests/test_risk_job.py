@@ -45,6 +45,33 @@ def test_job_writes_everything(spark, folder):
     kept = {r["name"]: json.loads(r["json"]) for r in spark.read.json(f"{folder}/out/artifacts.json").collect()}
     assert "map_last" in kept["features"] and "sodium_last" not in kept["features"] and kept["metrics"] == found
     assert spark.read.option("header", True).csv(f"{folder}/out/importance.csv").count() > 0
+    explained_run(spark, folder, settings, prefix, written)
+
+
+def explained_run(spark, folder, settings, prefix, written):
+    """A moment of the finished run, from its saved model and the tables: as the model says of the row that it was scored by."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import assemble, model
+
+    row = written.where("CAST(stay_id AS INT) % 2 = 1").orderBy("stay_id", "timestamp").first()
+    at = str(row["timestamp"])
+    found = risk.explain(spark, settings, row["stay_id"], at, prefix).collect()
+    assert len(found) == 1 and abs(found[0]["risk"] - row["risk_score"]) < 1e-12 and found[0]["label"] == row["label"]
+    assert len(found[0]["drivers"]) == 15 and [d["rank"] for d in found[0]["drivers"]] == list(range(1, 16))
+    assert set(found[0]["series"]) == {"hr", "map", "spo2", "fio2", "peep", "lactate", "creatinine"} and found[0]["series"]["map"]
+    fitted = model.RiskModel.load(spark, f"{folder}/out/model")
+    _, catalog = risk.labelled_rows(spark, settings, prefix)
+    grid = written.where((F.col("stay_id") == row["stay_id"]) & (F.col("timestamp") == row["timestamp"])).select("stay_id", F.col("timestamp").alias("hour"))
+    batch = model.explain_moment(fitted, assemble.clinical_features(grid, catalog)).orderBy("rank").collect()
+    assert abs(batch[0]["risk"] - row["risk_score"]) < 1e-12
+    assert [(d["feature"], d["value"], d["contribution"]) for d in found[0]["drivers"]] == [(d["feature"], d["value"], d["contribution"]) for d in batch]
+    # Off the hour the prediction of the hour is meant; a stay without one is an error.
+    later = risk.explain(spark, settings, row["stay_id"], at.replace(":00:00", ":20:00"), prefix).first()
+    assert later["risk"] == found[0]["risk"] and later["moment"] != found[0]["moment"]
+    assert risk.explain(spark, settings, row["stay_id"], at, prefix).inputFiles() == risk.explain(spark, settings, row["stay_id"], at, prefix).inputFiles()
+    with pytest.raises(LookupError):
+        risk.explain(spark, settings, "nobody", at, prefix)
 
 
 def test_score_labels(spark, folder):
