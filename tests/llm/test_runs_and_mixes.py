@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import SMALL
-from tidemark.llm import alignment, decontam, mixing, periodic, registry
+from tidemark.llm import alignment, class_lm, decontam, mixing, periodic, registry
 
 
 def words(text):
@@ -327,3 +328,27 @@ def test_texts_of_one_item_are_one_row(spark):
     docs = spark.createDataFrame([(0, "alpha beta gamma delta epsilon zeta eta theta iota kappa and one two three four five six seven eight nine")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (1, "one two three four five six seven eight nine"), (2, "seven eight nine")], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()) == [(0, 1), (0, 2)]
+
+
+# The class model's words that only held-out texts have
+
+
+def test_words_of_held_out_texts_only(spark, monkeypatch):
+    """One word 300,000 times in a text, and one in a third of all texts, both never in training; by broadcast and by join the same."""
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 == 2]
+    texts = [("one two three four five " * 3 + ("wandering " if k in ids else "") + ("again " * 300_000 if k == ids[0] else "")) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(class_lm.score_documents(docs).collect())
+    train = sum(len(words(texts[k])) + 1 for k in range(400) if k not in ids)
+    v = 6  # five words and the end
+    for k in ids[:2]:
+        r = rows[k]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words(texts[k])) + 1, 16, train)
+        n = (400 - len(ids)) * 3
+        base = 15 * math.log10((n + 1) / (train + v + 1)) + math.log10((400 - len(ids) + 1) / (train + v + 1)) - (r["n_tokens"] - 16) * math.log10(train + v + 1)
+        assert abs(r["base_score"] - base) < 1e-6 * abs(base)
+    tail = spark.createDataFrame([(k, b"hot", 2) for k in range(50)] + [(k, b"w%d" % k, 1) for k in range(20)], "row long, word binary, k long")
+    counts = spark.createDataFrame([(b"w3", 5), (b"hot", 7), (b"w4", 1)], "word binary, n long")
+    expected = sorted(map(str, tail.join(counts, "word", "left").select("row", "k", "n").collect()))
+    for heavy in (1, 3, 1000):
+        assert sorted(map(str, class_lm.counted_misses(tail, counts, heavy).collect())) == expected

@@ -5,7 +5,8 @@ are its lower-cased (A-Z) words and one end. Everything is counted over all trai
 
 * Word counts: each task adds up its words, Spark adds up the tasks. The table grows with the corpus
   and stays distributed. Words with at least one in ``HEAVY`` tokens (so ``HEAVY`` words at most) are
-  broadcast if they occur ``LEAST_COUNT`` times; all others are looked up by a join that carries only those words' occurrences.
+  broadcast if they occur ``LEAST_COUNT`` times; all others are looked up by a join that carries one row for each
+  document and word; of those, words in many documents go by broadcast too.
 * Classes: every broadcast word has a class of its own choice. All rarer words, seen or not, are one class more, as
   without a table nothing is known of them but that they are rare; and so is the end.
 * Neighbours: how often which word stands before and after each clustered word is counted in all training
@@ -44,6 +45,8 @@ from .common import crc_mod, map_batches, parts, stored
 FOLDS, HELD_OUT = 7, 2
 #: Words with at least one in HEAVY of all training tokens are broadcast and clustered, if they occur so often.
 HEAVY, LEAST_COUNT = 1 << 19, 3
+#: Words in at least one of HEAVY_MISSES rows of those to be looked up by a join go by broadcast.
+HEAVY_MISSES = 1 << 14
 #: Classes, the one of rare words and the one of the end among them.
 CLASSES = 64
 SWEEPS, LEAST_GAIN = 12, 1e-3
@@ -361,6 +364,20 @@ def fit(rows: DataFrame, counts: DataFrame) -> Model:
     return Model(vocabulary, of, np.log10(moves), np.log10(np.maximum(totals, 1)))
 
 
+def counted_misses(tail: DataFrame, counts: DataFrame, heavy: int = HEAVY_MISSES) -> DataFrame:
+    """``tail`` (row, word, k: a row for each document and word) with the word's training count ``n``, null if it has none.
+
+    A word may be rare in training and yet stand in a third of the other documents. Words with at least one in ``heavy`` of the
+    tail's rows (so ``heavy`` words at most) are looked up by broadcast; no other word has enough rows to fill a task.
+    """
+    spread = tail.groupBy("word").agg(F.count("*").alias("rows"))
+    total = tail.count()
+    frequent = stored(spread.where(F.col("rows") * heavy >= F.lit(total)).where("rows > 1").join(counts, "word", "left").select("word", "n"))
+    by_broadcast = tail.join(F.broadcast(frequent), "word")
+    others = tail.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(counts, "word", "left")
+    return by_broadcast.select("row", "k", "n").unionByName(others.select("row", "k", "n"))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (of a token) for each document."""
     rows = rows_of(docs)
@@ -373,27 +390,30 @@ def score_documents(docs: DataFrame) -> DataFrame:
         rare_, end_ = m.vocabulary.rare, m.vocabulary.rare + 1
         logs = np.concatenate([np.log10(m.vocabulary.counts + 1.0), [0.0, 0.0]])
         texts = batch.column("text").to_pylist()
-        columns: list[list] = [[] for _ in range(5)]
-        rare: list[bytes] = []
+        columns: list[list] = [[] for _ in range(4)]
+        rare: Counter[tuple[int, bytes]] = Counter()  # by text and word
         for a, b in parts(texts, PART_BYTES):
             words, flat, ends = numbered(texts[a:b], lookup)
             starts = np.concatenate([[0], ends[:-1] + 1])
             c = m.classes[flat]
             before = np.concatenate([m.classes[[end_]], c[:-1]])
-            for column, x in zip(columns, (np.ones(len(flat), np.int64), flat < rare_, logs[flat], m.log_moves[before, c] - m.log_totals[c], flat == rare_), strict=True):
+            for column, x in zip(columns, (np.ones(len(flat), np.int64), flat < rare_, logs[flat], m.log_moves[before, c] - m.log_totals[c]), strict=True):
                 column.append(np.add.reduceat(x, starts, dtype=np.float64))
             place = np.flatnonzero(flat == rare_)
-            rare += [words[k] for k in (place - np.searchsorted(ends, place)).tolist()]
-        n, known, value, moves, tail = (np.concatenate(x) if x else np.zeros(0) for x in columns)
+            text = np.searchsorted(ends, place)
+            rare.update(zip((a + text).tolist(), [words[k] for k in (place - text).tolist()], strict=True))
+        n, known, value, moves = (np.concatenate(x) if x else np.zeros(0) for x in columns)
+        tail = np.bincount(np.fromiter((t for t, _ in rare), np.int64, len(rare)), minlength=len(texts))  # texts come in order
         offsets = np.concatenate([[0], np.cumsum(tail)]).astype(np.int32)
-        arrays = [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(value), pa.array(moves), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare, pa.binary()))]
+        misses = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64())], ["word", "k"])
+        arrays = [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(value), pa.array(moves), pa.ListArray.from_arrays(pa.array(offsets), misses)]
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row", "doc_id", "held_out")), *arrays], ["row", "doc_id", "held_out", "n_tokens", "known", "value", "moves", "rare"])
 
     kind = dict(docs.dtypes)["doc_id"]
     by_row = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    first = stored(map_batches(by_row, run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, value double, moves double, rare array<binary>"))
-    tail = first.select("row", F.explode("rare").alias("word"))
-    looked_up = tail.join(counts, "word", "left").groupBy("row").agg(F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_value"))
+    first = stored(map_batches(by_row, run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, value double, moves double, rare array<struct<word binary, k long>>"))
+    found = counted_misses(first.select("row", F.explode("rare").alias("m")).select("row", "m.word", "m.k"), counts)
+    looked_up = found.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k"))).alias("rare_known"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_value"))
     value = F.col("value") + F.coalesce("rare_value", F.lit(0.0))
     end = float(np.log10(v.texts + 1.0))
     return first.join(looked_up, "row", "left").select(

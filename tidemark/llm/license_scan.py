@@ -100,8 +100,10 @@ def window_size(words: int) -> int:
 
 
 def template_table(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """license, size (of windows), shingles (hashes) of each template of a shingle or more."""
-    rows = [(name, window_size(len(words)), shingles_of(words)) for name, text in sorted(templates.items()) if len(words := template_words(text)) >= SHINGLE]
+    """license, size (of windows), shingles (hashes) of each template. A template shorter than a shingle can't be told from prose and is an error."""
+    if short := sorted(name for name, text in templates.items() if len(template_words(text)) < SHINGLE):
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(short)}")
+    rows = [(name, window_size(len(words)), shingles_of(words)) for name, text in sorted(templates.items()) for words in [template_words(text)]]
     return docs.sparkSession.createDataFrame(rows, "license string, size int, template array<long>")
 
 
