@@ -292,12 +292,12 @@ def labelled(df: DataFrame, model: Crf | None, out: Callable[[pa.RecordBatch, li
 
 
 def identify_languages(docs: DataFrame, model: Crf | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each document."""
+    """doc_id, held_out, lang_pred, score for each document; one without an id isn't held out."""
 
     def out(batch: pa.RecordBatch, lang: list[str], score: list[float]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return labelled(rows, model or fit_crf(training_stretches(docs)), out, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
