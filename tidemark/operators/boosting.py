@@ -119,15 +119,20 @@ def matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
 
 
 def cuts_of(rows: DataFrame, columns: list[str]) -> list[np.ndarray]:
-    """Each feature's cuts: quantiles of its values, without the smallest."""
+    """Each feature's cuts, without its smallest value: all of its values if they are few, quantiles otherwise."""
     shares = [k / BINS for k in range(BINS)]
     known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
-    found = rows.agg(*(F.percentile_approx(v, shares, 20 * BINS).alias(str(k)) for k, v in enumerate(known)), *(F.min(v).alias(f"least{k}") for k, v in enumerate(known))).first()
-    out = []
-    for k in range(len(columns)):
-        values = np.unique(np.array(found[str(k)] or [], float))
-        out.append(values[values > (found[f"least{k}"] if len(values) else 0)])
-    return out
+    found = rows.agg(
+        *(F.percentile_approx(v, shares, 20 * BINS).alias(f"q{k}") for k, v in enumerate(known)), *(F.min(v).alias(f"least{k}") for k, v in enumerate(known)), *(F.approx_count_distinct(v).alias(f"n{k}") for k, v in enumerate(known))
+    ).first()
+    values = [np.array(found[f"q{k}"] or [], float) for k in range(len(columns))]
+    few = [k for k in range(len(columns)) if found[f"n{k}"] <= 0.8 * BINS]  # the count may be off by some hundredths
+    if few:
+        exact = rows.agg(*(F.collect_set(known[k]).alias(str(k)) for k in few)).first()
+        for k in few:
+            if len(exact[str(k)]) < BINS:
+                values[k] = np.array(exact[str(k)], float)
+    return [np.unique(v[v > found[f"least{k}"]]) if len(v) else v for k, v in enumerate(values)]
 
 
 def binned_rows(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
@@ -265,6 +270,19 @@ def train_forest(rows: DataFrame, columns: list[str], rounds: int = 100, depth:
     return Forest(columns, base, trees)
 
 
+def first_splits(rows: DataFrame, columns: list[str], ridge: float = 1.0, least: float = 1.0) -> DataFrame:
+    """feature, threshold (null: none of the values), null_left and gain of each feature's best split of all rows; features that can't split are left out.
+
+    What the first node of a forest chooses from, and a screening of features by themselves.
+    """
+    cuts, share = cuts_of(rows, columns), rows.agg(F.avg("label")).first()[0]
+    share = min(max(float(share or 0.5), 1e-6), 1 - 1e-6)
+    data = blocks(rows, columns, cuts, float(np.log(share / (1 - share))))
+    found = level_choices(data.rdd, len(columns), [], Tree.empty(1), 0, ridge, least)
+    best = [(columns[f], float(cuts[f][c.cut]) if c.cut < len(cuts[f]) else None, bool(c.null_left), float(c.gain)) for _, f, c in found if c.gain > 1e-9]
+    return rows.sparkSession.createDataFrame(sorted(best), "feature string, threshold double, null_left boolean, gain double")
+
+
 def folded(data: DataFrame, width: int, trees: list[Tree]) -> DataFrame:
     """The blocks with the trees' values in their margins; written."""
 

@@ -7,22 +7,26 @@ places in both forms, as sums differ in their last digits with the order of rows
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hour_floor, number
-from tidemark.operators import assemble, forward, frames, grid, lookback, metrics, sampling, scores, serve
+from tidemark.operators import assemble, boosting, forward, frames, grid, lookback, metrics, sampling, scores, serve
 from tidemark.operators import model as risk
 from tidemark.sources import tables
 from tidemark.sources.cache import FolderCache
 from tidemark.sources.shared import stored
 
 from . import inputs
+from . import risk as risk_job
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 KINDS = ["click", "error", "purchase", "signup", "view"]
+#: Folders that several queries use, each made again when its inputs change.
+_KEPT = FolderCache()
 
 
 def query(sql: str | None = None) -> Callable:
@@ -434,6 +438,95 @@ def concatenated(spark, sf_dir):
     return clicks.unionByName(errors.where("value > 0"))
 
 
+def _clinical_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    """The events as the tables that the risk job reads, with text times and numbers where real files have them; no intake or output."""
+    e, key = inputs.events(spark, sf_dir), F.col("stay_id").alias("hospitalization_id")
+
+    def of(where: str, time: str, *columns: Column) -> DataFrame:
+        return e.where(where).select(key, F.col("ts").alias(time), *columns)
+
+    s = inputs.stays(spark, sf_dir)
+    return {
+        "hospitalization": s.select(key, "patient_id", F.col("admission").cast("string").alias("admission_dttm"), F.concat(F.col("discharge").cast("string"), F.lit("Z")).alias("discharge_dttm")),
+        "patient": e.where("category = 'error'").groupBy("patient_id").agg(F.max("ts").alias("death_dttm")),
+        "vitals": of("category IN ('click', 'view')", "recorded_dttm", F.when(F.col("category") == "click", "MAP").otherwise("sbp").alias("vital_category"), F.col("value").cast("string").alias("vital_value")),
+        "labs": of("category = 'error'", "lab_result_dttm", F.lit("lactate").alias("lab_category"), F.lit("see note").alias("lab_value"), F.col("value").alias("lab_value_numeric")),
+        "respiratory_support": of("category = 'view'", "recorded_dttm", F.when(F.col("value") > 300, "imv").otherwise("room air").alias("device_category"), F.col("text").alias("mode_category"), (F.col("value") / 1000).alias("fio2_set"), F.lit(5.0).alias("peep_set")),
+        "medication_admin_continuous": of("category = 'purchase'", "admin_dttm", F.lit("Vasoactives").alias("med_group"), (F.col("value") - 200).alias("med_dose")),
+        "crrt_therapy": of("category = 'error' AND value > 250", "recorded_dttm"),
+        "ecmo_mcs": of("category = 'signup' AND value > 280", "recorded_dttm"),
+    }
+
+
+def _written_catalog(spark, sf_dir) -> str:
+    """The folder that these tables are written to, by prefix ``x_``; kept while the events stay as they are."""
+
+    def make(path: str) -> None:
+        for name, df in _clinical_tables(spark, sf_dir).items():
+            tables.write_results(df, f"{path}/x_{name}.parquet")
+
+    return _KEPT.folder(spark, "clinical tables", [inputs.table(spark, sf_dir, "events")], make)
+
+
+@query("""SELECT * FROM (SELECT 'hospitalization' AS name, count(*) AS n, count(DISTINCT stay_id) AS stays FROM stay UNION ALL SELECT 'patient', count(DISTINCT patient_id), NULL FROM ev WHERE category = 'error'
+UNION ALL SELECT 'vitals', count(*), count(DISTINCT stay_id) FROM ev WHERE category IN ('click', 'view') UNION ALL SELECT 'labs', count(*), count(DISTINCT stay_id) FROM ev WHERE category = 'error'
+UNION ALL SELECT 'respiratory_support', count(*), count(DISTINCT stay_id) FROM ev WHERE category = 'view' UNION ALL SELECT 'medication_admin_continuous', count(*), count(DISTINCT stay_id) FROM ev WHERE category = 'purchase'
+UNION ALL SELECT 'crrt_therapy', count(*), count(DISTINCT stay_id) FROM ev WHERE category = 'error' AND value > 250 UNION ALL SELECT 'ecmo_mcs', count(*), count(DISTINCT stay_id) FROM ev WHERE category = 'signup' AND value > 280
+UNION ALL SELECT 'intake_output', NULL, NULL)""")
+def catalog_tables(spark, sf_dir):
+    """Rows and stays of each table of a written catalog; the optional one isn't there."""
+    found = []
+    for name, df in tables.load_catalog(spark, _written_catalog(spark, sf_dir), "x_").items():
+        if df is None:
+            found.append(spark.range(1).select(F.lit(name).alias("name"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("stays")))
+        else:
+            stays = F.countDistinct("hospitalization_id") if "hospitalization_id" in df.columns else F.max(F.lit(None).cast("long"))
+            found.append(df.agg(F.count("*").alias("n"), stays.alias("stays")).select(F.lit(name).alias("name"), "n", "stays"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(_COMBINED + ", dead AS (SELECT patient_id, max(ts) AS ts FROM ev WHERE category = 'error' GROUP BY ALL) SELECT stay_id, patient_id, hour, CAST(vasopressor OR ventilation OR dialysis OR circulatory OR EXISTS (SELECT 1 FROM dead d WHERE d.patient_id = lab.patient_id AND d.ts > lab.hour AND d.ts <= lab.hour + INTERVAL 12 HOUR) AS INT) AS label FROM lab")
+def job_labels(spark, sf_dir):
+    """The labelled rows of the risk job, from settings and tables on disk."""
+    settings = tables.Settings.from_mapping({"tables_path": _written_catalog(spark, sf_dir), "filetype": "parquet", "timezone": "UTC"})
+    return risk_job.labelled_rows(spark, settings, "x_")[0]
+
+
+_JOB = ["map", "sbp", "lactate"]
+
+
+def _job_wide() -> str:
+    named = {"map": "click", "sbp": "view", "lactate": "error"}
+    wide = _wide(["click", "view", "error"])
+    for name, kind in named.items():
+        wide = wide.replace(f" AS {kind}_", f" AS {name}_")
+    return wide
+
+
+@query(_BLOCK.format(c=_job_wide() + ", round(coalesce(max(value - 200) FILTER (category = 'purchase' AND value > 200), 0.0), 6) AS vasopressor_max_dose, round(arg_max(value / 1000, ts) FILTER (category = 'view'), 6) AS fio2_last"))
+def job_features(spark, sf_dir):
+    """Features of the risk job from tables on disk: those of which the tables have something, numbers given as text among them."""
+    catalog = risk_job.as_stays(tables.load_catalog(spark, _written_catalog(spark, sf_dir), "x_"))
+    found = assemble.clinical_features(inputs.grid(spark, sf_dir), catalog, modes=[])
+    wanted = [c for c in found.columns if c.rsplit("_", 1)[0] in _JOB]
+    return _rounded(found.select("stay_id", "hour", *wanted, "vasopressor_max_dose", "fio2_last"))
+
+
+@query("SELECT stay_id, hour, round(risk, 6) AS risk, label, kind FROM pred, (VALUES ('parquet'), ('csv'), ('json')) k(kind)")
+def written_results(spark, sf_dir):
+    """Predictions written in each form and read back with their schema."""
+    own = inputs.predictions(spark, sf_dir).select("stay_id", "hour", "risk", "label")
+
+    def make(path: str) -> None:
+        for kind in ("parquet", "csv", "json"):
+            tables.write_results(own, f"{path}/{kind}", kind)
+
+    path = _KEPT.folder(spark, "written results", [inputs.table(spark, sf_dir, "events")], make)
+    read = spark.read.schema(own.schema)
+    found = {"parquet": read.parquet(f"{path}/parquet"), "csv": read.option("header", True).csv(f"{path}/csv"), "json": read.json(f"{path}/json")}
+    return reduce(DataFrame.unionByName, (df.withColumns({"risk": r6("risk"), "kind": F.lit(kind)}) for kind, df in found.items()))
+
+
 # Joins, samples, metrics
 
 
@@ -600,9 +693,6 @@ def predictions_table(spark, sf_dir):
 # The model: rows only, as SQL can't train it
 
 
-_KEPT = FolderCache()
-
-
 def _labelled(spark, sf_dir) -> DataFrame:
     """The feature matrix with labels and the split, from the tables."""
     labels = forward.any_label(forward.label_hours(inputs.grid(spark, sf_dir), inputs.deteriorations(spark, sf_dir), "event"), ["event"])
@@ -619,6 +709,24 @@ def _trained(spark, sf_dir) -> risk.RiskModel:
     return risk.RiskModel.load(spark, _KEPT.folder(spark, "risk model", [inputs.table(spark, sf_dir, "events")], make))
 
 
+_SCREENED = ["click_missing", "error_missing", "view_missing", *(f"mode_{k}" for k in KINDS), "vasopressor_active", "view_step", "error_step"]
+_SCREEN = f"""feat AS ({_BLOCK.format(c=_FEATURES)}), rl AS (SELECT *, floor(view_last / 100) AS view_step, floor(error_mean / 150) AS error_step, CAST({_ANY.format(t='det').replace('g.', 'feat.')} AS INT) AS label FROM feat),
+u AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, label FROM rl" for c in _SCREENED)}),
+per AS (SELECT feature, value, count(*) AS n, sum(label) AS y FROM u GROUP BY ALL),
+tot AS (SELECT feature, sum(n) AS n_all, sum(y)::DOUBLE / sum(n) AS p, sum(y) AS y_all, coalesce(sum(n) FILTER (value IS NULL), 0) AS n_null, coalesce(sum(y) FILTER (value IS NULL), 0) AS y_null FROM per GROUP BY feature),
+cut AS (SELECT feature, value, lead(value) OVER w AS threshold, sum(n) OVER w AS n, sum(y) OVER w AS y FROM per WHERE value IS NOT NULL WINDOW w AS (PARTITION BY feature ORDER BY value)),
+side AS (SELECT feature, value, threshold, null_left, p, n + CASE WHEN null_left THEN n_null ELSE 0 END AS nl, y + CASE WHEN null_left THEN y_null ELSE 0 END AS yl, n_all, y_all FROM cut JOIN tot USING (feature), (VALUES (false), (true)) s(null_left)),
+gains AS (SELECT *, (nl * p - yl) ** 2 / (nl * p * (1 - p) + 1) + ((n_all - nl) * p - (y_all - yl)) ** 2 / ((n_all - nl) * p * (1 - p) + 1) - (n_all * p - y_all) ** 2 / (n_all * p * (1 - p) + 1) AS gain
+  FROM side WHERE nl * p * (1 - p) >= 1 AND (n_all - nl) * p * (1 - p) >= 1)"""
+
+
+@query(f", {_SCREEN} SELECT feature, threshold, null_left, round(gain, 4) AS gain FROM gains WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(gain, 9) DESC, value, null_left) = 1")
+def boosting_first_splits(spark, sf_dir):
+    """Each feature's best first split, with the side that its nulls take; of features with few values, so that all their cuts are tried."""
+    rows = _labelled(spark, sf_dir).withColumns({"view_step": F.floor(F.col("view_last") / 100), "error_step": F.floor(F.col("error_mean") / 150)})
+    return boosting.first_splits(rows, _SCREENED).withColumn("gain", F.round("gain", 4))
+
+
 @query()
 def model_predictions(spark, sf_dir):
     return assemble.prediction_table(_trained(spark, sf_dir).score(_labelled(spark, sf_dir)))
