@@ -70,7 +70,7 @@ def test_splits_equal_exhaustive_search(spark, monkeypatch, direct):
     # Bins and values lead to the same leaves.
     cuts = boosting.cuts_of(frame(spark, x, y), columns)
     for tree in forest.trees:
-        assert (tree.nodes(boosting.binned_rows(x, cuts), True) == tree.nodes(x, False)).all()
+        assert (tree.nodes(boosting.binned_rows(x, cuts)) == tree.leaves(x)).all()
 
 
 def test_no_worse_than_trees_with_filled_nulls(spark):

@@ -56,22 +56,30 @@ class Tree(NamedTuple):
     def depth(self) -> int:
         return (len(self.feature) + 1).bit_length() - 2
 
-    def left(self, x: np.ndarray, node: np.ndarray | int, binned: bool) -> np.ndarray:
-        """Which rows go left at their node."""
-        f, rows = np.maximum(self.feature[node], 0), np.arange(len(x))
-        own = x[rows, f]
-        if binned:
-            return np.where(own == BINS, self.null_left[node], own <= self.cut[node])
+    def left(self, x: np.ndarray, node: np.ndarray | int) -> np.ndarray:
+        """Which rows of values go left at their node."""
+        own = x[np.arange(len(x)), np.maximum(self.feature[node], 0)]
         return np.where(np.isnan(own), self.null_left[node], own < self.threshold[node])
 
-    def nodes(self, x: np.ndarray, binned: bool, levels: int | None = None) -> np.ndarray:
-        """Each row's leaf, or its node after ``levels`` levels."""
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """Each row's leaf, by its values."""
         at = np.zeros(len(x), np.int64)
-        for _ in range(self.depth if levels is None else levels):
+        for _ in range(self.depth):
             inner = self.feature[at] >= 0
             if not inner.any():
                 break
-            at = np.where(inner, 2 * at + 2 - self.left(x, at, binned), at)
+            at = np.where(inner, 2 * at + 2 - self.left(x, at), at)
+        return at
+
+    def nodes(self, x: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """Each row's leaf, or its node after ``levels`` levels, by its bins; quickest if these lie feature by feature."""
+        node, bin_ = np.arange(len(self.feature))[:, None], np.arange(BINS + 1)
+        left = np.where(bin_ == BINS, self.null_left[:, None], bin_ <= self.cut[:, None])
+        step = np.where(self.feature[:, None] >= 0, 2 * node + 2 - left, node).ravel()
+        flat, column, rows = x.ravel(order="F"), np.maximum(self.feature, 0) * len(x), np.arange(len(x))
+        at = np.zeros(len(x), np.int64)
+        for _ in range(self.depth if levels is None else levels):
+            at = step[at * (BINS + 1) + flat[column[at] + rows]]
         return at
 
 
@@ -83,7 +91,7 @@ class Forest(NamedTuple):
     def margins(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.base)
         for tree in self.trees:
-            total += tree.value[tree.nodes(x, False)]
+            total += tree.value[tree.leaves(x)]
         return total
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -169,14 +177,14 @@ def unpacked(rows: Iterator[tuple], width: int, trees: list[Tree]) -> Iterator[t
     for bins, label, margin in rows:
         x, total = np.frombuffer(bins, np.uint8).reshape(width, -1).T, np.frombuffer(margin, float).copy()
         for tree in trees:
-            total += tree.value[tree.nodes(x, True)]
+            total += tree.value[tree.nodes(x)]
         yield x, np.frombuffer(label, np.uint8), total
 
 
 def sums(x: np.ndarray, y: np.ndarray, margin: np.ndarray, tree: Tree, level: int) -> np.ndarray:
     """Gradients and curvatures by (node of the level, feature, bin): two arrays."""
     p = 1 / (1 + np.exp(-margin))
-    node = tree.nodes(x, True, level) - (2**level - 1)
+    node = tree.nodes(x, level) - (2**level - 1)
     g, h = p - y, p * (1 - p)
     if (node < 0).any():  # rows in leaves above stay out
         live = np.flatnonzero(node >= 0)
@@ -331,7 +339,7 @@ class Leaf(NamedTuple):
 
 
 def leaf_tables(tree: Tree, background: np.ndarray) -> list[Leaf]:
-    lefts = {int(k): tree.left(background, int(k), False) for k in np.flatnonzero(tree.feature >= 0)}
+    lefts = {int(k): tree.left(background, int(k)) for k in np.flatnonzero(tree.feature >= 0)}
     found = []
 
     def down(node: int, path: list[tuple[int, bool]]) -> None:
@@ -361,7 +369,7 @@ class Explainer:
     def values(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), len(self.forest.columns)))
         for tree, leaves in zip(self.forest.trees, self.leaves, strict=True):
-            lefts = {int(k): tree.left(x, int(k), False) for k in np.flatnonzero(tree.feature >= 0)}
+            lefts = {int(k): tree.left(x, int(k)) for k in np.flatnonzero(tree.feature >= 0)}
             for leaf in leaves:
                 out[:, leaf.features] += leaf.table[leaf.patterns(lefts, len(x))]
         return out
@@ -374,7 +382,7 @@ def staged_scores(forest: Forest, x: np.ndarray) -> Iterator[np.ndarray]:
     """The scores after each round."""
     total = np.full(len(x), forest.base)
     for tree in forest.trees:
-        total = total + tree.value[tree.nodes(x, False)]
+        total = total + tree.value[tree.leaves(x)]
         yield 1 / (1 + np.exp(-total))
 
 
