@@ -1,6 +1,7 @@
 """Boosting against exhaustive splits on small tables, and Shapley values against all subsets of features."""
 
 import itertools
+import os
 from math import factorial
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting
+from tidemark.sources.shared import shared_folder
 
 
 def exhaustive(x, y, rounds, depth, rate=0.3, ridge=1.0, least=1.0):
@@ -65,7 +67,9 @@ def test_splits_equal_exhaustive_search(spark, monkeypatch, direct):
     monkeypatch.setattr(boosting, "FOLD", 2)
     x, y = table(1)
     columns = [f"f{k}" for k in range(x.shape[1])]
+    before = set(os.listdir(shared_folder(spark).removeprefix("file://")))
     forest = boosting.train_forest(frame(spark, x, y).repartition(3), columns, rounds=3, depth=3)
+    assert set(os.listdir(shared_folder(spark).removeprefix("file://"))) == before  # no blocks are left behind
     assert np.abs(forest.margins(x) - exhaustive(x, y, 3, 3)).max() < 1e-9
     # Bins and values lead to the same leaves.
     cuts = boosting.cuts_of(frame(spark, x, y), columns)

@@ -25,7 +25,7 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import stored
+from tidemark.sources.shared import discard, stored
 
 #: Bins of a feature's values, at most; nulls have one more.
 BINS = 64
@@ -273,8 +273,10 @@ def train_forest(rows: DataFrame, columns: list[str], rounds: int = 100, depth:
                     tree.value[below], tree.cover[below] = -rate * g / (h + ridge), h
         trees, recent = [*trees, tree], [*recent, tree]
         if len(recent) == FOLD and len(trees) < rounds:
-            data, recent = folded(data, width, recent), []
+            last, data, recent = data, folded(data, width, recent), []
+            discard(last)
             own = data.rdd
+    discard(data)
     return Forest(columns, base, trees)
 
 
@@ -287,6 +289,7 @@ def first_splits(rows: DataFrame, columns: list[str], ridge: float = 1.0, least:
     share = min(max(float(share or 0.5), 1e-6), 1 - 1e-6)
     data = blocks(rows, columns, cuts, float(np.log(share / (1 - share))))
     found = level_choices(data.rdd, len(columns), [], Tree.empty(1), 0, ridge, least)
+    discard(data)
     best = [(columns[f], float(cuts[f][c.cut]) if c.cut < len(cuts[f]) else None, bool(c.null_left), float(c.gain)) for _, f, c in found if c.gain > 1e-9]
     return rows.sparkSession.createDataFrame(sorted(best), "feature string, threshold double, null_left boolean, gain double")
 

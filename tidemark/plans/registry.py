@@ -17,7 +17,7 @@ from tidemark.operators import assemble, boosting, forward, frames, grid, lookba
 from tidemark.operators import model as risk
 from tidemark.sources import tables
 from tidemark.sources.cache import FolderCache
-from tidemark.sources.shared import stored
+from tidemark.sources.shared import discard, stored
 
 from . import inputs
 from . import risk as risk_job
@@ -704,7 +704,9 @@ def _trained(spark, sf_dir) -> risk.RiskModel:
     """The model of a folder's tables: trained and saved once for each state of their files, and loaded."""
 
     def make(path: str) -> None:
-        risk.train(stored(_labelled(spark, sf_dir))).save(spark, path)
+        rows = stored(_labelled(spark, sf_dir))
+        risk.train(rows).save(spark, path)
+        discard(rows)
 
     return risk.RiskModel.load(spark, _KEPT.folder(spark, "risk model", [inputs.table(spark, sf_dir, "events")], make))
 

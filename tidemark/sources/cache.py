@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import shared_folder
+from .shared import remove, shared_folder
 
 
 def file_versions(tables: Iterable[DataFrame]) -> list[tuple[str, int, int]]:
@@ -30,12 +30,6 @@ def file_versions(tables: Iterable[DataFrame]) -> list[tuple[str, int, int]]:
     return sorted(found.values())
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder of the shared store, if it's there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class FolderCache:
     """Folders below the shared folder, each made once from its inputs as they were; beyond ``capacity`` the one unused for longest is deleted."""
 

@@ -24,6 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store, if it's there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a ``stored`` table that nothing will read again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith("tidemark-"):
+            remove(df.sparkSession, folder)
+
+
 def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder, compressed by ``codec``, and read back.
 
