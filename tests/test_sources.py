@@ -72,7 +72,7 @@ def test_series_of_a_moment(spark):
     labs = spark.createDataFrame([("s", "2024-01-01 13:00:00+02:00", "lactate", 2.5)], "stay_id string, lab_result_dttm string, lab_category string, lab_value_numeric double")
     got = {r["key"]: [(p["ts"], p["value"]) for p in r["points"]] for r in serve.moment_series({"vitals": vitals, "labs": labs, "respiratory_support": None}, "s", "2024-01-01 12:00:00").collect()}
     assert got == {"hr": [(at - dt.timedelta(hours=5), 80.0)], "map": [], "spo2": [(at, 97.0)], "fio2": [], "peep": [], "lactate": [(at - dt.timedelta(hours=1), 2.5)], "creatinine": []}
-    # A column that the reference's name comes first for is preferred.
+    # Of two value columns the first in the order of names given is taken.
     both = labs.withColumn("lab_value", F.lit("7"))
     assert serve.keyed_rows({"labs": both}).first()["value"] == 7.0
     assert serve.keyed_rows({"vitals": None}) is None
