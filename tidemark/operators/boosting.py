@@ -1,6 +1,7 @@
 """Gradient-boosted trees on binned features with a learned side for nulls; exact Shapley values of their scores.
 
-Rows are binned once into blocks of small integers and written; a feature's null is a bin of its own. For each level of a tree, tasks add
+Rows are binned once into small integers; a feature's null is a bin of its own. Rows of equal bins and label have equal gradients in every
+round, so they become one row with a weight (Spark groups and counts them), and blocks of those are written. For each level of a tree, tasks add
 up the gradients and curvatures of their rows by (node, feature, bin). Where all tasks' sums together are small (``DIRECT`` bytes, known
 before the job) the driver adds them; otherwise they are shuffled by (node, feature), and only the best split of each comes back. Each
 split tries the nulls on both sides and keeps the better one. Rows are never moved or sampled; their margins are written every ``FOLD`` rounds
@@ -33,6 +34,8 @@ BINS = 64
 BLOCK = 8192
 #: Rounds after which margins are written.
 FOLD = 10
+#: Codes whose contributions a task keeps, at most.
+KNOWN = 100_000
 #: Bytes of all tasks' sums up to which the driver adds them.
 DIRECT = 1 << 26
 
@@ -94,6 +97,19 @@ class Forest(NamedTuple):
             total += tree.value[tree.leaves(x)]
         return total
 
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """For each row the places of its values among its features' thresholds, as bytes: rows of equal codes reach the same leaves."""
+        out = np.zeros(x.shape, np.uint16)
+        feature, threshold = (np.concatenate([own, *(getattr(t, name) for t in self.trees)]) for name, own in (("feature", np.zeros(0, int)), ("threshold", np.zeros(0))))
+        for f in range(x.shape[1]):
+            out[:, f] = np.where(np.isnan(x[:, f]), 1 << 15, np.searchsorted(np.unique(threshold[feature == f]), x[:, f], "right"))
+        return out.view(f"V{2 * x.shape[1]}").ravel()
+
+    def distinct(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of which each stands for those of equal codes, and the one of them for each row."""
+        _, first, own = np.unique(self.codes(x), return_index=True, return_inverse=True)
+        return x[first], own
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Nodes as a table (thresholds and leaf values as they are), beside the columns and the base score."""
         rows = [
@@ -150,42 +166,57 @@ def binned_rows(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-BLOCKS = "bins binary, label binary, margin binary"
+BLOCKS = "bins binary, label binary, weight binary, margin binary"
+
+
+def distinct_rows(rows: DataFrame, columns: list[str], cuts: list[np.ndarray]) -> DataFrame:
+    """bins (a byte for each feature), label and weight: each combination that occurs, and how many rows have it."""
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = binned_rows(matrix(batch, "x", len(columns)), cuts), batch.num_rows
+            ends = pa.py_buffer((np.arange(n + 1) * len(columns)).astype(np.int32))
+            bins = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(x.tobytes())])
+            yield pa.RecordBatch.from_arrays([bins, batch.column("label")], ["bins", "label"])
+
+    each = rows.select(features_of(columns).alias("x"), F.col("label").cast("int").alias("label")).mapInArrow(binned, "bins binary, label int")
+    return each.groupBy("bins", "label").agg(F.count("*").alias("weight"))
 
 
 def blocks(rows: DataFrame, columns: list[str], cuts: list[np.ndarray], base: float) -> DataFrame:
-    """Blocks of rows: bins, labels and margins; written."""
+    """Blocks of distinct rows: bins, labels, weights and margins; written."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = binned_rows(matrix(batch, "x", len(columns)), cuts), batch.column("label").to_numpy(zero_copy_only=False).astype(np.uint8)
+            y, weight = batch.column("label").to_numpy(zero_copy_only=False).astype(np.uint8), batch.column("weight").to_numpy(zero_copy_only=False).astype(float)
+            x = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(len(y), len(columns))
             for at in range(0, len(y), BLOCK):
-                n = len(y[at : at + BLOCK])
-                yield block(x[at : at + n], y[at : at + n], np.full(n, base))
+                to = at + BLOCK
+                yield block(x[at:to], y[at:to], weight[at:to], np.full(len(y[at:to]), base))
 
-    packed = rows.select(features_of(columns).alias("x"), F.col("label").cast("int").alias("label")).mapInArrow(pack, BLOCKS)
-    # Every round reads the blocks several times, so they are spread over all cores once.
-    return stored(packed.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())))
+    # Every round reads the blocks several times, so they are spread over all cores once; more tasks would only cost more in each pass.
+    packed = distinct_rows(rows, columns, cuts).mapInArrow(pack, BLOCKS)
+    return stored(packed.repartition(rows.sparkSession.sparkContext.defaultParallelism))
 
 
-def block(bins: np.ndarray, label: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (bins.T, label, margin)], ["bins", "label", "margin"])
+def block(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (bins.T, label, weight, margin)], ["bins", "label", "weight", "margin"])
 
 
-def unpacked(rows: Iterator[tuple], width: int, trees: list[Tree]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bins (features one after the other), labels and the margins after ``trees`` of each block."""
-    for bins, label, margin in rows:
+def unpacked(rows: Iterator[tuple], width: int, trees: list[Tree]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bins (features one after the other), labels, weights and the margins after ``trees`` of each block."""
+    for bins, label, weight, margin in rows:
         x, total = np.frombuffer(bins, np.uint8).reshape(width, -1).T, np.frombuffer(margin, float).copy()
         for tree in trees:
             total += tree.value[tree.nodes(x)]
-        yield x, np.frombuffer(label, np.uint8), total
+        yield x, np.frombuffer(label, np.uint8), np.frombuffer(weight, float), total
 
 
-def sums(x: np.ndarray, y: np.ndarray, margin: np.ndarray, tree: Tree, level: int) -> np.ndarray:
+def sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, margin: np.ndarray, tree: Tree, level: int) -> np.ndarray:
     """Gradients and curvatures by (node of the level, feature, bin): two arrays."""
     p = 1 / (1 + np.exp(-margin))
     node = tree.nodes(x, level) - (2**level - 1)
-    g, h = p - y, p * (1 - p)
+    g, h = weight * (p - y), weight * p * (1 - p)
     if (node < 0).any():  # rows in leaves above stay out
         live = np.flatnonzero(node >= 0)
         x, node, g, h = np.asfortranarray(x[live]), node[live], g[live], h[live]
@@ -230,8 +261,8 @@ def level_choices(data: RDD, width: int, recent: list[Tree], tree: Tree, level:
 
     def partial(rows: Iterator[tuple]) -> Iterator[np.ndarray]:
         total = np.zeros((2, 2**level, width, BINS + 1))
-        for x, y, margin in unpacked(rows, width, recent):
-            total += sums(x, y, margin, tree, level)
+        for x, y, weight, margin in unpacked(rows, width, recent):
+            total += sums(x, y, weight, margin, tree, level)
         yield total
 
     tasks = data.mapPartitions(partial)
@@ -299,8 +330,8 @@ def folded(data: DataFrame, width: int, trees: list[Tree]) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, margin in unpacked(zip(*(c.to_pylist() for c in batch.columns), strict=True), width, trees):
-                yield block(x, y, margin)
+            for x, y, weight, margin in unpacked(zip(*(c.to_pylist() for c in batch.columns), strict=True), width, trees):
+                yield block(x, y, weight, margin)
 
     return stored(data.mapInArrow(fold, BLOCKS))
 
@@ -369,6 +400,21 @@ class Explainer:
         self.forest, self.base = forest, float(forest.margins(background).mean())
         self.leaves = [leaf_tables(tree, background) for tree in forest.trees]
 
+    def values_once(self, x: np.ndarray, known: dict[bytes, np.ndarray]) -> np.ndarray:
+        """``values`` with each code worked out once, if ``known`` has room for it: it's kept from batch to batch, up to ``KNOWN`` codes."""
+        code, first, own = np.unique(self.forest.codes(x), return_index=True, return_inverse=True)
+        keys = [c.tobytes() for c in code]
+        new = [k for k, key in enumerate(keys) if key not in known]
+        found = np.empty((len(keys), x.shape[1]))
+        if new:
+            found[new] = self.values(x[first[new]])
+        old = np.ones(len(keys), bool)
+        old[new] = False
+        for k in np.flatnonzero(old):
+            found[k] = known[keys[k]]
+        known.update((keys[k], found[k].copy()) for k in new[: max(0, KNOWN - len(known))])
+        return found[own]
+
     def values(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), len(self.forest.columns)))
         for tree, leaves in zip(self.forest.trees, self.leaves, strict=True):
@@ -403,9 +449,9 @@ def round_counts(forest: Forest, rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(forest_.trees), 2, STEPS + 1), np.int64)
         for batch in batches:
-            x, y = matrix(batch, "x", width), batch.column("label").to_numpy(zero_copy_only=False)
+            (x, own), y = forest_.distinct(matrix(batch, "x", width)), batch.column("label").to_numpy(zero_copy_only=False)
             for r, score in enumerate(staged_scores(forest_, x)):
-                step = np.rint(score * STEPS).astype(np.int64)
+                step = np.rint(score * STEPS).astype(np.int64)[own]
                 for side in (0, 1):
                     total[r, side] += np.bincount(step[y == side], minlength=STEPS + 1)
         r, step = np.nonzero(total.sum(1))

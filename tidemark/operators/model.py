@@ -12,14 +12,14 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hashed
 
 from .assemble import feature_columns
-from .boosting import Explainer, Forest, features_of, round_counts, train_forest
+from .boosting import Explainer, Forest, features_of, matrix, round_counts, train_forest
 from .grid import STAY
 
 #: Training rows that attributions compare with.
@@ -51,9 +51,10 @@ class RiskModel(NamedTuple):
         """``df`` and its ``risk``."""
         forest, width = self.forest, len(self.columns)
 
-        @F.pandas_udf("double")
-        def risk(x: pd.Series) -> pd.Series:
-            return pd.Series(1 / (1 + np.exp(-forest.margins(np.array(x.tolist(), float).reshape(-1, width)))))
+        @F.arrow_udf("double")
+        def risk(x: pa.Array) -> pa.Array:
+            rows, own = forest.distinct(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+            return pa.array((1 / (1 + np.exp(-forest.margins(rows))))[own])
 
         full = self.aligned(df).withColumn("risk", risk(features_of(self.columns)))
         return full.select(*df.columns, "risk")
@@ -83,13 +84,15 @@ def explain(model: RiskModel, df: DataFrame) -> DataFrame:
     explainer = df.sparkSession.sparkContext.broadcast(Explainer(model.forest, model.background))
     n = len(model.columns)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = explainer.value.values(np.array(frame["x"].tolist(), float).reshape(-1, n))
-            yield frame[[STAY, "hour"]].assign(base=explainer.value.base, contributions=list(values))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            values, m = explainer.value.values_once(matrix(batch, "x", n), known), batch.num_rows
+            each = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * n, pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(STAY), batch.column("hour"), pa.array(np.full(m, explainer.value.base)), each], [STAY, "hour", "base", "contributions"])
 
     rows = model.aligned(df).select(F.col(STAY).cast("string").alias(STAY), "hour", features_of(model.columns).alias("x"))
-    return rows.mapInPandas(run, f"{STAY} string, hour timestamp_ntz, base double, contributions array<double>")
+    return rows.mapInArrow(run, f"{STAY} string, hour timestamp_ntz, base double, contributions array<double>")
 
 
 def rounds(model: RiskModel, df: DataFrame) -> DataFrame:
