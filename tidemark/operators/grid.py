@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hour_floor, hours_between, micros
@@ -16,11 +16,31 @@ def valid_stays(stays: DataFrame) -> DataFrame:
     return stays.where(F.col(START).isNotNull() & F.col(END).isNotNull() & (F.col(END) > F.col(START)))
 
 
+def spread(stays: DataFrame) -> DataFrame:
+    """The stays dealt over all cores: they are few and small, and without it the hours of all would come from one or few tasks."""
+    return stays.repartition(4 * stays.sparkSession.sparkContext.defaultParallelism)
+
+
+#: Rows of a grid that one task takes.
+ROWS_A_TASK = 250_000
+
+
+def dealt_grid(grid: DataFrame, near: Column | None = None) -> DataFrame:
+    """The (stay, hour) of a grid, each once, dealt by both (or by the stay and ``near``, made from the hour) to as many tasks as their number asks for.
+
+    They are dealt first and made distinct where they arrive, so no task holds more than its share, however few tasks
+    the grid came from.
+    """
+    keys = grid.select(STAY, "hour", *([] if near is None else [near]))
+    tasks = max(1, -(-keys.count() // ROWS_A_TASK), min(grid.sparkSession.sparkContext.defaultParallelism, 64))
+    return keys.repartition(tasks, STAY, keys.columns[-1]).distinct()
+
+
 def hourly_rows(stays: DataFrame) -> DataFrame:
     """stay_id, patient_id, hour and hours_in: every whole hour from the start's hour on that ends by the stay's end."""
     floor = hour_floor(START)
     n = F.floor((micros(END) - micros(floor)) / 3.6e9).cast("int")
-    each = valid_stays(stays).withColumn("_n", n).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    each = spread(valid_stays(stays)).withColumn("_n", n).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     hour = floor + F.make_dt_interval(hours=F.col("_k"))
     return each.select(STAY, PATIENT, hour.alias("hour"), hours_between(START, hour).alias("hours_in"))
 

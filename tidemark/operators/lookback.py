@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hour_ceiling, hour_floor, hours, micros, number_of, safe_name
 
-from .grid import STAY
+from .grid import STAY, dealt_grid
 
 LENGTH = 6
 # The categories and statistics that define the output columns.
@@ -45,22 +45,23 @@ def windowed(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFram
     return dealt(rows, length).join(grid.select(STAY, "hour").distinct(), [STAY, "hour"])
 
 
-def in_reach(grid: DataFrame, rows: DataFrame, length: int, how: str) -> DataFrame:
+def in_reach(grid: DataFrame, rows: DataFrame, length: int, how: str, keep: bool = False) -> DataFrame:
     """Times of the grid, whatever they are, joined with the rows in their windows.
 
     Rows are dealt to the whole hours in which such a time can lie, so the join is by equality and a stay's rows
-    meet only times near them; the exact window is tested on what meets.
+    meet only times near them; the exact window is tested on what meets. The grid is dealt once, by what it's joined by; ``keep``
+    keeps ``_in``, the time's whole hour, so that groups with it needn't be dealt again.
     """
-    g = grid.select(STAY, "hour").distinct().withColumn("_in", hour_floor("hour"))
+    g = dealt_grid(grid, hour_floor("hour").alias("_in"))
     near = F.sequence(hour_floor("ts"), hour_floor(F.col("ts") + hours(length)), hours(1))
     e = rows.where(F.col("ts").isNotNull()).withColumnRenamed(STAY, "_stay").withColumn("_near", F.explode(near))
     inside = (F.col(STAY) == F.col("_stay")) & (F.col("_in") == F.col("_near")) & (F.col("ts") > F.col("hour") - hours(length)) & (F.col("ts") <= F.col("hour"))
-    return g.join(e, inside, how).drop("_stay", "_in", "_near")
+    return g.join(e, inside, how).drop("_stay", "_near", *([] if keep else ["_in"]))
 
 
-def windowed_range(grid: DataFrame, rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same as ``windowed`` for any times in ``hour``."""
-    return in_reach(grid, rows, length, "inner")
+def windowed_range(grid: DataFrame, rows: DataFrame, length: int = LENGTH, keep: bool = False) -> DataFrame:
+    """The same as ``windowed`` for any times in ``hour``; ``keep`` as in ``in_reach``."""
+    return in_reach(grid, rows, length, "inner", keep)
 
 
 class State(NamedTuple):
@@ -151,7 +152,7 @@ def in_windows(grid: DataFrame, rows: DataFrame, states: dict[str, State], keys:
         met = in_reach(grid, each, length, how)
     else:
         made = panes(rows, states, keys).withColumn("hour", F.explode(F.sequence(F.col("_pane"), F.col("_pane") + hours(length - 1), hours(1))))
-        met = grid.select(STAY, "hour").distinct().join(made, [STAY, "hour"], how)
+        met = dealt_grid(grid).join(made, [STAY, "hour"], how)
     before = (micros("_pane") - micros("hour")) / 3.6e9
     return met.withColumns({n: x.shifted(F.col(n), before) for n, x in states.items()})
 
