@@ -33,15 +33,17 @@ def label_hours(grid: DataFrame, events: DataFrame, name: str, horizon: int = HO
 def label_range(grid: DataFrame, events: DataFrame, name: str, horizon: int = HORIZON, key: str = STAY) -> DataFrame:
     """The same for any times in ``hour``.
 
-    Events are dealt to the whole hours in which a time that looks ahead to them can lie, so the join is by equality;
-    the exact window is tested on what meets.
+    Events are dealt to the whole hours in which a time that looks ahead to them can lie, and each such hour is one row: whether
+    any event is in reach of all of its times, the last event inside the hour (in reach of the times before it), and the first event
+    in the hour where reach ends (in reach of the times ``horizon`` before it, and later). So the grid is joined once, by equality.
     """
     near = F.sequence(hour_floor(F.col("ts") - hours(horizon)), hour_floor("ts"), hours(1))
-    e = events.where(F.col("ts").isNotNull()).select(key, "ts", F.explode(near).alias("near")).alias("e")
-    g = grid.select(key, "hour").distinct().withColumn("_in", hour_floor("hour")).alias("g")
-    inside = (F.col(f"e.{key}") == F.col(f"g.{key}")) & (F.col("e.near") == F.col("g._in")) & (F.col("e.ts") > F.col("g.hour")) & (F.col("e.ts") <= F.col("g.hour") + hours(horizon))
-    hit = g.join(e, inside, "left_semi").drop("_in").withColumn(name, F.lit(True))
-    return grid.join(hit, [key, "hour"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    each = events.where(F.col("ts").isNotNull()).select(key, "ts", F.explode(near).alias("_in"))
+    inside, beyond = F.col("ts") < F.col("_in") + hours(1), F.col("ts") > F.col("_in") + hours(horizon)
+    hours_ = each.groupBy(key, "_in").agg(F.max(~inside & ~beyond).alias("_all"), F.max(F.when(inside, F.col("ts"))).alias("_own"), F.min(F.when(beyond, F.col("ts"))).alias("_far"))
+    hit = F.col("_all") | F.coalesce(F.col("_own") > F.col("hour"), F.lit(False)) | F.coalesce(F.col("_far") <= F.col("hour") + hours(horizon), F.lit(False))
+    joined = grid.withColumn("_in", hour_floor("hour")).join(hours_, [key, "_in"], "left").withColumn(name, F.coalesce(hit, F.lit(False)))
+    return joined.select(*(c for c in grid.columns if c != name), name)
 
 
 def deaths(patients: DataFrame) -> DataFrame:
