@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +110,17 @@ class Forest(NamedTuple):
         _, first, own = np.unique(self.codes(x), return_index=True, return_inverse=True)
         return x[first], own
 
+    def margins_once(self, x: np.ndarray, known: dict[bytes, float]) -> np.ndarray:
+        """``margins`` with each code worked out once, if ``known`` has room for it: it's kept from batch to batch, up to ``KNOWN`` codes."""
+        code, first, own = np.unique(self.codes(x), return_index=True, return_inverse=True)
+        keys = [c.tobytes() for c in code]
+        found = np.array([known.get(key, np.nan) for key in keys], float)
+        new = np.flatnonzero(np.isnan(found))
+        if len(new):
+            found[new] = self.margins(x[first[new]])
+        known.update((keys[k], found[k]) for k in new[: max(0, KNOWN - len(known))])
+        return found[own]
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Nodes as a table (thresholds and leaf values as they are), beside the columns and the base score."""
         rows = [
@@ -142,21 +153,37 @@ def matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def few_values(rows: DataFrame, columns: list[str]) -> dict[int, tuple[float, np.ndarray | None]]:
+    """By feature's place its least value and, if it has fewer than ``BINS``, all of its values; features without a value are left out. Tasks pass on ``BINS`` values of each at most."""
+    width = len(columns)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(0)] * width
+        for batch in batches:
+            x = matrix(batch, "x", width)
+            for f in range(width):
+                v = x[:, f]
+                # The smallest BINS are enough for both: the least, and whether there are as many.
+                found[f] = np.unique(np.concatenate([found[f], v[~np.isnan(v)]]))[:BINS]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(width), [len(v) for v in found])), pa.array(np.concatenate([*found, np.zeros(0)]))], ["k", "v"])
+
+    each = rows.select(features_of(columns).alias("x")).mapInArrow(own, "k long, v double")
+    merged = each.groupBy("k").agg(F.min("v").alias("least"), F.collect_set("v").alias("values")).collect()
+    return {r["k"]: (r["least"], np.array(r["values"], float) if len(r["values"]) < BINS else None) for r in merged}
+
+
 def cuts_of(rows: DataFrame, columns: list[str]) -> list[np.ndarray]:
     """Each feature's cuts, without its smallest value: all of its values if they are few, quantiles otherwise."""
     shares = [k / BINS for k in range(BINS)]
-    known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
-    found = rows.agg(
-        *(F.percentile_approx(v, shares, 20 * BINS).alias(f"q{k}") for k, v in enumerate(known)), *(F.min(v).alias(f"least{k}") for k, v in enumerate(known)), *(F.approx_count_distinct(v).alias(f"n{k}") for k, v in enumerate(known))
-    ).first()
-    values = [np.array(found[f"q{k}"] or [], float) for k in range(len(columns))]
-    few = [k for k in range(len(columns)) if found[f"n{k}"] <= 0.8 * BINS]  # the count may be off by some hundredths
-    if few:
-        exact = rows.agg(*(F.collect_set(known[k]).alias(str(k)) for k in few)).first()
-        for k in few:
-            if len(exact[str(k)]) < BINS:
-                values[k] = np.array(exact[str(k)], float)
-    return [np.unique(v[v > found[f"least{k}"]]) if len(v) else v for k, v in enumerate(values)]
+    few = few_values(rows, columns)
+    values = [few[k][1] if k in few else np.zeros(0) for k in range(len(columns))]
+    many = [k for k, v in enumerate(values) if v is None]
+    if many:
+        known = {k: F.when(~F.isnan(F.col(columns[k]).cast("double")), F.col(columns[k]).cast("double")) for k in many}
+        quantiles = rows.agg(*(F.percentile_approx(known[k], shares, 20 * BINS).alias(str(k)) for k in many)).first()
+        for k in many:
+            values[k] = np.array(quantiles[str(k)], float)
+    return [np.unique(v[v > few[k][0]]) if len(v) else v for k, v in enumerate(values)]
 
 
 def binned_rows(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
@@ -255,6 +282,12 @@ def best_cuts(sums_: np.ndarray, ridge: float, least: float) -> Choice:
     return Choice(gain[rows, at], cut, side == 1, gl[rows, cut, side], hl[rows, cut, side], g, h)
 
 
+def in_tasks(data: DataFrame, n: int) -> RDD:
+    """Blocks of ``n`` rows as an RDD that is kept until the next fold, in a task for each full block at most: each task's sums go to the driver or are shuffled."""
+    blocks_ = data.rdd
+    return blocks_.coalesce(max(1, min(blocks_.getNumPartitions(), n // BLOCK))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def level_choices(data: RDD, width: int, recent: list[Tree], tree: Tree, level: int, ridge: float, least: float) -> list[tuple[int, int, Choice]]:
     """(node, feature, choice) for each node of a level and feature that have rows; choices hold one entry."""
     direct = data.getNumPartitions() * 2 * 2**level * width * (BINS + 1) * 8 <= DIRECT
@@ -282,7 +315,8 @@ def train_forest(rows: DataFrame, columns: list[str], rounds: int = 100, depth:
     share = min(max(float(share or 0.5), 1e-6), 1 - 1e-6)
     base, width = float(np.log(share / (1 - share))), len(columns)
     data, trees, recent = blocks(rows, columns, cuts, base), [], []
-    own = data.rdd
+    n = data.agg(F.sum(F.length("label"))).first()[0] or 0
+    own = in_tasks(data, n)
     for _ in range(rounds):
         tree = Tree.empty(depth)
         for level in range(depth):
@@ -305,8 +339,10 @@ def train_forest(rows: DataFrame, columns: list[str], rounds: int = 100, depth:
         trees, recent = [*trees, tree], [*recent, tree]
         if len(recent) == FOLD and len(trees) < rounds:
             last, data, recent = data, folded(data, width, recent), []
+            own.unpersist()
             discard(last)
-            own = data.rdd
+            own = in_tasks(data, n)
+    own.unpersist()
     discard(data)
     return Forest(columns, base, trees)
 
@@ -424,6 +460,29 @@ class Explainer:
         return out
 
 
+def distinct_codes(forest: Forest, rows: DataFrame, label: bool = False) -> DataFrame:
+    """x and n, with ``label`` also its value: one row of those of equal codes (and label), and how many they are.
+
+    Rows of equal codes have the same scores and contributions. Tasks add up their batches before they pass on.
+    """
+    forest_, width = forest, len(forest.columns)
+    schema = "code binary, label int, x array<double>, n long"
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = matrix(batch, "x", width), batch.column("label")
+            code = forest_.codes(x)
+            keyed = np.empty(len(x), [("label", np.int32), ("code", code.dtype)])
+            keyed["label"], keyed["code"] = y.fill_null(-1).to_numpy(), code
+            _, first, n = np.unique(keyed.view(f"V{keyed.dtype.itemsize}"), return_index=True, return_counts=True)
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * width, pa.int32()), pa.array(x[first].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in code[first]], pa.binary()), y.take(pa.array(first)), each, pa.array(n)], ["code", "label", "x", "n"])
+
+    value = F.col("label").cast("int") if label else F.lit(0)
+    each = rows.select(features_of(forest.columns).alias("x"), value.alias("label")).mapInArrow(few, schema)
+    return each.groupBy("code", "label").agg(F.min("x").alias("x"), F.sum("n").alias("n")).select("x", *(["label"] if label else []), "n")
+
+
 # Evaluation by round
 
 
@@ -449,13 +508,13 @@ def round_counts(forest: Forest, rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(forest_.trees), 2, STEPS + 1), np.int64)
         for batch in batches:
-            (x, own), y = forest_.distinct(matrix(batch, "x", width)), batch.column("label").to_numpy(zero_copy_only=False)
+            x, y, n = matrix(batch, "x", width), batch.column("label").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
             for r, score in enumerate(staged_scores(forest_, x)):
-                step = np.rint(score * STEPS).astype(np.int64)[own]
+                step = np.rint(score * STEPS).astype(np.int64)
                 for side in (0, 1):
-                    total[r, side] += np.bincount(step[y == side], minlength=STEPS + 1)
+                    np.add.at(total[r, side], step[y == side], n[y == side])
         r, step = np.nonzero(total.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(a) for a in (r + 1, step, total[r, 1, step], total[r, 0, step])], ["round", "step", "pos", "neg"])
 
-    each = rows.select(features_of(forest.columns).alias("x"), F.col("label").cast("int").alias("label")).mapInArrow(count, "round long, step long, pos long, neg long")
+    each = distinct_codes(forest, rows, label=True).mapInArrow(count, "round long, step long, pos long, neg long")
     return each.groupBy("round", "step").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))

@@ -265,6 +265,26 @@ def last_values(grid: DataFrame, rows: DataFrame, columns: list[str], per_column
     return in_one_pass(grid, [last_part(rows, columns, per_column)], length, at_any_time)
 
 
+def place_among(value: Column, values: list[str]) -> Column:
+    """A text's place among sorted ``values``, from 1; half a place on where it isn't one of them. Orders as the texts do, but for those between the same two values.
+
+    A number, so that aggregates of it hash: the last of several texts would have them all sorted.
+    """
+    ordered = sorted(values)
+    place = reduce(lambda a, b: a + b, ((value >= v).cast("double") for v in ordered), F.lit(0.0))
+    return F.when(value.isin(ordered), place).otherwise(place + 0.5)
+
+
+def mode_part(rows: DataFrame, column: str, values: list[str], prefix: str = "mode_") -> Part:
+    """A 0/1 column for each of ``values``: whether it is the last of ``column`` in the window."""
+
+    def finish(df: DataFrame) -> DataFrame:
+        # Another text's place is no whole number, so it meets none.
+        return df.withColumns({prefix + safe_name(v): F.coalesce((F.col("_place") == k).cast("int"), F.lit(0)) for k, v in enumerate(sorted(values), 1)}).drop("_place", "_rows")
+
+    return last_part(rows.select(STAY, "ts", place_among(F.col(column), values).alias("_place")), ["_place"], finish=finish)
+
+
 def one_hot(df: DataFrame, column: str, values: list[str] | None = None, prefix: str = "mode_") -> DataFrame:
     """A 0/1 column for each value, sorted; a null value is all zeros. Without ``values``, those that occur."""
     if values is None:

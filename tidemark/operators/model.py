@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import hashed
 
 from .assemble import feature_columns
-from .boosting import Explainer, Forest, features_of, matrix, round_counts, train_forest
+from .boosting import Explainer, Forest, distinct_codes, features_of, matrix, round_counts, train_forest
 from .grid import STAY
 
 #: Training rows that attributions compare with.
@@ -52,9 +52,10 @@ class RiskModel(NamedTuple):
         forest, width = self.forest, len(self.columns)
 
         @F.arrow_udf("double")
-        def risk(x: pa.Array) -> pa.Array:
-            rows, own = forest.distinct(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-            return pa.array((1 / (1 + np.exp(-forest.margins(rows))))[own])
+        def risk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known: dict[bytes, float] = {}
+            for x in batches:
+                yield pa.array(1 / (1 + np.exp(-forest.margins_once(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), known))))
 
         full = self.aligned(df).withColumn("risk", risk(features_of(self.columns)))
         return full.select(*df.columns, "risk")
@@ -126,6 +127,25 @@ def importance(explained: DataFrame, columns: list[str]) -> DataFrame:
     return each.select(F.element_at(names, F.col("k") + 1).alias("feature"), "mean_abs").orderBy(F.desc("mean_abs"), "feature")
 
 
+def mean_importance(model: RiskModel, df: DataFrame) -> DataFrame:
+    """``importance`` over all rows of ``df``, each distinct row of the forest's codes explained once and counted as often as it occurs."""
+    explainer = df.sparkSession.sparkContext.broadcast(Explainer(model.forest, model.background))
+    n = len(model.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(n), 0
+        for batch in batches:
+            times = batch.column("n").to_numpy()
+            total += times @ np.abs(explainer.value.values(matrix(batch, "x", n)))
+            rows += int(times.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total), pa.array(np.full(n, rows))], ["k", "total", "n"])
+
+    each = distinct_codes(model.forest, model.aligned(df)).mapInArrow(run, "k long, total double, n long")
+    means = each.groupBy("k").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean_abs")).where("mean_abs IS NOT NULL")
+    names = F.array(*(F.lit(c) for c in model.columns))
+    return means.select(F.element_at(names, F.col("k").cast("int") + 1).alias("feature"), "mean_abs").orderBy(F.desc("mean_abs"), "feature")
+
+
 def top_contributions(explained: DataFrame, columns: list[str], k: int = DRIVERS) -> DataFrame:
     """The ``k`` features that count most in each row: rank, feature, contribution (six places) and its direction."""
     names = F.array(*(F.lit(c) for c in columns))
