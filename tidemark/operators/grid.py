@@ -21,19 +21,23 @@ def spread(stays: DataFrame) -> DataFrame:
     return stays.repartition(4 * stays.sparkSession.sparkContext.defaultParallelism)
 
 
-#: Rows of a grid that one task takes.
-ROWS_A_TASK = 250_000
+#: Rows of a grid that one task takes: the widest features aggregate some kilobytes for each.
+ROWS_A_TASK = 64_000
 
 
-def dealt_grid(grid: DataFrame, near: Column | None = None) -> DataFrame:
+def tasks_for(grid: DataFrame) -> int:
+    """How many tasks the rows of a grid ask for."""
+    return max(1, -(-grid.count() // ROWS_A_TASK), min(grid.sparkSession.sparkContext.defaultParallelism, 64))
+
+
+def dealt_grid(grid: DataFrame, near: Column | None = None, tasks: int | None = None) -> DataFrame:
     """The (stay, hour) of a grid, each once, dealt by both (or by the stay and ``near``, made from the hour) to as many tasks as their number asks for.
 
     They are dealt first and made distinct where they arrive, so no task holds more than its share, however few tasks
     the grid came from.
     """
     keys = grid.select(STAY, "hour", *([] if near is None else [near]))
-    tasks = max(1, -(-keys.count() // ROWS_A_TASK), min(grid.sparkSession.sparkContext.defaultParallelism, 64))
-    return keys.repartition(tasks, STAY, keys.columns[-1]).distinct()
+    return keys.repartition(tasks or tasks_for(keys), STAY, keys.columns[-1]).distinct()
 
 
 def hourly_rows(stays: DataFrame) -> DataFrame:

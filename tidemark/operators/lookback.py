@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hour_ceiling, hour_floor, hours, micros, number_of, safe_name
 
-from .grid import STAY, dealt_grid
+from .grid import STAY, dealt_grid, tasks_for
 
 LENGTH = 6
+#: Parts of a busy hour where many rows are dealt.
+BUSY = 16
 #: Hours since 1970 that times of regressions count from, so that doubles keep their digits.
 ORIGIN = 475000.0
 # The categories and statistics that define the output columns.
@@ -139,15 +141,21 @@ def statistics(m: Merged, mode: str = "train") -> dict[str, Column]:
     return {"last": last, "min": low, "max": high, "mean": s / n, "std": std, "slope": slope, "missing": n.isNull().cast("int")}
 
 
-def panes(rows: DataFrame, states: dict[str, State], keys: list[str]) -> DataFrame:
+def panes(rows: DataFrame, states: dict[str, State], keys: list[str], tasks: int | None = None) -> DataFrame:
     """One row for each stay, hour and key that has rows in (hour - 1, hour], with the states of all of them merged; ``_pane`` is the hour.
 
     A window of whole hours is as many whole panes, so rows are summed once, before anything is dealt: a busy hour is
-    reduced where it's read, and windows see one row of it.
+    reduced where it's read, and windows see one row of it. With ``tasks`` rows are dealt to so many, a busy hour in ``BUSY`` parts:
+    otherwise all panes meet in as few tasks as their bytes on disk ask for, however many they are.
     """
     at = rows.where(F.col("ts").isNotNull()).withColumn("_pane", hour_ceiling(F.col("ts")))
     each = at.select(STAY, "_pane", *keys, *(x.row.alias(n) for n, x in states.items()))
-    return each.groupBy(STAY, "_pane", *keys).agg(*(x.merged(F.col(n)).alias(n) for n, x in states.items()))
+    merged = [x.merged(F.col(n)).alias(n) for n, x in states.items()]
+    if tasks:
+        salted = at.select(STAY, "_pane", F.pmod(F.xxhash64("ts"), F.lit(BUSY)).alias("_busy"), *keys, *(x.row.alias(n) for n, x in states.items()))
+        some = salted.repartition(tasks, STAY, "_pane", "_busy").groupBy(STAY, "_pane", "_busy", *keys).agg(*merged)
+        each = some.drop("_busy").repartition(tasks, STAY, "_pane")
+    return each.groupBy(STAY, "_pane", *keys).agg(*merged)
 
 
 def in_windows(grid: DataFrame, rows: DataFrame, states: dict[str, State], keys: list[str], length: int, at_any_time: bool, how: str) -> DataFrame:
@@ -156,8 +164,10 @@ def in_windows(grid: DataFrame, rows: DataFrame, states: dict[str, State], keys:
         each = rows.withColumn("_pane", F.col("ts")).select(STAY, "ts", "_pane", *keys, *(x.row.alias(n) for n, x in states.items()))
         met = in_reach(grid, each, length, how)
     else:
-        made = panes(rows, states, keys).withColumn("hour", F.explode(F.sequence(F.col("_pane"), F.col("_pane") + hours(length - 1), hours(1))))
-        met = dealt_grid(grid).join(made, [STAY, "hour"], how)
+        tasks = tasks_for(grid.select(STAY, "hour"))
+        many = tasks > grid.sparkSession.sparkContext.defaultParallelism
+        made = panes(rows, states, keys, tasks if many else None).withColumn("hour", F.explode(F.sequence(F.col("_pane"), F.col("_pane") + hours(length - 1), hours(1))))
+        met = dealt_grid(grid, tasks=tasks).join(made, [STAY, "hour"], how)
     before = (micros("_pane") - micros("hour")) / 3.6e9
     return met.withColumns({n: x.shifted(F.col(n), before) for n, x in states.items()})
 
