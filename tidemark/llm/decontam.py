@@ -3,13 +3,14 @@
 1. Passages. Benchmark items are cut into passages of ``WINDOW`` words at most, document texts into
    half-windows of ``STRIDE`` words; two neighbouring halves are a window. Words are lower-cased
    and lose ASCII punctuation.
-2. TF-IDF. The terms are the words of the benchmark. How many half-windows of all documents have a term
+2. TF-IDF. The terms are the words of the benchmark. The texts are read once for the index: the terms of each half-window
+   are written as numbers, and what follows reads these. How many half-windows of all documents have a term
    is counted map-side and summed. The inverse frequency is smooth and never below 1, so no term loses its weight.
 3. A randomised SVD (range finder with power rounds; each product with the matrix is a job over its rows whose
    sparse partial sums Spark adds up by term) gives the latent space, of ``RANK`` dimensions. The matrix's rows are
-   the TF-IDF passages and, so that terms come together that go together in the corpus, one window each of about
-   ``SAMPLE_TEXTS`` distinct texts (a documented bound: hashes of texts below a share; only the space is learned from
-   them). Document windows fold in linearly, so a window is the sum of its words.
+   the TF-IDF passages and, so that terms come together that go together in the corpus, every window of every document.
+   The windows together weigh as much as ``CORPUS_ROWS`` passages, if they are more, so the passages keep their part in the space
+   however many documents there are. Document windows fold in linearly, so a window is the sum of its words.
 4. Candidate search. Passages are dealt to cells around centres in the latent space (about the root of their number), and a
    window is compared with the passages of the ``PROBED`` share of cells whose centres are nearest to it: latent cosine, ``COSINE`` at
    least. Of these pairs those go on in which enough of the passage's words stand around the window for the check to accept it
@@ -35,7 +36,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 from typing import NamedTuple
 
@@ -44,7 +45,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_below, map_batches, parts, stored
+from tidemark.sources.shared import discard
+
+from .common import map_batches, parts, sliced, stored
 
 WINDOW, STRIDE = 48, 24
 MIN_WORDS = 8
@@ -52,14 +55,17 @@ RANK, OVERSAMPLE, POWER_ROUNDS = 64, 16, 2
 #: Share of a passage's words that verbatim candidates are found by, more than 1 - VERBATIM; it changes the time taken, not what is found.
 CORE = 0.3
 #: Least latent cosine of a candidate, and the share of cells that are compared with a window.
-COSINE, PROBED = 0.45, 0.25
+COSINE, PROBED = 0.45, 0.5
 #: Words are told apart by so many bits where overlaps are counted; equal bits only let more pairs on to the checks.
 BITS = 2048
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.5
 BLOCK_WORDS = 400_000
-SAMPLE_TEXTS = 4096
-#: Windows whose candidates are found at once.
-AT_ONCE = 4096
+#: All windows of the documents weigh as much as so many passages at most where the space is learned.
+CORPUS_ROWS = 4096
+#: Windows whose candidates are found at once, and half-windows that are added up at once.
+AT_ONCE, SUMMED = 4096, 2048
+#: Bytes of coded windows whose products are held at once.
+SLICE = 1 << 18
 PART_CHARS = 1_500_000
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -98,11 +104,12 @@ class Items(NamedTuple):
 
 class Index(NamedTuple):
     items: Items
-    folding: np.ndarray  # terms x rank, with idf; a last row of zeros stands for other words
+    folding: np.ndarray  # terms x rank, with idf
     vectors: np.ndarray  # passages x rank, of length one
     centres: np.ndarray  # cells x rank
     members: list[np.ndarray]  # the passages of each cell
     bits: np.ndarray  # passages x WINDOW: the bit of each word, BITS where there is none
+    sets: np.ndarray  # passages x BITS / 64: the same bits, each once
     first: np.ndarray  # of each term, its first place in the next two; one more at the end
     passage: np.ndarray  # the passages that have the term in their core
     times: np.ndarray  # and how often
@@ -144,61 +151,133 @@ def halves(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first, sizes) + inside // STRIDE, first
 
 
-def frequencies(texts: DataFrame, items: Items) -> tuple[np.ndarray, int, int]:
-    """How many half-windows of all texts have each term, how many there are, and how many texts."""
+def blobs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive stretches of ``values`` as one binary value each."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def coded_windows(texts: DataFrame, items: Items) -> DataFrame:
+    """For each text the ids of its words that are terms, and how many of them each half-window has, as bytes of numbers."""
     shared = texts.sparkSession.sparkContext.broadcast(items.terms)
-    n = len(items.terms)
+    code = term_code(items)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, sizes = term_places(batch.column("text").to_pylist(), shared.value)
+        half, _ = halves(sizes)
+        known, n_halves = ids >= 0, -(-sizes // STRIDE)
+        counts = np.bincount(half[known], minlength=int(n_halves.sum())).astype(np.uint8)
+        own = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))
+        return pa.RecordBatch.from_arrays([blobs(ids[known].astype(code), own), blobs(counts, n_halves)], ["terms", "counts"])
+
+    return map_batches(texts.where("text is not null"), cut, "terms binary, counts binary")
+
+
+def term_code(items: Items) -> np.dtype:
+    return np.dtype(np.uint16 if len(items.terms) <= 1 << 16 else np.uint32)
+
+
+def read_windows(batch: pa.RecordBatch, code: np.dtype) -> tuple[Windows, np.ndarray]:
+    """The half-windows of texts with the words that are terms only, and how many each has."""
+    terms, counts = batch.column("terms").to_pylist(), batch.column("counts").to_pylist()
+    many = np.array([len(c) for c in counts], np.int64)
+    of_half = np.frombuffer(b"".join(counts), np.uint8).astype(np.int64)
+    sizes = np.array([len(t) // code.itemsize for t in terms], np.int64)
+    half = np.repeat(np.arange(len(of_half)), of_half)
+    return Windows(np.frombuffer(b"".join(terms), code), sizes, half, np.cumsum(many) - many, np.repeat(np.arange(len(many)), many)), of_half
+
+
+def frequencies(windows: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """How many half-windows of all texts have each term, and how many there are; ``windows`` are those of ``coded_windows``."""
+    n, code = len(items.terms), term_code(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(n + 2, np.int64)  # the last two are the numbers of half-windows and texts
-        for batch in batches:
-            seen[n + 1] += batch.num_rows
-            own = batch.column("text").to_pylist()
-            for a, b in parts(own, PART_CHARS):
-                ids, sizes = term_places(own[a:b], shared.value)
-                half, _ = halves(sizes)
-                known = ids >= 0
-                pairs = np.unique(half[known] * n + ids[known])
-                seen[:n] += np.bincount(pairs % n, minlength=n)
-                seen[n] += int((-(-sizes // STRIDE)).sum())
+        seen = np.zeros(n + 1, np.int64)  # the last is the number of half-windows
+        for batch in sliced(batches):
+            own, of_half = read_windows(batch, code)
+            order = np.argsort(own.ids, kind="stable")  # by term, then by half-window
+            term, half = own.ids[order], own.half[order]
+            new = np.ones(len(term), bool)
+            new[1:] = (term[1:] != term[:-1]) | (half[1:] != half[:-1])
+            seen[:n] += np.bincount(term[new], minlength=n)
+            seen[n] += len(of_half)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["term", "n"])
 
-    total = np.zeros(n + 2, np.int64)
-    for row in texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    total = np.zeros(n + 1, np.int64)
+    for row in windows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         total[row["term"]] = row["n"]
-    return total[:n], int(total[n]), int(total[n + 1])
+    return total[:n], int(total[n])
+
+
+def stretch_sums(table: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the ``rows`` of ``table`` in consecutive stretches of these sizes; one place of all long enough stretches at a time."""
+    order = np.argsort(-sizes, kind="stable")
+    first = (np.cumsum(sizes) - sizes)[order]
+    longest = int(sizes.max(initial=0))
+    longer = np.searchsorted(-sizes[order], -np.arange(longest), side="left")  # how many have more than so many
+    total, out = np.zeros((2, len(sizes), table.shape[1]), table.dtype)
+    for k, m in enumerate(longer.tolist()):
+        total[:m] += table.take(rows[first[:m] + k], axis=0)
+    out[order] = total
+    return out
 
 
-def sampled_windows(texts: DataFrame, items: Items, idf: np.ndarray, n_texts: int, sample: int = SAMPLE_TEXTS) -> DataFrame:
-    """TF-IDF rows (terms, values) of a window at a hashed place of each of about ``sample`` distinct texts."""
-    shared = texts.sparkSession.sparkContext.broadcast((items.terms, idf))
-    chosen = texts.where("text is not null").where(hash_below(sample / max(1, n_texts), "text")).select(F.xxhash64("text").alias("h"), "text")
+def half_sums(table: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``table`` with these ids in half-windows of these sizes, some half-windows at a time."""
+    end = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros((len(sizes), table.shape[1]), table.dtype)
+    for a in range(0, len(sizes), SUMMED):
+        b = min(a + SUMMED, len(sizes))
+        out[a:b] = stretch_sums(table, ids[end[a] : end[b]], sizes[a:b])
+    return out
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, idf_ = shared.value
-        hashes, terms, values = batch.column("h").to_pylist(), [], []
-        for h, text in zip(hashes, batch.column("text").to_pylist(), strict=True):
-            words = plain_words(text)
-            at = h % max(1, len(words) - WINDOW + 1)
-            term, n = np.unique(np.array([known[w] for w in words[at : at + WINDOW] if w in known], np.int64), return_counts=True)
-            terms.append(term.tolist())
-            values.append((n * idf_[term]).tolist())
-        return pa.RecordBatch.from_arrays([batch.column("h"), pa.array(terms, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["h", "terms", "values"])
 
-    rows = map_batches(chosen, cut, "h long, terms array<int>, values array<double>").where(F.size("terms") > 1)
-    return rows.groupBy("h").agg(F.min(F.struct("terms", "values")).alias("r")).select("r.terms", "r.values")
+def add_windows(own: Windows, of_half: np.ndarray, basis: np.ndarray, total: np.ndarray) -> None:
+    """Adds the windows' products with ``basis`` to each of their terms in ``total``."""
+    end = np.concatenate([[0], np.cumsum(of_half)])
+    vectors = half_sums(basis, own.ids, of_half)
+    vectors += own.moved(vectors, 1)  # of the window that begins in a half
+    vectors += own.moved(vectors, -1)  # of both windows that a half is in
+    order = np.argsort(own.ids, kind="stable")
+    term, half = own.ids[order], own.half[order]
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])[: len(term)])
+    many = np.diff(np.append(first, len(term)))
+    # A term's places are cut into short stretches, and the sums of these are added up.
+    pieces = -(-many // STRIDE)
+    sizes = np.full(int(pieces.sum()), STRIDE)
+    sizes[np.cumsum(pieces) - 1] = many - (pieces - 1) * STRIDE
+    sums = half_sums(vectors, half, sizes)
+    total[term[first]] += stretch_sums(sums, np.arange(len(sums)), pieces)
+
+
+def window_products(windows: DataFrame, items: Items, idf: np.ndarray, weight: float, basis: np.ndarray) -> DataFrame:
+    """(term, product) of the TF-IDF rows of all windows: their matrix's transpose by the matrix by ``basis``, each row with this weight."""
+    shared = windows.sparkSession.sparkContext.broadcast((idf, (basis * idf[:, None]).astype(np.float32)))
+    code = term_code(items)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf_, scaled = shared.value
+        total = np.zeros(scaled.shape)
+        for batch in sliced(batches, SLICE):
+            add_windows(*read_windows(batch, code), scaled, total)
+        total *= weight * idf_[:, None]
+        some = np.flatnonzero(total.any(axis=1))
+        products = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * total.shape[1], pa.int32()), pa.array(total[some].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(some), products], ["term", "product"])
+
+    return windows.mapInArrow(add, "term long, product array<double>")
 
 
 def weights(df: np.ndarray, halves_: int) -> np.ndarray:
     return np.log((1 + halves_) / (1 + df)) + 1
 
 
-def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, seed: int = 7) -> np.ndarray:
+def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, seed: int = 7, more: Callable[[np.ndarray], DataFrame] | None = None) -> np.ndarray:
     """Leading right singular vectors (terms x rank) of the sparse ``rows`` (terms array<int>, values array<double>).
 
     Each round multiplies by the matrix and its transpose in one job: a row's product with the current
-    basis is formed where the row lies and added to its terms.
+    basis is formed where the row lies and added to its terms. ``more`` gives the products (term, product) of further rows.
     """
     rank = max(1, min(rank, terms))
     width = min(terms, rank + OVERSAMPLE)
@@ -216,7 +295,8 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int = RANK, seed: int = 7)
                         total[term] = total.get(term, 0) + value * product
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["term", "product"])
 
-        partial = rows.mapInArrow(add, "term long, product array<double>").select("term", F.posexplode("product").alias("k", "x"))
+        products = rows.mapInArrow(add, "term long, product array<double>")
+        partial = (products.union(more(basis)) if more else products).select("term", F.posexplode("product").alias("k", "x"))
         out = np.zeros_like(basis)
         found = partial.groupBy("term", "k").agg(F.sum("x").alias("x")).toArrow()
         out[found.column("term").to_numpy(), found.column("k").to_numpy()] = found.column("x").to_numpy()
@@ -258,6 +338,12 @@ def cores(items: Items, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return first, np.concatenate(passages)[order], np.concatenate(times)[order], np.array(needed)
 
 
+def bit_sets(bits: np.ndarray) -> np.ndarray:
+    there = np.zeros((len(bits), BITS + 1), bool)
+    there[np.arange(len(bits))[:, None], bits] = True
+    return np.packbits(there[:, :BITS], axis=1, bitorder="little").view(np.uint64)
+
+
 def latent_cells(vectors: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, list[np.ndarray]]:
     """Centres by k-means on the sphere, about the root of the passages' number, and the passages of each."""
     n = max(1, round(len(vectors) ** 0.5))
@@ -292,14 +378,17 @@ def build_index(texts: DataFrame, block: DataFrame) -> Index | None:
     items = collect_items(block)
     if not items.passages:
         return None
-    df, n_halves, n_texts = frequencies(texts, items)
+    windows = stored(coded_windows(texts, items))
+    df, n_halves = frequencies(windows, items)
     idf = weights(df, n_halves)
-    spark, sparse = texts.sparkSession, []
+    sparse = []
     for _, own in items.passages:
         term, n = np.unique(own, return_counts=True)
         sparse.append((term.tolist(), (n * idf[term]).tolist()))
-    rows = spark.createDataFrame(sparse, "terms array<int>, values array<double>").union(sampled_windows(texts, items, idf, n_texts))
-    basis = randomised_svd(stored(rows), len(items.terms))
+    rows = texts.sparkSession.createDataFrame(sparse, "terms array<int>, values array<double>")
+    weight = min(1.0, CORPUS_ROWS / max(1, n_halves))
+    basis = randomised_svd(rows, len(items.terms), more=lambda basis: window_products(windows, items, idf, weight, basis))
+    discard(windows)
     folding = (basis * idf[:, None]).astype(np.float32)
     vectors = np.stack([folding[own].sum(axis=0) for _, own in items.passages])
     lengths = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
@@ -307,7 +396,7 @@ def build_index(texts: DataFrame, block: DataFrame) -> Index | None:
     bits = np.full((len(vectors), WINDOW), BITS)
     for p, (_, own) in enumerate(items.passages):
         bits[p, : len(own)] = np.array(own) % BITS
-    return Index(items, np.vstack([folding, np.zeros_like(folding[:1])]), vectors, *latent_cells(vectors), bits, *cores(items, df), short_grams(items))
+    return Index(items, folding, vectors, *latent_cells(vectors), bits, bit_sets(bits), *cores(items, df), short_grams(items))
 
 
 def places(words: list[int]) -> dict[int, int]:
@@ -358,7 +447,8 @@ class Windows(NamedTuple):
         if abs(by) < n:
             here, there = (slice(0, n - by), slice(by, n)) if by >= 0 else (slice(-by, n), slice(0, n + by))
             same = self.text[here] == self.text[there]
-            out[here][same] = values[there][same]
+            out[here] = values[there]
+            out[here][~same] = 0
         return out
 
 
@@ -368,13 +458,8 @@ REACH = range(-(-(-WINDOW // STRIDE)), 2 * -(-WINDOW // STRIDE))
 
 def latent_vectors(own: Windows, index: Index) -> np.ndarray:
     """The windows' vectors, of length one (zero where no word is known)."""
-    n, inside = len(own.text), np.arange(len(own.ids)) - np.searchsorted(own.half, own.half)
-    table = np.full((n, STRIDE), len(index.folding) - 1)
     known = own.ids >= 0
-    table[own.half[known], inside[known]] = own.ids[known]
-    vectors = np.zeros((n, index.folding.shape[1]), np.float32)
-    for column in range(STRIDE):
-        vectors += index.folding[table[:, column]]
+    vectors = half_sums(index.folding, own.ids[known], np.bincount(own.half[known], minlength=len(own.text)))
     windows = vectors + own.moved(vectors, 1)
     return windows / np.maximum(np.linalg.norm(windows, axis=1), 1e-9)[:, None]
 
@@ -409,16 +494,28 @@ def latent_pairs(vectors: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndar
     return np.concatenate(windows), np.concatenate(passages)
 
 
+def common_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits each row of ``a`` and that of ``b``, of ``WINDOW`` bits at most, have in common."""
+    counts = np.bitwise_count(a & b).view(np.uint64).sum(1)  # eight sums of a byte each; all together they fit a byte
+    return (counts * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
+
+
 def overlapping(around: np.ndarray, windows: np.ndarray, passages: np.ndarray, index: Index) -> np.ndarray:
     """Which pairs have so many of the passage's words around the window that ``PARAPHRASE`` of it may stand there."""
     keep = np.zeros(len(windows), bool)
     size = (index.bits < BITS).sum(1)
     least = np.ceil(PARAPHRASE * size - 1e-9)
-    for at in range(0, len(windows), 1 << 16):
-        w, p = windows[at : at + (1 << 16)], passages[at : at + (1 << 16)]
+    # Of the different bits at least so many are met; repeated ones are counted for those pairs only.
+    enough = least - (size - np.bitwise_count(index.sets).sum(1, dtype=np.int64))
+    sets = np.ascontiguousarray(around[:, : BITS // 8]).view(np.uint64)
+    for at in range(0, len(windows), 1 << 11):
+        w, p = windows[at : at + (1 << 11)], passages[at : at + (1 << 11)]
+        met = common_bits(sets[w], index.sets[p])
+        some = np.flatnonzero((met >= enough[p]) & (size[p] >= MIN_WORDS))
+        w, p = w[some], p[some]
         bits = index.bits[p]
         met = (around[w[:, None], bits >> 3] >> (bits & 7).astype(np.uint8)) & 1
-        keep[at : at + len(w)] = (met.sum(1) >= least[p]) & (size[p] >= MIN_WORDS)
+        keep[at + some] = met.sum(1) >= least[p]
     return keep
 
 
