@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tidemark.llm import decontam
 
 
@@ -63,3 +64,28 @@ def test_products_of_coded_windows(spark):
     for r in decontam.window_products(windows, items, idf, 0.5, basis).collect():
         total[r["term"]] += r["product"]
     assert np.allclose(total, 0.5 * (rows * idf).T @ ((rows * idf) @ basis), rtol=1e-4, atol=1e-2 * np.abs(total).max() * 1e-2)
+
+
+def test_pipeline_learns_from_windows_anywhere_in_long_texts(spark, tmp_path):
+    """Paraphrases are near only if the space knows which words go together, and each topic's stand together in a few of many windows."""
+    rng = random.Random(33)
+    topics = [([f"a{k}x{j}" for j in range(16)], [f"b{k}x{j}" for j in range(32)]) for k in range(decontam.RANK)]
+
+    def together(k):  # both items' words from last to first, so no long subsequence of either
+        own, others = topics[k]
+        return [w for j in range(15, -1, -1) for w in (others[2 * j + 1], others[2 * j], own[j])]
+
+    def paraphrase(k):  # ten of an item's words in order, five others of its topic after each
+        own, others = topics[k][0], topics[k][1][::-1] * 2
+        return [w for j in range(10) for w in (own[j], *others[5 * j : 5 * j + 5])] + others[-14:-2]
+
+    def text(leaked=None):
+        order = rng.sample(range(len(topics)), len(topics))
+        return " ".join(w for k in order for w in (paraphrase if k == leaked else together)(k))
+
+    clean = [text(), text(), text(), text(), None, ""]
+    docs = spark.createDataFrame(list(enumerate([*clean, *(text(k) for k in range(0, 64, 8))])), "doc_id long, text string").repartition(3)
+    items = [" ".join(words) for topic in topics for words in topic]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)["benchmark decontamination"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()) == list(range(len(clean)))
