@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import hours, number_of
 
 from . import lookback
-from .grid import PATIENT, STAY
+from .grid import HOURS, PATIENT, STAY
 
 
 def feature_matrix(grid: DataFrame, parts: list[lookback.Part | None], at_any_time: bool = False) -> DataFrame:
@@ -54,7 +54,7 @@ def of_stays(rows: DataFrame, stays: DataFrame) -> DataFrame:
 
 
 def feature_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in (STAY, PATIENT, "hour", "hours_in", "label", "split")]
+    return [c for c in df.columns if c not in (STAY, PATIENT, "hour", HOURS, "hours_in", "label", "split")]
 
 
 def filled(df: DataFrame, value: float = 0.0) -> DataFrame:

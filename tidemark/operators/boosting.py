@@ -21,13 +21,16 @@ from math import factorial
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.shared import discard, stored
 
+from .grid import HOURS
+
 #: Bins of a feature's values, at most; nulls have one more.
 BINS = 64
 #: Rows of a block.
@@ -36,6 +39,8 @@ BLOCK = 8192
 FOLD = 10
 #: Codes whose contributions a task keeps, at most.
 KNOWN = 100_000
+#: Rows whose values are sorted at once for quantiles, about.
+CHUNK = 1 << 16
 #: Bytes of all tasks' sums up to which the driver adds them.
 DIRECT = 1 << 26
 
@@ -97,12 +102,16 @@ class Forest(NamedTuple):
             total += tree.value[tree.leaves(x)]
         return total
 
+    def thresholds(self) -> list[np.ndarray]:
+        """Each feature's thresholds in all trees, sorted."""
+        feature, threshold = (np.concatenate([own, *(getattr(t, name) for t in self.trees)]) for name, own in (("feature", np.zeros(0, int)), ("threshold", np.zeros(0))))
+        return [np.unique(threshold[feature == f]) for f in range(len(self.columns))]
+
     def codes(self, x: np.ndarray) -> np.ndarray:
         """For each row the places of its values among its features' thresholds, as bytes: rows of equal codes reach the same leaves."""
         out = np.zeros(x.shape, np.uint16)
-        feature, threshold = (np.concatenate([own, *(getattr(t, name) for t in self.trees)]) for name, own in (("feature", np.zeros(0, int)), ("threshold", np.zeros(0))))
-        for f in range(x.shape[1]):
-            out[:, f] = np.where(np.isnan(x[:, f]), 1 << 15, np.searchsorted(np.unique(threshold[feature == f]), x[:, f], "right"))
+        for f, own in enumerate(self.thresholds()):
+            out[:, f] = np.where(np.isnan(x[:, f]), 1 << 15, np.searchsorted(own, x[:, f], "right"))
         return out.view(f"V{2 * x.shape[1]}").ravel()
 
     def distinct(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,37 +162,58 @@ def matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def few_values(rows: DataFrame, columns: list[str]) -> dict[int, tuple[float, np.ndarray | None]]:
-    """By feature's place its least value and, if it has fewer than ``BINS``, all of its values; features without a value are left out. Tasks pass on ``BINS`` values of each at most."""
+def weight_of(rows: DataFrame) -> Column:
+    """How many rows a row stands for: hours, where it has ``HOURS``."""
+    return F.col(HOURS).cast("long") if HOURS in rows.columns else F.lit(1).cast("long")
+
+
+def points(v: np.ndarray, weight: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and their weights. Of more than ``most``, the least and the last of each ``most``-th of the weight stay, each with the weight since the one before."""
+    order = np.argsort(v, kind="stable")
+    v, weight = v[order], weight[order]
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, int)
+    value, above = v[first], np.cumsum(np.add.reduceat(weight, first)) if len(v) else np.zeros(0, np.int64)
+    if len(value) > most:
+        step = above * most // above[-1]
+        last = np.append(step[1:] != step[:-1], True)
+        last[0] = True
+        value, above = value[last], above[last]
+    return value, np.diff(above, prepend=0)
+
+
+def value_points(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """k (a feature's place), v and w: ``points`` of each ``CHUNK`` rows, to a ``20 * BINS``-th of their weight, as percentiles of that accuracy are."""
     width = len(columns)
 
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        x, weight = (np.concatenate(a) for a in zip(*held, strict=True))
+        there = [~np.isnan(x[:, f]) for f in range(width)]
+        found = [points(x[own, f], weight[own], 20 * BINS) for f, own in enumerate(there)]
+        k = np.repeat(np.arange(width), [len(v) for v, _ in found])
+        return pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(np.concatenate(a)) for a in zip(*found, strict=True))], ["k", "v", "w"])
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.zeros(0)] * width
+        held = []
         for batch in batches:
-            x = matrix(batch, "x", width)
-            for f in range(width):
-                v = x[:, f]
-                # The smallest BINS are enough for both: the least, and whether there are as many.
-                found[f] = np.unique(np.concatenate([found[f], v[~np.isnan(v)]]))[:BINS]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(width), [len(v) for v in found])), pa.array(np.concatenate([*found, np.zeros(0)]))], ["k", "v"])
+            held.append((matrix(batch, "x", width), batch.column("w").to_numpy()))
+            if sum(len(w) for _, w in held) >= CHUNK:
+                yield summed(held)
+                held = []
+        if held:
+            yield summed(held)
 
-    each = rows.select(features_of(columns).alias("x")).mapInArrow(own, "k long, v double")
-    merged = each.groupBy("k").agg(F.min("v").alias("least"), F.collect_set("v").alias("values")).collect()
-    return {r["k"]: (r["least"], np.array(r["values"], float) if len(r["values"]) < BINS else None) for r in merged}
+    each = rows.select(features_of(columns).alias("x"), weight_of(rows).alias("w")).mapInArrow(own, "k long, v double, w long")
+    return each.groupBy("k", "v").agg(F.sum("w").alias("w"))
 
 
 def cuts_of(rows: DataFrame, columns: list[str]) -> list[np.ndarray]:
-    """Each feature's cuts, without its smallest value: all of its values if they are few, quantiles otherwise."""
-    shares = [k / BINS for k in range(BINS)]
-    few = few_values(rows, columns)
-    values = [few[k][1] if k in few else np.zeros(0) for k in range(len(columns))]
-    many = [k for k, v in enumerate(values) if v is None]
-    if many:
-        known = {k: F.when(~F.isnan(F.col(columns[k]).cast("double")), F.col(columns[k]).cast("double")) for k in many}
-        quantiles = rows.agg(*(F.percentile_approx(known[k], shares, 20 * BINS).alias(str(k)) for k in many)).first()
-        for k in many:
-            values[k] = np.array(quantiles[str(k)], float)
-    return [np.unique(v[v > few[k][0]]) if len(v) else v for k, v in enumerate(values)]
+    """Each feature's cuts, without its smallest value: all of its values if they are fewer than ``BINS``, quantiles otherwise."""
+    own, upto = Window.partitionBy("k"), Window.partitionBy("k").orderBy("v")
+    each = value_points(rows, columns).select("k", "v", "w", F.count("*").over(own).alias("n"), F.sum("w").over(own).alias("whole"), F.sum("w").over(upto).alias("upto"), F.row_number().over(upto).alias("at"))
+    # A quantile lies in the weight of this value.
+    ends = F.expr(f"least(upto * {BINS} div whole, {BINS - 1}) > (upto - w) * {BINS} div whole")
+    found = each.where(F.col("at") > 1).where((F.col("n") < BINS) | ends).select("k", "v").collect()
+    return [np.array(sorted(r["v"] for r in found if r["k"] == k), float) for k in range(len(columns))]
 
 
 def binned_rows(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
@@ -204,10 +234,17 @@ def distinct_rows(rows: DataFrame, columns: list[str], cuts: list[np.ndarray]) -
             x, n = binned_rows(matrix(batch, "x", len(columns)), cuts), batch.num_rows
             ends = pa.py_buffer((np.arange(n + 1) * len(columns)).astype(np.int32))
             bins = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(x.tobytes())])
-            yield pa.RecordBatch.from_arrays([bins, batch.column("label")], ["bins", "label"])
+            yield pa.RecordBatch.from_arrays([bins, batch.column("label"), batch.column("weight")], ["bins", "label", "weight"])
+
+    each = rows.select(features_of(columns).alias("x"), F.col("label").cast("int").alias("label"), weight_of(rows).alias("weight"))
+    return each.mapInArrow(binned, "bins binary, label int, weight long").groupBy("bins", "label").agg(F.sum("weight").alias("weight"))
 
-    each = rows.select(features_of(columns).alias("x"), F.col("label").cast("int").alias("label")).mapInArrow(binned, "bins binary, label int")
-    return each.groupBy("bins", "label").agg(F.count("*").alias("weight"))
+
+def mean_label(rows: DataFrame) -> float:
+    """The label's mean over all that the rows stand for, away from 0 and 1."""
+    weight = F.when(F.col("label").isNotNull(), weight_of(rows))
+    share = rows.agg(F.sum(F.col("label") * weight) / F.nullif(F.sum(weight), F.lit(0))).first()[0]
+    return min(max(float(share or 0.5), 1e-6), 1 - 1e-6)
 
 
 def blocks(rows: DataFrame, columns: list[str], cuts: list[np.ndarray], base: float) -> DataFrame:
@@ -309,10 +346,8 @@ def level_choices(data: RDD, width: int, recent: list[Tree], tree: Tree, level:
 
 
 def train_forest(rows: DataFrame, columns: list[str], rounds: int = 100, depth: int = 6, rate: float = 0.3, ridge: float = 1.0, least: float = 1.0) -> Forest:
-    """From ``columns`` and ``label`` (0 or 1) of all rows."""
-    cuts = cuts_of(rows, columns)
-    share = rows.agg(F.avg("label")).first()[0]
-    share = min(max(float(share or 0.5), 1e-6), 1 - 1e-6)
+    """From ``columns`` and ``label`` (0 or 1) of all rows; one with ``HOURS`` counts as often."""
+    cuts, share = cuts_of(rows, columns), mean_label(rows)
     base, width = float(np.log(share / (1 - share))), len(columns)
     data, trees, recent = blocks(rows, columns, cuts, base), [], []
     n = data.agg(F.sum(F.length("label"))).first()[0] or 0
@@ -352,8 +387,7 @@ def first_splits(rows: DataFrame, columns: list[str], ridge: float = 1.0, least:
 
     What the first node of a forest chooses from, and a screening of features by themselves.
     """
-    cuts, share = cuts_of(rows, columns), rows.agg(F.avg("label")).first()[0]
-    share = min(max(float(share or 0.5), 1e-6), 1 - 1e-6)
+    cuts, share = cuts_of(rows, columns), mean_label(rows)
     data = blocks(rows, columns, cuts, float(np.log(share / (1 - share))))
     found = level_choices(data.rdd, len(columns), [], Tree.empty(1), 0, ridge, least)
     discard(data)
@@ -429,12 +463,74 @@ def leaf_tables(tree: Tree, background: np.ndarray) -> list[Leaf]:
     return found
 
 
+class TreeTables(NamedTuple):
+    """A tree's contributions by places: a place of a feature is the stretch between two of the tree's thresholds on it that a value lies in, or null.
+
+    Values of equal places go the same way at every node, so contributions are worked out once for each combination of places that occurs.
+    """
+
+    features: list[int]
+    #: The tree's place of each place among the forest's thresholds, by feature.
+    places: list[np.ndarray]
+    #: By leaf: its features (as numbers of ``features``), by those the pattern's bit for each place, and by those the contribution of each pattern.
+    leaves: list[tuple[list[int], list[np.ndarray], list[np.ndarray]]]
+
+    @classmethod
+    def of(cls, tree: Tree, leaves: list[Leaf], thresholds: list[np.ndarray]) -> TreeTables:
+        features = sorted({int(f) for f in tree.feature if f >= 0})
+        places, lefts = [], {}
+        for f in features:
+            nodes = np.flatnonzero(tree.feature == f)
+            own, all_ = np.unique(tree.threshold[nodes]), thresholds[f]
+            # Of a place among the forest's thresholds, any value in it: the threshold it begins with.
+            begins = np.append(-np.inf, all_)
+            places.append(np.append(np.searchsorted(own, begins, "right"), len(own) + 1))
+            places[-1][0] = 0
+            for k in nodes:
+                lefts[int(k)] = np.append(np.arange(len(own) + 1) <= np.searchsorted(own, tree.threshold[k]), tree.null_left[k])
+        found = []
+        for leaf in leaves:
+            bits = []
+            for bit, steps in enumerate(leaf.steps):
+                met = np.all([lefts[node] if left else ~lefts[node] for node, left in steps], 0)
+                bits.append(met.astype(np.int64) << bit)
+            found.append(([features.index(f) for f in leaf.features], bits, list(np.ascontiguousarray(leaf.table.T))))
+        return cls(features, places, found)
+
+    def add(self, out: np.ndarray, at: list[np.ndarray]) -> None:
+        """Adds the contributions of rows, given by feature's place among the forest's thresholds, to ``out`` (feature, row)."""
+        if not self.features:
+            return
+        own = [table[at[f]] for f, table in zip(self.features, self.places, strict=True)]
+        key, bound = np.zeros(out.shape[1], np.int64), 1
+        for place, table in zip(own, self.places, strict=True):
+            size = int(table.max()) + 1
+            if bound * size >= 1 << 62:
+                key, few = pd.factorize(key)
+                bound = len(few)
+            key, bound = key * size + place, bound * size
+        group, few = pd.factorize(key)
+        first = np.empty(len(few), np.int64)
+        first[group[::-1]] = np.arange(len(group))[::-1]
+        own = [place[first] for place in own]
+        each = np.zeros((len(self.features), len(few)))
+        for features, bits, tables in self.leaves:
+            pattern = bits[0][own[features[0]]]
+            for f, bit in zip(features[1:], bits[1:], strict=True):
+                pattern = pattern | bit[own[f]]
+            for f, table in zip(features, tables, strict=True):
+                each[f] += table[pattern]
+        for f, values in zip(self.features, each, strict=True):
+            out[f] += values[group]
+
+
 class Explainer:
     """Shapley values of a forest's margins against background rows (a matrix with NaN for null)."""
 
     def __init__(self, forest: Forest, background: np.ndarray):
         self.forest, self.base = forest, float(forest.margins(background).mean())
-        self.leaves = [leaf_tables(tree, background) for tree in forest.trees]
+        self.thresholds = forest.thresholds()
+        self.tables = [TreeTables.of(tree, leaf_tables(tree, background), self.thresholds) for tree in forest.trees]
 
     def values_once(self, x: np.ndarray, known: dict[bytes, np.ndarray]) -> np.ndarray:
         """``values`` with each code worked out once, if ``known`` has room for it: it's kept from batch to batch, up to ``KNOWN`` codes."""
@@ -452,16 +548,15 @@ class Explainer:
         return found[own]
 
     def values(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(self.forest.columns)))
-        for tree, leaves in zip(self.forest.trees, self.leaves, strict=True):
-            lefts = {int(k): tree.left(x, int(k)) for k in np.flatnonzero(tree.feature >= 0)}
-            for leaf in leaves:
-                out[:, leaf.features] += leaf.table[leaf.patterns(lefts, len(x))]
-        return out
+        out = np.zeros((len(self.forest.columns), len(x)))
+        at = [np.where(np.isnan(x[:, f]), len(own) + 1, np.searchsorted(own, x[:, f], "right")) for f, own in enumerate(self.thresholds)]
+        for tree in self.tables:
+            tree.add(out, at)
+        return out.T
 
 
 def distinct_codes(forest: Forest, rows: DataFrame, label: bool = False) -> DataFrame:
-    """x and n, with ``label`` also its value: one row of those of equal codes (and label), and how many they are.
+    """x and n, with ``label`` also its value: one row of those of equal codes (and label), and how many they are (hours, where rows have ``HOURS``).
 
     Rows of equal codes have the same scores and contributions. Tasks add up their batches before they pass on.
     """
@@ -470,16 +565,18 @@ def distinct_codes(forest: Forest, rows: DataFrame, label: bool = False) -> Data
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = matrix(batch, "x", width), batch.column("label")
+            x, y, weight = matrix(batch, "x", width), batch.column("label"), batch.column("n").to_numpy()
             code = forest_.codes(x)
             keyed = np.empty(len(x), [("label", np.int32), ("code", code.dtype)])
             keyed["label"], keyed["code"] = y.fill_null(-1).to_numpy(), code
-            _, first, n = np.unique(keyed.view(f"V{keyed.dtype.itemsize}"), return_index=True, return_counts=True)
+            _, first, own = np.unique(keyed.view(f"V{keyed.dtype.itemsize}"), return_index=True, return_inverse=True)
+            n = np.zeros(len(first), np.int64)
+            np.add.at(n, own, weight)
             each = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * width, pa.int32()), pa.array(x[first].ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in code[first]], pa.binary()), y.take(pa.array(first)), each, pa.array(n)], ["code", "label", "x", "n"])
 
     value = F.col("label").cast("int") if label else F.lit(0)
-    each = rows.select(features_of(forest.columns).alias("x"), value.alias("label")).mapInArrow(few, schema)
+    each = rows.select(features_of(forest.columns).alias("x"), value.alias("label"), weight_of(rows).alias("n")).mapInArrow(few, schema)
     return each.groupBy("code", "label").agg(F.min("x").alias("x"), F.sum("n").alias("n")).select("x", *(["label"] if label else []), "n")
 
 

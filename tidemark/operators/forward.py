@@ -24,6 +24,12 @@ def hours_before(ts: Column, horizon: int = HORIZON) -> Column:
     return F.sequence(last - hours(horizon), last - hours(1), hours(1))
 
 
+def label_changes(events: DataFrame, horizon: int = HORIZON, key: str = STAY) -> DataFrame:
+    """key and the grid hours whose forward window gains an event, or is the first to lack one, some of them repeatedly."""
+    last = hour_ceiling(F.col("ts"))
+    return events.where(F.col("ts").isNotNull()).select(key, F.explode(F.array(last - hours(horizon), last)).alias("hour"))
+
+
 def label_hours(grid: DataFrame, events: DataFrame, name: str, horizon: int = HORIZON, key: str = STAY) -> DataFrame:
     """``grid`` and a boolean column: any of the events (key, ts) in the forward window of the row's hour."""
     hit = events.where(F.col("ts").isNotNull()).select(key, F.explode(hours_before(F.col("ts"), horizon)).alias("hour")).distinct()

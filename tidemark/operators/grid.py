@@ -9,6 +9,8 @@ from tidemark.functions.columns import hour_floor, hours_between, micros
 
 #: Columns of stays that the operators read.
 STAY, PATIENT, START, END = "stay_id", "patient_id", "admission", "discharge"
+#: Where a row stands for several hours from ``hour`` on: how many. A table without it has a row for each.
+HOURS = "n_hours"
 
 
 def valid_stays(stays: DataFrame) -> DataFrame:
@@ -54,6 +56,29 @@ def hourly_grid(stays: DataFrame, min_hours: float = 6) -> DataFrame:
     return hourly_rows(stays).where(F.col("hours_in") >= min_hours)
 
 
+def hour_runs(stays: DataFrame, changes: DataFrame, min_hours: float = 6) -> DataFrame:
+    """The hourly grid as runs of hours: stay_id, patient_id, hour (a run's first) and ``HOURS``.
+
+    A run begins with a stay's first hour and with each hour of ``changes`` (stay_id, hour) in its grid. What changes only there, as windows
+    do only where they gain or lose a row, is the same in all hours of a run and worked out once.
+    """
+    floor = hour_floor(START)
+    n = F.floor((micros(END) - micros(floor)) / 3.6e9).cast("int")
+    first = F.greatest(F.ceil((F.lit(min_hours * 3.6e9).cast("long") + micros(START) - micros(floor)) / 3.6e9), F.lit(0)).cast("int")
+    at = [(floor + F.make_dt_interval(hours=k)).alias(name) for k, name in ((first, "hour"), (n, "_end"))]
+    starts = valid_stays(stays).where(first < n).select(STAY, PATIENT, *at)
+    inside = (F.col("hour") > F.col("_first")) & (F.col("hour") < F.col("_end"))
+    later = changes.select(STAY, "hour").distinct().join(starts.withColumnRenamed("hour", "_first"), STAY).where(inside).select(starts.columns)
+    end = F.coalesce(F.lead("hour").over(Window.partitionBy(STAY).orderBy("hour")), F.col("_end"))
+    return starts.unionByName(later).withColumn(HOURS, ((micros(end) - micros("hour")) / 3.6e9).cast("int")).drop("_end")
+
+
+def each_hour(runs: DataFrame) -> DataFrame:
+    """Runs of hours as a row for each hour."""
+    at = F.explode(F.sequence(F.lit(0), F.col(HOURS) - 1)).alias("_k")
+    return runs.select("*", at).withColumn("hour", F.col("hour") + F.make_dt_interval(hours=F.col("_k"))).drop(HOURS, "_k")
+
+
 def cohort_windows(stays: DataFrame) -> DataFrame:
     """Windows of an hour that follow each other from the start on, the last cut at the end: (window_start, window_end]."""
     n = F.ceil(hours_between(START, END)).cast("int")

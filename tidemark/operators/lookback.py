@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import hour_ceiling, hour_floor, hours, micros, number_of, safe_name
 
-from .grid import STAY, dealt_grid, tasks_for
+from .grid import HOURS, STAY, dealt_grid, tasks_for
 
 LENGTH = 6
 #: Parts of a busy hour where many rows are dealt.
@@ -39,6 +39,12 @@ def hours_after(ts: Column, length: int = LENGTH) -> Column:
     return F.sequence(first, first + hours(length - 1), hours(1))
 
 
+def window_changes(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """stay_id and the grid hours whose backward window gains a row, or is the first to lack one, as (stay, hour), some of them repeatedly."""
+    first = hour_ceiling(F.col("ts"))
+    return rows.where(F.col("ts").isNotNull()).select(STAY, F.explode(F.array(first, first + hours(length))).alias("hour"))
+
+
 def dealt(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """Each row (with ``ts``) once for each grid hour whose window holds it."""
     return rows.where(F.col("ts").isNotNull()).withColumn("hour", F.explode(hours_after(F.col("ts"), length)))
@@ -166,8 +172,15 @@ def in_windows(grid: DataFrame, rows: DataFrame, states: dict[str, State], keys:
     else:
         tasks = tasks_for(grid.select(STAY, "hour"))
         many = tasks > grid.sparkSession.sparkContext.defaultParallelism
-        made = panes(rows, states, keys, tasks if many else None).withColumn("hour", F.explode(F.sequence(F.col("_pane"), F.col("_pane") + hours(length - 1), hours(1))))
-        met = dealt_grid(grid, tasks=tasks).join(made, [STAY, "hour"], how)
+        made = panes(rows, states, keys, tasks if many else None)
+        if HOURS in grid.columns:
+            # Of the hours that a pane reaches few begin a run: hours are dealt to panes, narrow as they are, and only panes that meet one go on.
+            asked = grid.select(STAY, "hour", F.explode(F.sequence(F.col("hour") - hours(length - 1), F.col("hour"), hours(1))).alias("_pane"))
+            met = asked.repartition(tasks, STAY, "_pane").hint("shuffle_hash").join(made, [STAY, "_pane"])
+            met = (met.unionByName(grid.select(STAY, "hour"), allowMissingColumns=True) if how == "left" else met).repartition(tasks, STAY, "hour")
+        else:
+            made = made.withColumn("hour", F.explode(F.sequence(F.col("_pane"), F.col("_pane") + hours(length - 1), hours(1))))
+            met = dealt_grid(grid, tasks=tasks).join(made, [STAY, "hour"], how)
     before = (micros("_pane") - micros("hour")) / 3.6e9
     return met.withColumns({n: x.shifted(F.col(n), before) for n, x in states.items()})
 

@@ -9,6 +9,7 @@ scored lacks are what they are where nothing was measured: 0 for flags and doses
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from typing import NamedTuple
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import hashed
 
 from .assemble import feature_columns
-from .boosting import Explainer, Forest, distinct_codes, features_of, matrix, round_counts, train_forest
-from .grid import STAY
+from .boosting import CHUNK, Explainer, Forest, distinct_codes, features_of, matrix, round_counts, train_forest
+from .grid import HOURS, STAY, each_hour
 
 #: Training rows that attributions compare with.
 BACKGROUND = 200
@@ -72,12 +73,31 @@ class RiskModel(NamedTuple):
 
 
 def train(df: DataFrame, trees: int = 100, depth: int = 6, seed: int = 42) -> RiskModel:
-    """From a feature matrix with ``label`` and ``split`` (rows of the test side aren't looked at)."""
+    """From a feature matrix with ``label`` and ``split`` (rows of the test side aren't looked at); of runs of hours if it has ``HOURS``."""
     rows = df.where("split = 'train'") if "split" in df.columns else df
     columns = feature_columns(rows)
-    forest = train_forest(rows, columns, trees, depth)
-    least = rows.select(hashed(seed, STAY, "hour").alias("h"), features_of(columns).alias("x")).orderBy("h", "x").limit(BACKGROUND).collect()
-    return RiskModel(forest, np.array([r["x"] for r in least], float).reshape(-1, len(columns)))
+    return RiskModel(train_forest(rows, columns, trees, depth), background_of(rows, columns, seed))
+
+
+def background_of(rows: DataFrame, columns: list[str], seed: int = 42) -> np.ndarray:
+    """The features of the ``BACKGROUND`` hours with the smallest hashes; rows with ``HOURS`` stand for as many hours."""
+    keys = rows.select(STAY, "hour", F.col("hour").alias("_row"), *(c for c in rows.columns if c == HOURS))
+    each = each_hour(keys) if HOURS in keys.columns else keys
+    least = each.select(F.col(STAY).alias("_stay"), "_row", hashed(seed, STAY, "hour").alias("_h")).orderBy("_h", "_stay", "_row").limit(BACKGROUND)
+    found = rows.join(F.broadcast(least), (F.col(STAY) == F.col("_stay")) & (F.col("hour") == F.col("_row"))).select("_h", features_of(columns).alias("x")).orderBy("_h", "x")
+    return np.array([r["x"] for r in found.collect()], float).reshape(-1, len(columns))
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ``CHUNK`` rows, about: the more rows, the more of them are alike."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def explain(model: RiskModel, df: DataFrame) -> DataFrame:
@@ -87,7 +107,7 @@ def explain(model: RiskModel, df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
-        for batch in batches:
+        for batch in in_chunks(batches):
             values, m = explainer.value.values_once(matrix(batch, "x", n), known), batch.num_rows
             each = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * n, pa.int32()), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(STAY), batch.column("hour"), pa.array(np.full(m, explainer.value.base)), each], [STAY, "hour", "base", "contributions"])
@@ -146,11 +166,51 @@ def mean_importance(model: RiskModel, df: DataFrame) -> DataFrame:
     return means.select(F.element_at(names, F.col("k").cast("int") + 1).alias("feature"), "mean_abs").orderBy(F.desc("mean_abs"), "feature")
 
 
+def six_places(values: np.ndarray) -> np.ndarray:
+    """Rounded to six places as ``round`` does: halves of the value's shortest decimal go away from zero."""
+    scaled = np.abs(values) * 1e6
+    whole = np.floor(scaled)
+    out = np.copysign((whole + (scaled - whole > 0.5)) / 1e6, values)
+    for at in np.flatnonzero((np.abs(scaled - whole - 0.5) < 1e-6) | (scaled > 1e9)):  # too near to a half to tell by these
+        out.flat[at] = float(Decimal(repr(float(values.flat[at]))).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    return out + 0.0
+
+
+def top_of_rows(model: RiskModel, df: DataFrame, k: int = DRIVERS) -> DataFrame:
+    """``top_contributions`` of ``explain`` for all rows of ``df``. Those with ``HOURS`` are explained once, and then a row for each of their hours.
+
+    Contributions are ordered where they are worked out, and only the ``k`` leave it.
+    """
+    explainer = df.sparkSession.sparkContext.broadcast(Explainer(model.forest, model.background))
+    n, columns = len(model.columns), model.columns
+    by_name = np.array(sorted(range(n), key=columns.__getitem__), int)
+    k = min(k, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}
+        for batch in in_chunks(batches):
+            values = explainer.value.values_once(matrix(batch, "x", n), known)[:, by_name]
+            at = np.argsort(-np.abs(values), axis=1, kind="stable")[:, :k]  # of equal ones the first by name
+            ends = pa.array(np.arange(batch.num_rows + 1) * k, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(a.ravel())) for a in (by_name[at].astype(np.int32), six_places(np.take_along_axis(values, at, 1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(STAY), batch.column("hour"), batch.column(HOURS), *lists], [STAY, "hour", HOURS, "_features", "_values"])
+
+    times = F.col(HOURS).cast("int") if HOURS in df.columns else F.lit(1)
+    rows = model.aligned(df).select(F.col(STAY).cast("string").alias(STAY), "hour", times.alias(HOURS), features_of(columns).alias("x"))
+    found = each_hour(rows.mapInArrow(run, f"{STAY} string, hour timestamp_ntz, {HOURS} int, _features array<int>, _values array<double>"))
+    each = found.select(STAY, "hour", "_values", F.posexplode("_features").alias("_at", "_feature")).withColumn("contribution", F.get("_values", F.col("_at")))
+    named = F.get(F.array(*map(F.lit, columns)), F.col("_feature"))
+    return each.select(STAY, "hour", (F.col("_at") + 1).alias("rank"), named.alias("feature"), "contribution", direction_of("contribution").alias("direction"))
+
+
+def direction_of(contribution: str) -> Column:
+    return F.when(F.col(contribution) > 0, "raises").when(F.col(contribution) < 0, "lowers").otherwise("none")
+
+
 def top_contributions(explained: DataFrame, columns: list[str], k: int = DRIVERS) -> DataFrame:
     """The ``k`` features that count most in each row: rank, feature, contribution (six places) and its direction."""
     names = F.array(*(F.lit(c) for c in columns))
     pairs = F.transform("contributions", lambda c, i: F.struct((-F.abs(c)).alias("order"), F.element_at(names, i + 1).alias("feature"), F.round(c, 6).alias("contribution")))
     top = F.slice(F.array_sort(pairs), 1, k)
     each = explained.select(STAY, "hour", F.posexplode(top).alias("rank", "t"))
-    direction = F.when(F.col("t.contribution") > 0, "raises").when(F.col("t.contribution") < 0, "lowers").otherwise("none")
-    return each.select(STAY, "hour", (F.col("rank") + 1).alias("rank"), "t.feature", "t.contribution", direction.alias("direction"))
+    return each.select(STAY, "hour", (F.col("rank") + 1).alias("rank"), "t.feature", "t.contribution", direction_of("t.contribution").alias("direction"))
